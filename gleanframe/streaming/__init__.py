@@ -1,0 +1 @@
+"""Kept empty on purpose: the analyses this package covers have no streaming part."""
