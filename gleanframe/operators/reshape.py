@@ -34,7 +34,9 @@ def unnest_parallel(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     longest = F.greatest(F.lit(1), *[F.coalesce(F.size(c), F.lit(0)) for c in columns])
 
     def stretched(c: str) -> Column:
-        return F.when(F.size(c) == 1, F.array_repeat(F.element_at(c, 1), longest)).otherwise(F.col(c)).alias(c)
+        # a null list would null the whole zip, so it becomes a list of nulls
+        one = F.when(F.coalesce(F.size(c), F.lit(0)) <= 1, F.array_repeat(F.get(c, F.lit(0)), longest))
+        return one.otherwise(F.col(c)).alias(c)
 
     zipped = F.explode(F.arrays_zip(F.sequence(F.lit(1), longest).alias("__i"), *[stretched(c) for c in columns]))
     others = [c for c in df.columns if c not in set(columns)]

@@ -37,17 +37,34 @@ def match_rules(answers: DataFrame, rules: DataFrame, places: dict[str, str | No
     """Stack the matches of every level; unmatched answers stay with a null status.
 
     ``places`` maps a level to the answer column its place must equal (None: no place).
-    The rule table is reduced to distinct (name, place, status) first.
+    The rule table is reduced to distinct (name, level, place, status) first.
     """
-    stacked = None
-    for level, place in places.items():
-        chosen = rules.filter(F.col("level").isin(list(LEVELS[level])))
-        keys = ["name"] if place is None else ["name", "place"]
-        chosen = chosen.select(*keys, "grouping", "status_label").distinct()
-        on = {"name": "name"} if place is None else {"name": "name", place: "place"}
-        part = enrich(answers, chosen, on)
-        stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked
+    # one join for all levels: each answer is repeated per level with that level's place
+    asked = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(level).alias("rule_level"), (F.lit("") if place is None else F.col(place)).alias("rule_place"))
+                for level, place in places.items()
+            ]
+        )
+    )
+    level_of = None
+    for level in places:
+        hit = F.col("level").isin(list(LEVELS[level]))
+        level_of = F.when(hit, level) if level_of is None else level_of.when(hit, level)
+    anywhere = [level for level, place in places.items() if place is None]
+    table = (
+        rules.select("name", level_of.alias("rule_level"), "place", "grouping", "status_label")
+        .filter(F.col("rule_level").isNotNull())
+        .select(
+            "name", "rule_level",
+            F.when(F.col("rule_level").isin(anywhere), "").otherwise(F.col("place")).alias("rule_place"),
+            "grouping", "status_label",
+        )
+        .distinct()
+    )
+    rows = answers.select(*answers.columns, asked.alias("__a")).select(*answers.columns, "__a.*")
+    return enrich(rows, table, ["name", "rule_level", "rule_place"]).drop("rule_level", "rule_place")
 
 
 def status_group(df: DataFrame) -> DataFrame:

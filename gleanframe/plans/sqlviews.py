@@ -53,10 +53,10 @@ VIEWS = {
             ('d', 'État', 'Réglementation', 'Réglementation', 'REGL'),
             ('e', 'État', 'Liste rouge', 'Listes rouges', 'LRN')
         ) v(k, level, status_label, grouping_, status_code)
-          ON (k = 'a' AND l_tax = 0.08 AND l_quantity >= 49)
-          OR (k = 'b' AND l_tax = 0.0 AND l_quantity = 1 AND l_discount = 0.1)
-          OR (k = 'c' AND l_tax = 0.0 AND l_quantity = 2 AND l_discount = 0.1)
-          OR (k = 'd' AND l_tax = 0.0 AND l_quantity = 3 AND l_discount = 0.1)
+          ON (k = 'a' AND l_tax = 0.08 AND l_quantity >= 49 AND p_brand LIKE 'Brand#1%')
+          OR (k = 'b' AND l_tax = 0.0 AND l_quantity = 1 AND p_brand LIKE 'Brand#2%')
+          OR (k = 'c' AND l_tax = 0.0 AND l_quantity = 2 AND p_brand LIKE 'Brand#3%')
+          OR (k = 'd' AND l_tax = 0.0 AND l_quantity = 3 AND p_brand LIKE 'Brand#4%')
           OR (k = 'e' AND l_tax = 0.0 AND l_quantity = 4)""",
     "wide_survey": wide_survey_sql(),
     "parcels": """

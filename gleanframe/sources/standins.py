@@ -89,7 +89,7 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Legal rules: brands that meet a condition at a nation, in a region or overall."""
+    """Legal rules: groups of brands that meet a condition at a nation, in a region or overall."""
     base = (
         table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -97,12 +97,13 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    tax, qty, off = F.col("l_tax"), F.col("l_quantity"), F.col("l_discount")
+    tax, qty = F.col("l_tax"), F.col("l_quantity")
+    brand = lambda digit: F.col("p_brand").startswith(f"Brand#{digit}")
     tests = [
-        ((tax == 0.08) & (qty >= 49), "Département", F.col("n_name"), "Protection départementale", "Protection", "PD"),
-        ((tax == 0.0) & (qty == 1) & (off == 0.1), "Région", F.col("r_name"), "Protection régionale", "Protection", "PR"),
-        ((tax == 0.0) & (qty == 2) & (off == 0.1), "État", F.lit("France"), "Protection nationale", "Protection", "PN"),
-        ((tax == 0.0) & (qty == 3) & (off == 0.1), "État", F.lit("France"), "Réglementation", "Réglementation", "REGL"),
+        ((tax == 0.08) & (qty >= 49) & brand(1), "Département", F.col("n_name"), "Protection départementale", "Protection", "PD"),
+        ((tax == 0.0) & (qty == 1) & brand(2), "Région", F.col("r_name"), "Protection régionale", "Protection", "PR"),
+        ((tax == 0.0) & (qty == 2) & brand(3), "État", F.lit("France"), "Protection nationale", "Protection", "PN"),
+        ((tax == 0.0) & (qty == 3) & brand(4), "État", F.lit("France"), "Réglementation", "Réglementation", "REGL"),
         ((tax == 0.0) & (qty == 4), "État", F.lit("France"), "Liste rouge", "Listes rouges", "LRN"),
     ]
     rule = F.explode(
