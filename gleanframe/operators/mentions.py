@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gleanframe.functions.nulls import half_even, ratio, strict_sum
 from gleanframe.operators.joins import enrich, keep_members
@@ -174,12 +174,13 @@ def knee_point(curve: DataFrame, x: str = "rank", y: str = "cum_percent") -> Dat
 
 
 def share_within(counts: DataFrame, keys: Sequence[str], n: str = "n", name: str = "pct") -> DataFrame:
-    """Percent of the group total (or of everything, without keys)."""
-    if not keys:
-        return counts.withColumn(name, F.col(n) * 100.0 / counts.agg(F.sum(n)).scalar())
-    totals = counts.groupBy(*keys).agg(F.sum(n).alias("__all"))
-    joined = enrich(counts, totals, list(keys), null_keys="match")
-    return joined.withColumn(name, F.col(n) * 100.0 / F.col("__all")).drop("__all")
+    """Percent of the group total (or of everything, without keys).
+
+    ``counts`` is a table of category counts: a group has one row per category, never
+    one per input row, so the window stays small and the counts are computed once.
+    """
+    group = W.partitionBy(*(keys or [F.lit(0)]))
+    return counts.withColumn(name, F.col(n) * 100.0 / F.sum(n).over(group))
 
 
 def frequencies(
@@ -190,8 +191,6 @@ def frequencies(
     The order is by falling frequency, with ``last`` and ``missing`` at the end. It is
     taken over the category list, which must stay under 10,000 labels.
     """
-    from pyspark.sql import Window as W
-
     counts = (
         df.select(id, F.coalesce(F.col(column), F.lit(missing)).alias("category")).distinct()
         .groupBy("category").agg(F.count(F.lit(1)).alias("n"))
