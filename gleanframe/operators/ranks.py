@@ -21,7 +21,7 @@ from gleanframe.session import materialise
 
 def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
     """Per group: size ``n``, rank sum ``r`` (ties get their mid-rank) and its part of the tie sum."""
-    cells = df.dropna("any", [group, value]).groupBy(value, group).agg(F.count(F.lit(1)).alias("n"))
+    cells = df.dropna("any", subset=[group, value]).groupBy(value, group).agg(F.count(F.lit(1)).alias("n"))
     # a value carries at most one entry per group category
     per_value = cells.groupBy(value).agg(F.sum("n").alias("t"), F.collect_list(F.struct(group, "n")).alias("g"))
     cum = prefix_sums(per_value, [], [value], ["t"])

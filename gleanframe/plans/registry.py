@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("scans", "relational", "mention_queries", "survey_queries", "rule_queries", "geo_queries", "rank_queries")
+MODULES = ("scans", "relational", "mention_queries", "survey_queries", "rule_queries", "geo_queries", "rank_queries", "model_queries")
 
 
 def query(name: str, sql: str | None = None):
