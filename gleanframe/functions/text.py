@@ -22,8 +22,9 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def strip_accents(x: Column | str) -> Column:
-    out = F.translate(_col(x), ACCENTED, PLAIN)
+def strip_accents(x: Column | str, also: str = "", to: str = "") -> Column:
+    """Plain letters for accented ones; ``also``/``to`` ride along in the same pass."""
+    out = F.translate(_col(x), ACCENTED + also, PLAIN + to)
     for letter, pair in DIGRAPHS.items():
         out = F.replace(out, F.lit(letter), F.lit(pair))
     return out
@@ -31,7 +32,7 @@ def strip_accents(x: Column | str) -> Column:
 
 def normalise_name(x: Column | str) -> Column:
     """Place names for joining: hyphens and apostrophes to blanks, no accents."""
-    return F.translate(strip_accents(x), "-'", "  ")
+    return strip_accents(x, "-'", "  ")
 
 
 def fuse_places(x: Column | str, members=PARIS_REGION, label: str = PARIS_REGION_LABEL) -> Column:

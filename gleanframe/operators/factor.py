@@ -176,10 +176,20 @@ def _centres(points, weights, merges, k: int) -> np.ndarray:
 
 
 def nearest(dims: Sequence[str], centres: np.ndarray) -> Column:
-    """1-based index of the closest centre."""
-    dist = [sum(((F.col(d) - float(c)) * (F.col(d) - float(c)) for d, c in zip(dims, row)), F.lit(0.0)) for row in centres]
-    pairs = F.array(*[F.struct(x.alias("d"), F.lit(i + 1).alias("i")) for i, x in enumerate(dist)])
-    return F.array_min(pairs)["i"]
+    """1-based index of the closest centre, the centres being one literal array."""
+    table = F.array(
+        *[
+            F.struct(F.lit(i + 1).alias("i"), F.array(*[F.lit(float(c)) for c in row]).alias("c"))
+            for i, row in enumerate(centres)
+        ]
+    )
+    point = F.array(*dims)
+
+    def to_point(t: Column) -> Column:
+        squares = F.zip_with(t["c"], point, lambda a, b: (a - b) * (a - b))
+        return F.struct(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v).alias("d"), t["i"].alias("i"))
+
+    return F.array_min(F.transform(table, to_point))["i"]
 
 
 @dataclass

@@ -147,12 +147,16 @@ def bootstrap_median(
     return enrich(point, limits, [group])
 
 
-def roc_curve(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """Per distinct score: counts, rates of the rule "score >= this", and the AUC terms."""
+def score_counts(df: DataFrame, score: str, positive: Column) -> DataFrame:
+    """Positives and negatives per distinct score."""
     hit = F.coalesce(positive, F.lit(False))
-    counts = df.filter(F.col(score).isNotNull()).groupBy(score).agg(
+    return df.filter(F.col(score).isNotNull()).groupBy(score).agg(
         F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")
     )
+
+
+def roc_curve(counts: DataFrame, score: str) -> DataFrame:
+    """Per distinct score: counts, rates of the rule "score >= this", and the AUC terms."""
     cum = prefix_sums(counts, [], [score], ["pos", "neg"])
     pos_below, neg_below = F.col("cum_pos") - F.col("pos"), F.col("cum_neg") - F.col("neg")
     return cum.select(
@@ -163,12 +167,12 @@ def roc_curve(df: DataFrame, score: str, positive: Column) -> DataFrame:
     )
 
 
-def roc_summary(df: DataFrame, score: str, positive: Column) -> DataFrame:
+def roc_summary(counts: DataFrame, score: str) -> DataFrame:
     """AUC and the threshold with the largest sensitivity + specificity (lowest on ties).
 
     The threshold lies half way between the chosen score and the next lower one.
     """
-    curve = materialise(roc_curve(df, score, positive))
+    curve = materialise(roc_curve(counts, score))
     gain = F.round(F.col("sensitivity") + F.col("specificity"), 12)
     best = curve.agg(
         F.max_by(F.struct(score, "sensitivity", "specificity"), F.struct(gain, -F.col(score))).alias("b"),
@@ -224,6 +228,6 @@ def group_moments(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame
 
 
 __all__ = [
-    "rank_sums", "kruskal_wallis", "dunn_pairs", "stars", "bootstrap_median", "roc_curve", "roc_summary",
+    "rank_sums", "kruskal_wallis", "dunn_pairs", "stars", "bootstrap_median", "score_counts", "roc_curve", "roc_summary",
     "confusion", "accuracy_interval", "cohens_d", "group_moments", "quantiles",
 ]

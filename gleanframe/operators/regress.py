@@ -38,8 +38,8 @@ def levels_of(df: DataFrame, column: str, baseline: str | None = None, limit: in
 def logit_model(df: DataFrame, outcome: str, categorical: dict[str, str | None], numeric: Sequence[str] = ()):
     """Fit a logistic regression of a 0/1 outcome with explicit baselines.
 
-    Returns (model, terms, prepare): ``prepare`` adds the feature vector to any frame with
-    the predictors.
+    Returns (model, terms, scored): ``scored`` holds one row per predictor cell with its
+    trials ``n``, successes ``s`` and predicted probability ``prediction``.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
@@ -48,7 +48,8 @@ def logit_model(df: DataFrame, outcome: str, categorical: dict[str, str | None],
     # grouped binomial cells: the success share with the trials as weight
     data = materialise(
         df.select(outcome, *keys).dropna("any").groupBy(*keys)
-        .agg(F.avg(F.col(outcome).cast("double")).alias("share"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(outcome).cast("double").alias("s"), F.count(F.lit(1)).alias("n"))
+        .withColumn("share", F.col("s") / F.col("n"))
     )
     terms, exprs = [], []
     for c in numeric:
@@ -61,13 +62,12 @@ def logit_model(df: DataFrame, outcome: str, categorical: dict[str, str | None],
     names = [f"x{i}" for i in range(len(terms))]
     assembler = VectorAssembler(inputCols=names, outputCol="features")
 
-    def prepare(frame: DataFrame) -> DataFrame:
-        return assembler.transform(frame.withColumns(dict(zip(names, exprs)))).drop(*names)
-
+    cells_in = assembler.transform(data.withColumns(dict(zip(names, exprs)))).drop(*names)
     glm = GeneralizedLinearRegression(
         family="binomial", link="logit", labelCol="share", weightCol="n", solver="irls", maxIter=50, tol=1e-12
     )
-    return glm.fit(prepare(data)), terms, prepare
+    model = glm.fit(cells_in)
+    return model, terms, model.transform(cells_in).drop("features")
 
 
 def coefficient_table(df: DataFrame, model, terms: Sequence[str]) -> DataFrame:
@@ -84,13 +84,12 @@ def with_tests(coefs: DataFrame) -> DataFrame:
     return coefs.withColumn("z", z).withColumn("p", normal_two_sided("z"))
 
 
-def fit_quality(scored: DataFrame, outcome: str, prediction: str, parameters: int) -> DataFrame:
-    """Log-likelihood and AIC of predicted probabilities for a 0/1 outcome."""
-    y, p = F.col(outcome), F.col(prediction)
-    loglik = F.sum(F.when(y == 1, F.log(p)).otherwise(F.log1p(-p)))
-    return scored.agg(F.count(F.lit(1)).alias("n"), loglik.alias("log_likelihood")).withColumn(
-        "aic", 2 * parameters - 2 * F.col("log_likelihood")
-    )
+def fit_quality(scored: DataFrame, parameters: int) -> DataFrame:
+    """Log-likelihood and AIC over the rows behind the scored cells."""
+    s, n, p = F.col("s"), F.col("n"), F.col("prediction")
+    return scored.agg(
+        F.sum("n").alias("n"), F.sum(s * F.log(p) + (n - s) * F.log1p(-p)).alias("log_likelihood")
+    ).withColumn("aic", 2 * parameters - 2 * F.col("log_likelihood"))
 
 
 def odds_ratios(coefs: DataFrame, z: float = 1.96) -> DataFrame:
@@ -298,15 +297,19 @@ def saturating_fit(
     curve = materialise(curve.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
 
     def sums(points: list[tuple[float, float]]) -> list[dict]:
-        out = []
-        for i, (a, b) in enumerate(points):
-            e = F.exp(F.lit(-b) * F.col("x"))
-            fa, fb = 1 - e, F.lit(a) * F.col("x") * e
-            r = F.col("y") - F.lit(a) * (1 - e)
-            pairs = {"aa": fa * fa, "ab": fa * fb, "bb": fb * fb, "ar": fa * r, "br": fb * r, "rss": r * r}
-            out += [F.sum(v).alias(f"{k}{i}") for k, v in pairs.items()]
-        row = curve.agg(*out).first()
-        return [{k: row[f"{k}{i}"] for k in ("aa", "ab", "bb", "ar", "br", "rss")} for i in range(len(points))]
+        # the trial parameters enter as one literal array: every round runs the same code
+        trials = F.array(
+            *[F.struct(F.lit(i).alias("i"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for i, (a, b) in enumerate(points)]
+        )
+        e = F.exp(-F.col("t.b") * F.col("x"))
+        fa, fb = 1 - e, F.col("t.a") * F.col("x") * e
+        r = F.col("y") - F.col("t.a") * fa
+        pairs = {"aa": fa * fa, "ab": fa * fb, "bb": fb * fb, "ar": fa * r, "br": fb * r, "rss": r * r}
+        rows = (
+            curve.select("x", "y", F.explode(trials).alias("t"))
+            .groupBy("t.i").agg(*[F.sum(v).alias(k) for k, v in pairs.items()])
+        )
+        return [r.asDict() for r in sorted(rows.collect(), key=lambda r: r.i)]
 
     now = sums([(a, b)])[0]
     for _ in range(rounds):

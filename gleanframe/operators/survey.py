@@ -203,65 +203,88 @@ def _sustainability(group: Column, said: Column) -> Column:
 def mention_pipeline(df: DataFrame, groups: Sequence[int], id: str = "id", known: str | None = None) -> DataFrame:
     """Wide export to one row per (respondent, group, species), multi-choice answers as arrays.
 
-    Expects one export row per respondent. Option columns of the free-text questions
-    follow as plain columns.
+    Expects one export row per respondent, so the work is two explodes and no shuffle.
+    A question asked by one column is a plain cell; only questions spread over several
+    columns become lists, which run in parallel (a single answer repeats). Option columns
+    of the free-text questions follow as plain columns.
     """
     questions = catalogue(df.columns)
-    known_col = F.col(f"`{known}`") if known else F.lit(None).cast("string")
-    other_names: dict[str, list[str]] = {
-        f: list(dict.fromkeys(option_column(f, q) for _, q in field_cells(questions, {f: n}, groups)))
-        for f, n in CHOICE_OTHER_FIELDS.items()
-    }
 
-    def answers(g: int, qcode: int) -> Column:
-        cells = [F.col(f"`{q.column}`").cast("string") for q in pick(questions, g, qcode)]
-        return F.array_compact(F.array(*cells)) if cells else F.array().cast("array<string>")
+    def columns_of(g: int, field: str) -> list[Column]:
+        found = pick(questions, g, question_number(SINGLE_FIELDS[field], g))
+        return [F.col(f"`{q.column}`").cast("string") for q in found]
 
-    def ticked(g: int, numbers: tuple[int, int]) -> Column:
-        qs = pick(questions, g, question_number(numbers, g))
-        cells = [F.when(F.col(f"`{q.column}`") == "Yes", F.lit(nice_label(q))) for q in qs]
-        return F.array_compact(F.array(*cells)) if cells else F.array().cast("array<string>")
+    def place(x: Column) -> Column:
+        return F.translate(text.fuse_places(text.remove_code(x)), "-'", "  ")
 
-    blocks = []
+    null = F.lit(None).cast("string")
+    fields = [f for f in SINGLE_FIELDS if f != "name"]
+    width = {f: max(len(columns_of(g, f)) for g in groups) for f in fields}
+    lists = [f for f in fields if width[f] > 1]
+    other_names = {
+        f: list(dict.fromkeys(option_column(f, q) for _, q in field_cells(questions, {f: n}, groups)))
+        for f, n in CHOICE_OTHER_FIELDS.items()
+    }
+    blocks, bad = [], F.lit(False)
     for g in groups:
-        said = F.get(answers(g, SUSTAINABLE_QUESTION), F.lit(0))
-        parts = [F.lit(g).alias("group"), _sustainability(F.lit(g), said).alias("sustainability")]
-        parts += [answers(g, question_number(n, g)).alias(f) for f, n in SINGLE_FIELDS.items()]
-        parts += [ticked(g, n).alias(f) for f, n in CHOICE_FIELDS.items()]
-        for f, n in CHOICE_OTHER_FIELDS.items():
-            cols = {option_column(f, q): q.column for _, q in field_cells(questions, {f: n}, [g])}
-            parts += [
-                (F.col(f"`{cols[c]}`") if c in cols else F.lit(None).cast("string")).alias(c) for c in other_names[f]
-            ]
+        # several name columns act as one comma-separated cell
+        name = F.trim(F.concat_ws(",", *columns_of(g, "name")))
+        said = [F.col(f"`{q.column}`") for q in pick(questions, g, SUSTAINABLE_QUESTION)] if g not in FIRST_GROUPS else []
+        flag = _sustainability(F.lit(g), F.coalesce(*said) if said else null)
+        parts = [F.lit(g).alias("group"), flag.alias("sustainability"), name.alias("name")]
+        for f in fields:
+            cells = columns_of(g, f)
+            if f == "dpt":
+                cells = [place(c) for c in cells]
+            if f in lists:
+                parts.append(_without_nulls(cells).alias(f))
+            else:
+                parts.append((cells[0] if cells else null).alias(f))
+        for f, numbers in CHOICE_FIELDS.items():
+            found = pick(questions, g, question_number(numbers, g))
+            ticks = [F.when(F.col(f"`{q.column}`") == "Yes", F.lit(nice_label(q))) for q in found]
+            parts.append(_without_nulls(ticks).alias(f))
+        for f, numbers in CHOICE_OTHER_FIELDS.items():
+            cols = {option_column(f, q): q.column for _, q in field_cells(questions, {f: numbers}, [g])}
+            parts += [(F.col(f"`{cols[c]}`") if c in cols else null).alias(c) for c in other_names[f]]
         blocks.append(F.struct(*parts))
-    named = F.filter(F.array(*blocks), lambda b: F.exists(b["name"], lambda v: F.trim(v) != ""))
-    any_bad = F.exists("blocks", lambda b: b["sustainability"] == "Unsustainable")
-    rows = df.select(F.col(id).alias("id"), known_col.alias("known"), named.alias("blocks")).select(
-        "id", F.when(any_bad, "Yes").otherwise(F.col("known")).alias("known_unsustainable"), F.explode("blocks").alias("b")
-    ).select("id", "known_unsustainable", "b.*")
-
-    # names split into an array; the other cells keep their lists and run in parallel
-    split = F.flatten(F.transform("name", lambda v: F.split(v, r",\s*")))
-    rows = rows.withColumn("name", F.filter(F.array_distinct(F.transform(split, lambda v: F.trim(v))), lambda v: v != ""))
-    rows = rows.select(*[F.explode("name").alias("name") if c == "name" else F.col(c) for c in rows.columns])
-    lists = [f for f in SINGLE_FIELDS if f != "name"]
-    longest = F.greatest(F.lit(1), *[F.size(f) for f in lists])
-
-    def cell(f: str, i: Column) -> Column:
-        at = F.when(F.size(f) == 1, F.lit(0)).otherwise(i)
-        value = F.get(F.col(f), at)
-        if f == "dpt":
-            value = F.translate(text.fuse_places(text.remove_code(value)), "-'", "  ")
-        return value.alias(f)
-
-    zipped = F.array_distinct(
-        F.transform(F.sequence(F.lit(0), longest - 1), lambda i: F.struct(*[cell(f, i) for f in lists]))
-    )
-    rest = [c for c in rows.columns if c not in lists]
-    return rows.select(*rest, F.explode(zipped).alias("z")).select(
-        "id", "group", "known_unsustainable", "sustainability", "name", *[f"z.{f}" for f in lists],
-        *[c for c in rest if c not in ("id", "group", "known_unsustainable", "sustainability", "name")],
+        bad = bad | (_has_name(name) & (flag == "Unsustainable"))
+    known_col = F.col(f"`{known}`") if known else null
+    rows = df.select(
+        F.col(id).alias("id"), F.when(bad, "Yes").otherwise(known_col).alias("known_unsustainable"),
+        F.explode(F.array(*blocks)).alias("b"),
+    ).filter(_has_name(F.col("b.name")))
+    names = F.explode(F.array_distinct(F.split("b.name", r"\s*,\s*"))).alias("species")
+    rows = rows.select("id", "known_unsustainable", "b", names).filter(F.col("species") != "")
+    out = rows.select("id", "b.group", "known_unsustainable", "b.sustainability", F.col("species").alias("name"), "b.*")
+    keep = [c for c in out.columns[5:] if c not in ("group", "sustainability", "name")]
+    out = rows.select(
+        "id", "b.group", "known_unsustainable", "b.sustainability", F.col("species").alias("name"), *[f"b.{c}" for c in keep]
     )
+    if not lists:
+        return out
+    longest = F.greatest(F.lit(1), *[F.size(f) for f in lists]) if len(lists) > 1 else F.greatest(F.lit(1), F.size(lists[0]))
+    steps = [
+        F.when(
+            F.lit(i) < longest,
+            F.struct(*[F.get(f, F.when(F.size(f) == 1, 0).otherwise(i)).alias(f) for f in lists]),
+        )
+        for i in range(max(width[f] for f in lists))
+    ]
+    stepped = out.select("*", F.explode(F.array_distinct(F.array(*steps))).alias("z")).filter(F.col("z").isNotNull())
+    return stepped.select(*[F.col(f"z.{c}").alias(c) if c in lists else F.col(c) for c in out.columns])
+
+
+def _has_name(name: Column) -> Column:
+    """Whether a comma-separated cell names anything."""
+    return F.translate(name, ", ", "") != ""
+
+
+def _without_nulls(cells: Sequence[Column]) -> Column:
+    """Array of the cells that are not null, in order."""
+    if not cells:
+        return F.array().cast("array<string>")
+    return F.filter(F.array(*cells), lambda v: v.isNotNull())
 
 
 def fan_out(df: DataFrame, fields: Sequence[str]) -> DataFrame:

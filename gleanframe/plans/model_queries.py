@@ -9,6 +9,7 @@ from gleanframe.operators import factor as X, joins, mentions as M, ordering, ra
 from gleanframe.plans.mention_queries import CURVE, curve
 from gleanframe.plans.registry import query
 from gleanframe.plans.sqlviews import with_views
+from gleanframe.session import materialise
 from gleanframe.sources.standins import PROFILE_VARIABLES, mentions, profile
 
 VARS = list(PROFILE_VARIABLES)
@@ -22,7 +23,7 @@ def mca_burt(spark, sf):
 
 
 def _mca(spark, sf):
-    profiles = X.profile_counts(profile(spark, sf), VARS)
+    profiles = materialise(X.profile_counts(profile(spark, sf), VARS))
     return profiles, X.fit_mca(profiles, VARS)
 
 
@@ -73,7 +74,7 @@ def cluster_profiles(spark, sf):
 @query("cluster_describe")
 def cluster_describe(spark, sf):
     rows, _ = clustered_profiles(spark, sf)
-    counts = X.profile_counts(rows, VARS, "cluster")
+    counts = materialise(X.profile_counts(rows, VARS, "cluster"))
     return X.describe_groups(counts, VARS, "cluster")
 
 
@@ -88,7 +89,7 @@ SELECT var, cat, cls, n, round(100 * n / j, 6) AS pct_in_group, round(100 * k /
        round(diff / sqrt(k * j / nn * (1 - k / nn) * (nn - j) / (nn - 1)), 6) AS test_value,
        round(sum(diff * diff / (k * j / nn)) OVER (PARTITION BY var), 6) AS chi2 FROM t"""))
 def group_describe(spark, sf):
-    counts = X.profile_counts(profile(spark, sf), VARS)
+    counts = materialise(X.profile_counts(profile(spark, sf), VARS))
     df = X.describe_groups(counts, VARS[1:], "segment")
     return df.withColumns({c: rounded(c) for c in ("pct_in_group", "pct_overall", "test_value", "chi2")})
 
@@ -169,17 +170,16 @@ def glm_logit(spark, sf):
 @query("glm_fit_quality")
 def glm_fit_quality(spark, sf):
     rows = model_rows(spark, sf)
-    model, terms, prepare = G.logit_model(rows, "y", {"life_form": None}, ["range_pct"])
-    scored = model.transform(prepare(rows.select("y", "life_form", "range_pct")))
-    return G.fit_quality(scored, "y", "prediction", len(terms) + 1)
+    model, terms, scored = G.logit_model(rows, "y", {"life_form": None}, ["range_pct"])
+    return G.fit_quality(scored, len(terms) + 1)
 
 
 @query("glm_roc")
 def glm_roc(spark, sf):
     rows = model_rows(spark, sf)
-    model, _, prepare = G.logit_model(rows, "y", {"life_form": None}, ["range_pct"])
-    scored = model.transform(prepare(rows.select("y", "life_form", "range_pct")))
-    return ranks.roc_summary(scored.select("y", "prediction"), "prediction", F.col("y") == 1)
+    _, _, scored = G.logit_model(rows, "y", {"life_form": None}, ["range_pct"])
+    counts = scored.groupBy("prediction").agg(F.sum("s").alias("pos"), F.sum(F.col("n") - F.col("s")).alias("neg"))
+    return ranks.roc_summary(counts, "prediction")
 
 
 @query("glmm_random_intercept")
@@ -197,7 +197,7 @@ DFA_VARS = ["presence", "life_form", "status", "segment", "region"]
 
 def _dfa(spark, sf):
     rows = model_rows(spark, sf)
-    profiles = X.profile_counts(rows, DFA_VARS, "answer")
+    profiles = materialise(X.profile_counts(rows, DFA_VARS, "answer"))
     return rows, profiles, X.fit_discriminant(profiles, DFA_VARS, "answer", "Unsustainable")
 
 
@@ -223,7 +223,7 @@ def dfa_loadings(spark, sf):
 
 @query("lda_confusion")
 def lda_confusion(spark, sf):
-    profiles = X.profile_counts(model_rows(spark, sf), DFA_VARS, "answer")
+    profiles = materialise(X.profile_counts(model_rows(spark, sf), DFA_VARS, "answer"))
     predicted = X.fit_linear_classifier(profiles, DFA_VARS, "answer")
     return profiles.groupBy(predicted.alias("predicted"), F.col("answer").alias("actual")).agg(F.sum("n").alias("n"))
 

@@ -66,7 +66,7 @@ SELECT round((SELECT sum(pos * (nb + neg / 2.0::DOUBLE)) / any_value(p * n) FROM
 FROM b ORDER BY round(sens + spec, 12) DESC, v LIMIT 1"""))
 def roc_auc_youden(spark, sf):
     m = mentions(spark, sf, "answer", "range_pct")
-    df = ranks.roc_summary(m, "range_pct", F.col("answer") == "Unsustainable")
+    df = ranks.roc_summary(ranks.score_counts(m, "range_pct", F.col("answer") == "Unsustainable"), "range_pct")
     return df.withColumns({c: rounded(c) for c in df.columns})
 
 
