@@ -54,7 +54,8 @@ def remove_parenthesis(x: Column | str, trim: bool = True) -> Column:
 
 def remove_code(x: Column | str) -> Column:
     """Drop the first bracketed area code, e.g. ``Place (2B)``."""
-    return F.trim(replace_first(x, r"\s*\([0-9AB]+\)"))
+    x = _col(x)
+    return F.trim(F.when(x.contains("("), replace_first(x, r"\s*\([0-9AB]+\)")).otherwise(x))
 
 
 def extract(x: Column | str, pattern: str, group: int = 0) -> Column:

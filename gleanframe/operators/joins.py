@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def unique_dimension(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -34,29 +34,36 @@ def enrich(
 ) -> DataFrame:
     """Join a dimension; ``on`` may map fact columns to dimension columns.
 
-    ``null_keys="match"`` pairs a null key with a null key.
+    ``how`` is inner, left, right or full. ``null_keys="match"`` pairs a null key with a
+    null key. Right and full joins are an inner or left join plus the dimension rows whose
+    key no fact row has: an outer join cannot be split when its null-supplying side is
+    skewed, while these two can, and a small dimension is still broadcast.
     """
     pairs = dict(on) if isinstance(on, dict) else {k: k for k in on}
-    tagged = dim.select(
-        *[F.col(d).alias(f"__k{i}") for i, d in enumerate(pairs.values())],
-        *[F.col(c) for c in dim.columns if c not in pairs.values()],
-        F.lit(1).alias("__dim"),
+    rest = [c for c in dim.columns if c not in pairs.values()]
+    tagged = dim.select(*[F.col(d).alias(f"__k{i}") for i, d in enumerate(pairs.values())], *rest)
+
+    def same(left: DataFrame) -> Column:
+        cond = None
+        for i, f in enumerate(pairs):
+            l, r = left[f], tagged[f"__k{i}"]
+            test = l.eqNullSafe(r) if null_keys == "match" else l == r
+            cond = test if cond is None else cond & test
+        return cond
+
+    matched = fact.join(tagged, same(fact), "left" if how in ("left", "full") else "inner").select(
+        *[fact[c] for c in fact.columns], *[tagged[c] for c in rest]
+    )
+    if how in ("inner", "left"):
+        return matched
+    keys = fact.select(*pairs).distinct()
+    alone = tagged.join(keys, same(keys), "left_anti")
+    at = {f: F.col(f"__k{i}") for i, f in enumerate(pairs)}
+    return matched.unionByName(
+        alone.select(
+            *[at.get(c, F.lit(None)).cast(fact.schema[c].dataType).alias(c) for c in fact.columns], *rest
+        )
     )
-    cond = None
-    for i, f in enumerate(pairs):
-        left, right = fact[f], tagged[f"__k{i}"]
-        test = left.eqNullSafe(right) if null_keys == "match" else left == right
-        cond = test if cond is None else cond & test
-    joined = fact.join(tagged, cond, how)
-    out = []
-    for c in fact.columns:
-        if c in pairs and how in ("right", "full"):
-            i = list(pairs).index(c)
-            out.append(F.coalesce(fact[c], tagged[f"__k{i}"]).alias(c))
-        else:
-            out.append(fact[c])
-    out += [tagged[c] for c in dim.columns if c not in pairs.values()]
-    return joined.select(*out)
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left", null_keys: str = "never") -> DataFrame:

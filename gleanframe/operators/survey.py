@@ -203,76 +203,83 @@ def _sustainability(group: Column, said: Column) -> Column:
 def mention_pipeline(df: DataFrame, groups: Sequence[int], id: str = "id", known: str | None = None) -> DataFrame:
     """Wide export to one row per (respondent, group, species), multi-choice answers as arrays.
 
-    Expects one export row per respondent, so the work is two explodes and no shuffle.
-    A question asked by one column is a plain cell; only questions spread over several
-    columns become lists, which run in parallel (a single answer repeats). Option columns
-    of the free-text questions follow as plain columns.
+    Expects one export row per respondent, so the work is narrow: the row is repeated per
+    group, rows without a species go, and every field picks its group's column. A question
+    asked by one column is a plain cell; only questions spread over several columns become
+    lists, which run in parallel (a single answer repeats). Option columns of the free-text
+    questions follow as plain columns.
     """
     questions = catalogue(df.columns)
+    null = F.lit(None).cast("string")
+    group = F.col("__group")
 
-    def columns_of(g: int, field: str) -> list[Column]:
-        found = pick(questions, g, question_number(SINGLE_FIELDS[field], g))
-        return [F.col(f"`{q.column}`").cast("string") for q in found]
+    def of_group(cells: dict[int, Column]) -> Column:
+        out = None
+        for g, c in cells.items():
+            out = F.when(group == g, c) if out is None else out.when(group == g, c)
+        return null if out is None else out
 
-    def place(x: Column) -> Column:
-        return F.translate(text.fuse_places(text.remove_code(x)), "-'", "  ")
+    def asked(g: int, numbers: tuple[int, int]) -> list[Column]:
+        return [F.col(f"`{q.column}`") for q in pick(questions, g, question_number(numbers, g))]
 
-    null = F.lit(None).cast("string")
-    fields = [f for f in SINGLE_FIELDS if f != "name"]
-    width = {f: max(len(columns_of(g, f)) for g in groups) for f in fields}
-    lists = [f for f in fields if width[f] > 1]
-    other_names = {
-        f: list(dict.fromkeys(option_column(f, q) for _, q in field_cells(questions, {f: n}, groups)))
-        for f, n in CHOICE_OTHER_FIELDS.items()
+    names = {g: F.trim(F.concat_ws(",", *asked(g, SINGLE_FIELDS["name"]))) for g in groups}
+    said = {g: [F.col(f"`{q.column}`") for q in pick(questions, g, SUSTAINABLE_QUESTION)] for g in groups}
+    flags = {
+        g: _sustainability(F.lit(g), F.coalesce(*said[g]) if said[g] and g not in FIRST_GROUPS else null) for g in groups
     }
-    blocks, bad = [], F.lit(False)
+    bad = F.lit(False)
     for g in groups:
-        # several name columns act as one comma-separated cell
-        name = F.trim(F.concat_ws(",", *columns_of(g, "name")))
-        said = [F.col(f"`{q.column}`") for q in pick(questions, g, SUSTAINABLE_QUESTION)] if g not in FIRST_GROUPS else []
-        flag = _sustainability(F.lit(g), F.coalesce(*said) if said else null)
-        parts = [F.lit(g).alias("group"), flag.alias("sustainability"), name.alias("name")]
-        for f in fields:
-            cells = columns_of(g, f)
-            if f == "dpt":
-                cells = [place(c) for c in cells]
-            if f in lists:
-                parts.append(_without_nulls(cells).alias(f))
-            else:
-                parts.append((cells[0] if cells else null).alias(f))
-        for f, numbers in CHOICE_FIELDS.items():
-            found = pick(questions, g, question_number(numbers, g))
-            ticks = [F.when(F.col(f"`{q.column}`") == "Yes", F.lit(nice_label(q))) for q in found]
-            parts.append(_without_nulls(ticks).alias(f))
-        for f, numbers in CHOICE_OTHER_FIELDS.items():
-            cols = {option_column(f, q): q.column for _, q in field_cells(questions, {f: numbers}, [g])}
-            parts += [(F.col(f"`{cols[c]}`") if c in cols else null).alias(c) for c in other_names[f]]
-        blocks.append(F.struct(*parts))
-        bad = bad | (_has_name(name) & (flag == "Unsustainable"))
+        bad = bad | (_has_name(names[g]) & (flags[g] == "Unsustainable"))
     known_col = F.col(f"`{known}`") if known else null
     rows = df.select(
-        F.col(id).alias("id"), F.when(bad, "Yes").otherwise(known_col).alias("known_unsustainable"),
-        F.explode(F.array(*blocks)).alias("b"),
-    ).filter(_has_name(F.col("b.name")))
-    names = F.explode(F.array_distinct(F.split("b.name", r"\s*,\s*"))).alias("species")
-    rows = rows.select("id", "known_unsustainable", "b", names).filter(F.col("species") != "")
-    out = rows.select("id", "b.group", "known_unsustainable", "b.sustainability", F.col("species").alias("name"), "b.*")
-    keep = [c for c in out.columns[5:] if c not in ("group", "sustainability", "name")]
-    out = rows.select(
-        "id", "b.group", "known_unsustainable", "b.sustainability", F.col("species").alias("name"), *[f"b.{c}" for c in keep]
-    )
+        "*", F.when(bad, "Yes").otherwise(known_col).alias("__known"), F.explode(F.array(*map(F.lit, groups))).alias("__group")
+    ).filter(_has_name(of_group(names)))
+
+    out = {
+        "id": F.col(id), "group": group, "known_unsustainable": F.col("__known"), "sustainability": of_group(flags),
+        "name": of_group(names),
+    }
+    lists = {}
+    for f, numbers in SINGLE_FIELDS.items():
+        if f == "name":
+            continue
+        found = {g: asked(g, numbers) for g in groups}
+        width = max(map(len, found.values()))
+        columns = [of_group({g: c[i] for g, c in found.items() if i < len(c)}) for i in range(width)]
+        if f == "dpt":
+            columns = [F.translate(text.fuse_places(text.remove_code(c)), "-'", "  ") for c in columns]
+        if width > 1:
+            lists[f] = width
+            out[f] = F.filter(F.array(*columns), lambda v: v.isNotNull())
+        else:
+            out[f] = columns[0] if columns else null
+    for f, numbers in CHOICE_FIELDS.items():
+        options: dict[str, dict[int, Column]] = {}
+        for _, q in field_cells(questions, {f: numbers}, groups):
+            options.setdefault(nice_label(q), {})[q.group] = F.col(f"`{q.column}`")
+        ticks = [F.when(of_group(cells) == "Yes", F.lit(label)) for label, cells in options.items()]
+        out[f] = F.array_except(F.array(null, *ticks), F.array(null))
+    for f, numbers in CHOICE_OTHER_FIELDS.items():
+        columns_of: dict[str, dict[int, Column]] = {}
+        for _, q in field_cells(questions, {f: numbers}, groups):
+            columns_of.setdefault(option_column(f, q), {})[q.group] = F.col(f"`{q.column}`")
+        out |= {c: of_group(cells) for c, cells in columns_of.items()}
+
+    tidy = rows.select(*[c.alias(n) for n, c in out.items()])
+    species = F.explode(F.array_distinct(F.split("name", r"\s*,\s*"))).alias("name")
+    tidy = tidy.select(*[species if c == "name" else F.col(c) for c in out]).filter(F.col("name") != "")
     if not lists:
-        return out
-    longest = F.greatest(F.lit(1), *[F.size(f) for f in lists]) if len(lists) > 1 else F.greatest(F.lit(1), F.size(lists[0]))
+        return tidy
+    longest = F.array_max(F.array(F.lit(1), *[F.size(f) for f in lists]))
     steps = [
         F.when(
             F.lit(i) < longest,
             F.struct(*[F.get(f, F.when(F.size(f) == 1, 0).otherwise(i)).alias(f) for f in lists]),
         )
-        for i in range(max(width[f] for f in lists))
+        for i in range(max(lists.values()))
     ]
-    stepped = out.select("*", F.explode(F.array_distinct(F.array(*steps))).alias("z")).filter(F.col("z").isNotNull())
-    return stepped.select(*[F.col(f"z.{c}").alias(c) if c in lists else F.col(c) for c in out.columns])
+    stepped = tidy.select("*", F.explode(F.array_distinct(F.array(*steps))).alias("z")).filter(F.col("z").isNotNull())
+    return stepped.select(*[F.col(f"z.{c}").alias(c) if c in lists else F.col(c) for c in out])
 
 
 def _has_name(name: Column) -> Column:
@@ -280,13 +287,6 @@ def _has_name(name: Column) -> Column:
     return F.translate(name, ", ", "") != ""
 
 
-def _without_nulls(cells: Sequence[Column]) -> Column:
-    """Array of the cells that are not null, in order."""
-    if not cells:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*cells), lambda v: v.isNotNull())
-
-
 def fan_out(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row per combination of the array answers; an empty answer gives null."""
     out = df
@@ -334,8 +334,14 @@ def part_group(x: Column) -> Column:
 
 
 def clean_answer(x: Column, trim: bool = True) -> Column:
-    """Unify "don't know" and drop bracketed explanations."""
-    return text.remove_parenthesis(text.replace_first(x, "I don't know", "IDK"), trim)
+    """Unify "don't know" and drop bracketed explanations.
+
+    The patterns run only on values that hold them: most answers are short labels.
+    """
+    unknown = "I don't know"
+    out = F.when(x.contains(unknown), text.replace_first(x, unknown, "IDK")).otherwise(x)
+    out = F.when(out.contains("("), text.remove_parenthesis(out, trim=False)).otherwise(out)
+    return F.trim(out) if trim else out
 
 
 def fact_table(mentions: DataFrame, profiles: DataFrame, uses: Sequence[str], trim: bool = True) -> DataFrame:
@@ -346,7 +352,7 @@ def fact_table(mentions: DataFrame, profiles: DataFrame, uses: Sequence[str], tr
     """
     m = prefix_columns(mentions, "SPECIES_", ["id"])
     p = prefix_columns(profiles, "PROFILE_", ["id"])
-    df = enrich(p, m, ["id"], how="full")
+    df = enrich(m, p, ["id"], how="full")
     parts = F.transform("SPECIES_harv_parts", lambda v: part_group(clean_answer(recode_pattern(v, PART_RULES), trim)))
     used = F.transform("SPECIES_uses", lambda v: clean_answer(recode_pattern(v, USE_RULES), trim))
     arrays = {"SPECIES_harv_parts", "SPECIES_uses", "SPECIES_risk"}

@@ -63,8 +63,8 @@ FROM profile p FULL JOIN (SELECT user_id AS id, count(*) AS n_events FROM events
 def full_join_profile(spark, sf):
     events = table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n_events"))
     return joins.enrich(
-        joins.prefix_columns(profile(spark, sf), "PROFILE_", ["id"]),
-        joins.prefix_columns(events, "SPECIES_", ["id"]), ["id"], how="full",
+        joins.prefix_columns(events, "SPECIES_", ["id"]),
+        joins.prefix_columns(profile(spark, sf), "PROFILE_", ["id"]), ["id"], how="full",
     )
 
 
