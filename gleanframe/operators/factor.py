@@ -295,20 +295,25 @@ def silhouette_exact(points: DataFrame, id: str, dims: Sequence[str], cluster: s
     home = F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = pts.withColumn("bi", home).withColumn("bj", every)
-    right = pts.withColumn("bj", home).withColumn("bi", every)
+    # the other side under its own names: two sides of one frame must not share columns
+    there = [f"to_{d}" for d in dims]
+    right = pts.select(
+        every.alias("to_bi"), home.alias("to_bj"), *[F.col(d).alias(t) for d, t in zip(dims, there)],
+        F.col("cl").alias("to_cl"), F.col("w").alias("to_w"),
+    )
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"pid": [], "other": [], "s": []})
-        d = np.sqrt(((a[dims].to_numpy()[:, None, :] - b[dims].to_numpy()[None, :, :]) ** 2).sum(-1))
+        d = np.sqrt(((a[dims].to_numpy()[:, None, :] - b[there].to_numpy()[None, :, :]) ** 2).sum(-1))
         parts = []
-        for cl, idx in b.groupby("cl").indices.items():
-            parts.append(pd.DataFrame({"pid": a.pid.to_numpy(), "other": cl, "s": d[:, idx] @ b.w.to_numpy()[idx]}))
+        for cl, idx in b.groupby("to_cl").indices.items():
+            parts.append(pd.DataFrame({"pid": a.pid.to_numpy(), "other": cl, "s": d[:, idx] @ b.to_w.to_numpy()[idx]}))
         return pd.concat(parts)
 
     types = {f.name: f.dataType.simpleString() for f in pts.schema.fields}
     partial = (
-        left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj"))
+        left.groupBy("bi", "bj").cogroup(right.groupBy("to_bi", "to_bj"))
         .applyInPandas(sums, f"pid {types['pid']}, other {types['cl']}, s double")
         .groupBy("pid", "other").agg(F.sum("s").alias("s"))
     )

@@ -245,11 +245,11 @@ MOR_SCHEMA = T.StructType(
 )
 
 
-def _mor_of(pdf: pd.DataFrame) -> pd.DataFrame:
+def _mor_of(name: str, pdf: pd.DataFrame) -> pd.DataFrame:
     s = pdf.unsustainable.to_numpy(float)[:, None]
     n = pdf.total_citations.to_numpy(float)[:, None]
     row = dict.fromkeys(MOR_SCHEMA.names)
-    row["name"] = pdf.name.iloc[0] if not callable(pdf["name"]) else None
+    row["name"] = name
     row["observed_ratio"] = float(s.sum() / n.sum()) if n.sum() > 0 else None
     if len(pdf) < 2:
         row.update(skipped=True, reason_skipped="only 1 area")
@@ -275,10 +275,8 @@ def median_odds_ratios(area_cells: DataFrame) -> DataFrame:
     The input holds one count row per (area, name); a group is as long as the list of
     areas, whatever the number of mentions behind it.
     """
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _mor_of(pdf)
-        out["name"] = key[0]
-        return out
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _mor_of(key[0], pdf)
 
     cols = area_cells.select("name", "unsustainable", "total_citations")
     return cols.groupBy("name").applyInPandas(fit, MOR_SCHEMA)
