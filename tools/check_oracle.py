@@ -12,6 +12,7 @@ import time
 import traceback
 
 import duckdb
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
@@ -41,11 +42,12 @@ def canonical(rows, columns):
 def main() -> int:
     args = argparse.ArgumentParser()
     args.add_argument("--sf", default="/root/testdata/sf0.01")
+    args.add_argument("--plain", action="store_true", help="use a session with default settings")
     args.add_argument("names", nargs="*")
     args = args.parse_args()
     load_all()
     names = args.names or list(QUERIES)
-    spark = local_session(8)
+    spark = local_session(8) if not args.plain else SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
     duck = duckdb.connect()
     for t in TABLES:
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{args.sf}/{t}.parquet')")
