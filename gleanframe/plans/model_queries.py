@@ -10,7 +10,7 @@ from gleanframe.plans.mention_queries import CURVE, curve
 from gleanframe.plans.registry import query
 from gleanframe.plans.sqlviews import with_views
 from gleanframe.session import materialise
-from gleanframe.sources.standins import PROFILE_VARIABLES, mentions, profile
+from gleanframe.sources.standins import PROFILE_VARIABLES, SEGMENTS, mentions, profile, table
 
 VARS = list(PROFILE_VARIABLES)
 
@@ -126,8 +126,6 @@ def cluster_moments(spark, sf):
 
 @query("cluster_composition")
 def cluster_composition(spark, sf):
-    from gleanframe.sources.standins import SEGMENTS
-
     return M.contingency_percent(clustered_profiles(spark, sf)[0], "cluster", "segment", SEGMENTS)
 
 
@@ -246,3 +244,142 @@ def saturating_fit(spark, sf):
     points = curve(spark, sf)
     a, b = G.saturating_fit(points, "rank", "cum_percent")
     return points.select("name", "rank", rounded(G.saturating_prediction(F.col("rank"), a, b), 4).alias("fitted"))
+
+
+# ---- the same operators on cases with a closed form ----------------------------------
+
+BINARY = """
+, z AS (SELECT CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size, CASE WHEN l_extendedprice > 40000 THEN 'dear' ELSE 'cheap' END AS price FROM lineitem)
+, s AS (SELECT count(*)::DOUBLE AS n, avg(CASE WHEN size = 'big' THEN 1.0::DOUBLE ELSE 0 END) AS p, avg(CASE WHEN price = 'dear' THEN 1.0::DOUBLE ELSE 0 END) AS q,
+        avg(CASE WHEN size = 'big' AND price = 'dear' THEN 1.0::DOUBLE ELSE 0 END) AS pq FROM z)
+, phi AS (SELECT *, (pq - p * q) / sqrt(p * (1 - p) * q * (1 - q)) AS phi FROM s)
+, axes AS (SELECT 1 AS axis, (1 + abs(phi)) / 2 AS lam, sign(phi) AS turn, p, q FROM phi UNION ALL SELECT 2, (1 - abs(phi)) / 2, -sign(phi), p, q FROM phi)
+, raw AS (
+  SELECT axis, lam, 'size' AS variable, 'big' AS category, p / 2 AS mass, sqrt((1 - p) / p) AS x FROM axes UNION ALL
+  SELECT axis, lam, 'size', 'small', (1 - p) / 2, -sqrt(p / (1 - p)) FROM axes UNION ALL
+  SELECT axis, lam, 'price', 'dear', q / 2, turn * sqrt((1 - q) / q) FROM axes UNION ALL
+  SELECT axis, lam, 'price', 'cheap', (1 - q) / 2, -turn * sqrt(q / (1 - q)) FROM axes)
+, flip AS (SELECT axis, sign(arg_max(x, sqrt(mass) * abs(x))) AS f FROM raw GROUP BY axis)
+, std AS (SELECT axis, lam, variable, category, mass, x * f AS x FROM raw JOIN flip USING (axis))
+"""
+
+
+def binary_profiles(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_quantity") > 25, "big").otherwise("small").alias("size"),
+        F.when(F.col("l_extendedprice") > 40000, "dear").otherwise("cheap").alias("price"),
+    )
+    return materialise(X.profile_counts(rows, ["size", "price"]))
+
+
+@query("mca_two_binary_eigen", "WITH one AS (SELECT 1)" + BINARY + """
+SELECT axis, round(lam, 6) AS eigenvalue, round(100 * lam, 6) AS percent, round(sum(100 * lam) OVER (ORDER BY axis), 6) AS cum_percent FROM axes""")
+def mca_two_binary_eigen(spark, sf):
+    df = X.mca_eigen(spark, X.fit_mca(binary_profiles(spark, sf), ["size", "price"]))
+    return df.withColumns({c: rounded(c) for c in ("eigenvalue", "percent", "cum_percent")})
+
+
+@query("mca_two_binary_coords", "WITH one AS (SELECT 1)" + BINARY + """
+SELECT variable, category, axis, round(x * sqrt(lam), 6) AS coord, round(100 * mass * x * x, 6) AS contrib FROM std""")
+def mca_two_binary_coords(spark, sf):
+    df = X.mca_categories(spark, X.fit_mca(binary_profiles(spark, sf), ["size", "price"]))
+    return df.withColumns({c: rounded(c) for c in ("coord", "contrib")})
+
+
+@query("mca_two_binary_scores", "WITH one AS (SELECT 1)" + BINARY + """
+SELECT size, price, count(*) AS n, round(any_value((a1.x + b1.x) / 2), 6) AS dim_1, round(any_value((a2.x + b2.x) / 2), 6) AS dim_2
+FROM z JOIN std a1 ON a1.category = size AND a1.axis = 1 JOIN std b1 ON b1.category = price AND b1.axis = 1
+JOIN std a2 ON a2.category = size AND a2.axis = 2 JOIN std b2 ON b2.category = price AND b2.axis = 2 GROUP BY size, price""")
+def mca_two_binary_scores(spark, sf):
+    profiles = binary_profiles(spark, sf)
+    df = X.mca_scores(profiles, X.fit_mca(profiles, ["size", "price"]))
+    return df.withColumns({c: rounded(c) for c in ("dim_1", "dim_2")})
+
+
+ONE_VARIABLE = """
+, k AS (SELECT presence, count(*)::DOUBLE AS n, avg(y) AS rate FROM rows GROUP BY 1)
+, t AS (SELECT sum(n) AS n, sum(n * rate) / sum(n) AS mean FROM k)
+, d AS (SELECT sqrt(sum(k.n * pow(rate - mean, 2)) / any_value(t.n)) AS sd FROM k, t)
+"""
+
+
+def one_variable(spark, sf):
+    profiles = materialise(X.profile_counts(model_rows(spark, sf), ["presence"], "answer"))
+    return profiles, X.fit_discriminant(profiles, ["presence"], "answer", "Unsustainable")
+
+
+@query("dfa_one_variable_scores", with_views("mentions profile", ROWS + ONE_VARIABLE + """
+SELECT presence, k.n::BIGINT AS n, round((rate - mean) / sd, 6) AS score FROM k, t, d"""))
+def dfa_one_variable_scores(spark, sf):
+    profiles, model = one_variable(spark, sf)
+    return profiles.groupBy("presence").agg(F.sum("n").alias("n")).withColumn("score", rounded(model.score()))
+
+
+@query("dfa_one_variable_loadings", with_views("mentions profile", ROWS + ONE_VARIABLE + """
+SELECT 'presence' AS variable, presence AS category, round((rate - mean) / sd * sqrt(k.n / t.n / (1 - k.n / t.n)), 6) AS correlation FROM k, t, d"""))
+def dfa_one_variable_loadings(spark, sf):
+    df = X.discriminant_loadings(spark, one_variable(spark, sf)[1])
+    return df.withColumn("correlation", rounded("correlation"))
+
+
+@query("glm_logit_numeric", "WITH RECURSIVE " + with_views("mentions profile", ROWS + """
+, c AS (SELECT range_pct AS v, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS s FROM rows GROUP BY 1)
+, l AS (SELECT list(v ORDER BY v) AS v, list(n ORDER BY v) AS n, list(s ORDER BY v) AS s FROM c)
+, it AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS h00, 0.0::DOUBLE AS h01, 1.0::DOUBLE AS h11
+  UNION ALL
+  SELECT step + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01), h00, h01, h11
+  FROM (SELECT step, a, b,
+    list_sum(list_transform(range(1, len(v) + 1), lambda i: s[i] - n[i] / (1 + exp(-a - b * v[i])))) AS g0,
+    list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * (s[i] - n[i] / (1 + exp(-a - b * v[i]))))) AS g1,
+    list_sum(list_transform(range(1, len(v) + 1), lambda i: n[i] / (1 + exp(-a - b * v[i])) / (1 + exp(a + b * v[i])))) AS h00,
+    list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * n[i] / (1 + exp(-a - b * v[i])) / (1 + exp(a + b * v[i])))) AS h01,
+    list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * v[i] * n[i] / (1 + exp(-a - b * v[i])) / (1 + exp(a + b * v[i])))) AS h11
+    FROM (SELECT step, a, b FROM it WHERE step < 20), l))
+SELECT term, round(est, 6) AS estimate, round(se, 6) AS std_error, round(exp(est), 6) AS odds_ratio
+FROM (SELECT '(Intercept)' AS term, a AS est, sqrt(h11 / (h00 * h11 - h01 * h01)) AS se FROM it WHERE step = 20
+      UNION ALL SELECT 'range_pct', b, sqrt(h00 / (h00 * h11 - h01 * h01)) FROM it WHERE step = 20)""")[5:])
+def glm_logit_numeric(spark, sf):
+    rows = model_rows(spark, sf)
+    model, terms, _ = G.logit_model(rows, "y", {}, ["range_pct"])
+    out = G.odds_ratios(G.coefficient_table(rows, model, terms)).select("term", "estimate", "std_error", "odds_ratio")
+    return out.withColumns({c: rounded(c) for c in ("estimate", "std_error", "odds_ratio")})
+
+
+BANDS = """
+WITH pts AS (SELECT concat(l_quantity::BIGINT, '/', round(l_discount * 100)::BIGINT) AS pt, l_quantity AS x, l_discount * 100 AS y,
+    CASE WHEN l_quantity <= 17 THEN 'low' WHEN l_quantity <= 34 THEN 'middle' ELSE 'high' END AS band, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL)
+, size AS (SELECT band, sum(n) AS n FROM pts GROUP BY 1)
+"""
+
+
+def band_points(spark, sf):
+    q, d = F.col("l_quantity"), F.col("l_discount") * 100
+    return table(spark, sf, "lineitem").groupBy(
+        F.concat_ws("/", q.cast("bigint").cast("string"), F.round(d).cast("bigint").cast("string")).alias("pt"),
+        q.alias("x"), d.alias("y"),
+        F.when(q <= 17, "low").when(q <= 34, "middle").otherwise("high").alias("band"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("silhouette_exact_bands", BANDS + """
+, d AS (SELECT a.pt, a.band, a.n, b.band AS other, sum(b.n * sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS s FROM pts a, pts b GROUP BY ALL)
+, m AS (SELECT pt, d.band, any_value(d.n) AS n, max(CASE WHEN other = d.band THEN s / (size.n - 1) END) AS a, min(CASE WHEN other <> d.band THEN s / size.n END) AS b
+        FROM d JOIN size ON size.band = other GROUP BY pt, d.band)
+SELECT band, sum(n)::BIGINT AS n, round(sum(n * (b - a) / greatest(a, b)) / sum(n), 6) AS silhouette FROM m GROUP BY band""")
+def silhouette_exact_bands(spark, sf):
+    s = X.silhouette_exact(band_points(spark, sf), "pt", ["x", "y"], "band")
+    return s.groupBy("band").agg(
+        F.sum("n").cast("bigint").alias("n"), rounded(F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).alias("silhouette")
+    )
+
+
+@query("silhouette_ml_bands", BANDS + """
+, c AS (SELECT band, sum(n) AS w, sum(n * x) / sum(n) AS mx, sum(n * y) / sum(n) AS my, sum(n * (x * x + y * y)) / sum(n) AS ss FROM pts GROUP BY 1)
+, d AS (SELECT a.pt, a.band, a.n, c.band AS other, c.w, a.x * a.x + a.y * a.y + c.ss - 2 * (a.x * c.mx + a.y * c.my) AS s FROM pts a, c)
+, m AS (SELECT pt, band, any_value(n) AS n, max(CASE WHEN other = band THEN s * w / (w - n) END) AS a, min(CASE WHEN other <> band THEN s END) AS b FROM d GROUP BY pt, band)
+SELECT round(sum(n * (b - a) / greatest(a, b)) / sum(n), 6) AS silhouette_squared FROM m""")
+def silhouette_ml_bands(spark, sf):
+    number = F.when(F.col("band") == "low", 0).when(F.col("band") == "middle", 1).otherwise(2)
+    df = X.silhouette_ml(band_points(spark, sf).withColumn("c", number), ["x", "y"], "c")
+    return df.withColumn("silhouette_squared", rounded("silhouette_squared"))
