@@ -263,11 +263,12 @@ def describe_groups(profiles: DataFrame, variables: Sequence[str], group: str) -
     cells = class_counts(profiles, variables, group)
     by_cat = cells.groupBy("var", "cat").agg(F.sum("n").alias("n_cat"))
     by_cls = profiles.groupBy(F.col(group).alias("cls")).agg(F.sum("n").alias("n_cls"))
-    # every (category, group) pair of the small category tables, zero cells included
-    groups = by_cls.agg(F.collect_list(F.struct("cls", "n_cls")).alias("gs"), F.sum("n_cls").alias("n"))
-    full = enrich(
-        by_cat.withColumn("one", F.lit(1)), groups.withColumn("one", F.lit(1)), ["one"], how="inner"
-    ).select("var", "cat", "n_cat", "n", F.explode("gs").alias("g")).select("var", "cat", "n_cat", "n", "g.*")
+    # zero cells count too: each category row is repeated for the groups, held in one array
+    groups = by_cls.agg(F.collect_list(F.struct("cls", "n_cls")).alias("gs")).scalar()
+    total = by_cls.agg(F.sum("n_cls")).scalar()
+    full = by_cat.select("var", "cat", "n_cat", total.alias("n"), groups.alias("gs")).select(
+        "var", "cat", "n_cat", "n", F.inline("gs")
+    )
     t = enrich(full, cells.withColumnRenamed("n", "n_cell"), ["var", "cat", "cls"])
     n, k, j = (F.col(c).cast("double") for c in ("n", "n_cat", "n_cls"))
     x = F.coalesce("n_cell", F.lit(0)).cast("double")

@@ -90,8 +90,9 @@ def spread_group_value(df: DataFrame, keys: Sequence[str], **aggregates) -> Data
     A map-side combined aggregate is joined back instead of a window, so that one
     hot group never has to be sorted in a single task.
     """
-    per_group = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
-    return enrich(df, per_group, list(keys), null_keys="match")
+    # the row count keeps an earlier distinct of ``df`` in the plan, so its shuffle is shared
+    per_group = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in aggregates.items()])
+    return enrich(df, per_group.filter("__n > 0").drop("__n"), list(keys), null_keys="match")
 
 
 def keep_matched_if_any(df: DataFrame, keys: Sequence[str], matched) -> DataFrame:

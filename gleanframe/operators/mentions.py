@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gleanframe.functions.nulls import half_even, ratio, strict_sum
-from gleanframe.operators.joins import enrich, keep_members
+from gleanframe.operators.joins import enrich
 from gleanframe.operators.ordering import prefix_sums, quantiles, top_with_ties, value_counts
 
 UNSUSTAINABLE = "Unsustainable"
@@ -40,11 +40,18 @@ def sustainability_ratio(
     """Share of votes that call a name unsustainable, lowest first."""
     by = list(by)
     votes = df.select("id", "answer", *by).distinct()
-    if top is not None:
-        votes = keep_members(votes, top_with_ties(citations(df), "citations", top), ["name"])
     counts = votes.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_citations"), F.count_if(F.col("answer") == flagged).alias("__bad")
     )
+    if top is not None:
+        # counted from the same distinct votes, whose shuffle both branches share: the count
+        # per pair, the missing null filters and the join kind keep the optimizer from
+        # pushing anything below it and scanning anew
+        pairs = votes.groupBy("name", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+        cited = pairs.groupBy("name").agg(F.count("id").alias("n")).select(
+            "name", F.when(F.col("name").isNotNull(), F.col("n")).alias("citations")
+        )
+        counts = enrich(counts, top_with_ties(cited, "citations", top).select("name"), ["name"], how="inner")
     out = counts.select(*by, ratio("__bad", "total_citations").alias("ratio_unsustainable"), "total_citations")
     for bound, test in (
         (min_ratio, lambda b: F.col("ratio_unsustainable") >= b),
@@ -212,9 +219,15 @@ def contingency_percent(df: DataFrame, row: str, col: str, columns: Sequence[str
 
 
 def area_coverage(df: DataFrame, geography: DataFrame, area: str = "area") -> DataFrame:
-    """Distinct respondents per area, every area of the geography kept."""
+    """Distinct respondents per area, every area of the geography kept.
+
+    Both tables have one row per area, so the full join is a union and one aggregate: the
+    mentions are read once.
+    """
     seen = df.select("id", area).distinct().groupBy(area).agg(F.count("id").alias("n_answers"))
-    return enrich(seen, geography, [area], how="full")
+    rest = [c for c in geography.columns if c != area]
+    both = seen.unionByName(geography, allowMissingColumns=True)
+    return both.groupBy(area).agg(*[F.max(c).alias(c) for c in ("n_answers", *rest)])
 
 
 def area_total(df: DataFrame, area: str, size: str) -> DataFrame:
