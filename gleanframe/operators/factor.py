@@ -361,7 +361,10 @@ class Discriminant:
 
 
 def _class_matrix(profiles, mca_keys, variables, group):
-    cells = class_counts(profiles, variables, group).limit(MAX_CATEGORIES**2).toPandas()
+    cap = MAX_CATEGORIES**2
+    cells = class_counts(profiles, variables, group).limit(cap + 1).toPandas()
+    if len(cells) > cap:
+        raise ValueError(f"more than {cap} (category, class) cells: {group} is not a class column")
     classes = sorted(cells.cls.unique())
     pos = {k: i for i, k in enumerate(mca_keys)}
     m = np.zeros((len(classes), len(mca_keys)))
