@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanframe.llm import bpe
+from gleanframe.llm import bpe, token_files
 from gleanframe.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -24,3 +24,8 @@ def query(name: str, sql: str | None = None):
 @query("op8_bpe_round_trip")
 def op8_bpe_round_trip(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"))
+
+
+@query("op9_token_files")
+def op9_token_files(spark, sf):
+    return token_files.write_and_read(table(spark, sf, "documents"))
