@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanframe.llm import bpe, decontaminate, token_files
+from gleanframe.llm import bpe, decontaminate, simhash, token_files
 from gleanframe.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -21,6 +21,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op2_simhash_pigeonring")
+def op2_simhash_pigeonring(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op6_decontaminate", decontaminate.SQL)
 def op6_decontaminate(spark, sf):
     return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
