@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanframe.llm import bpe, decontaminate, simhash, token_files
+from gleanframe.llm import bpe, decontaminate, resample, simhash, token_files
 from gleanframe.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -39,3 +39,8 @@ def op8_bpe_round_trip(spark, sf):
 @query("op9_token_files")
 def op9_token_files(spark, sf):
     return token_files.write_and_read(table(spark, sf, "documents"))
+
+
+@query("op10_importance_resampling")
+def op10_importance_resampling(spark, sf):
+    return resample.resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
