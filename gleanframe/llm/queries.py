@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanframe.llm import bpe, decontaminate, pii, resample, simhash, token_files
+from gleanframe.llm import bpe, decontaminate, passages, pii, resample, simhash, token_files
 from gleanframe.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -31,6 +31,11 @@ def op3_pii_disclosure(spark, sf):
     return pii.report(table(spark, sf, "documents"))
 
 
+@query("op5_repeated_lines", passages.SQL)
+def op5_repeated_lines(spark, sf):
+    return passages.report(table(spark, sf, "documents"))
+
+
 @query("op6_decontaminate", decontaminate.SQL)
 def op6_decontaminate(spark, sf):
     return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
