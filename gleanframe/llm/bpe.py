@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -25,13 +26,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from gleanframe.llm.common import append, pieces, replacing, strings, with_columns
 
 #: Units and pre-tokens remembered by a worker; about 200 bytes each. Longer ones are not kept.
-UNITS, WORDS, LONGEST = 400_000, 800_000, 100
+UNITS, WORDS, LONGEST = 700_000, 700_000, 100
 #: Fixed value: the pattern that cuts a text into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters that some Unicode version or library takes for white space.
 BLANK = "\\s\x1c-\x1f\x85\u180e\u200b"
 EDGE = re.compile(f"(?<=[^{BLANK}]) (?=[^{BLANK}])")
 SOFT = re.compile(f"[{BLANK}]")
+#: The usual units: a word with signs after it, and perhaps a line break and the same again.
+SIGNS = "[!-&(-/:-@\\[-`{-~]*"
+USUAL = re.compile(f"([^\\W\\d_]+)({SIGNS})(?:\n([^\\W\\d_]+)({SIGNS}))?").fullmatch
 
 
 def default_vocabulary() -> str:
@@ -55,6 +59,11 @@ class Ragged(Exception):
     """A unit that touches white space: its text must be cut with more care."""
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Words(dict):
     """Memo from a pre-token to its ids as little-endian 32-bit integers."""
 
@@ -71,16 +80,14 @@ class Words(dict):
 
 
 class Units(dict):
-    """The same for a unit, which ``lead`` (a space or nothing) comes before."""
+    """The same for units that a space comes before."""
 
-    def __init__(self, make, lead: str):
-        self.make, self.lead = make, lead
+    def __init__(self, make):
+        self.make = make
 
     def __missing__(self, unit: str) -> bytes:
-        if not unit or SOFT.match(unit[0]) or SOFT.match(unit[-1]):
-            raise Ragged
-        out = self.make(self.lead + unit)
-        if len(unit) <= LONGEST:
+        out = self.make(unit)
+        if "\n" not in unit and len(unit) <= LONGEST:  # two words about a line break seldom come again
             if len(self) >= UNITS:
                 self.clear()
             self[unit] = out
@@ -94,11 +101,25 @@ class UnitEncoder:
     """
 
     def __init__(self, word, added: dict[str, int]):
-        self.added = {k: np.array([i], "<u4").tobytes() for k, i in added.items()}
+        self.added = {k: packed([i]) for k, i in added.items()}
         self.has_added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
         self.words = Words(word)
         self.cut = regex.compile(PATTERN).findall
-        self.first, self.later = Units(self.unit, ""), Units(self.unit, " ")
+        self.later = Units(self.later_unit)
+
+    def later_unit(self, unit: str) -> bytes:
+        """Ids of a unit that a space comes before; the usual ones are cut without the full pattern."""
+        shape = USUAL(unit)
+        if shape:
+            word, signs, next_word, next_signs = shape.groups()
+            if word.isalpha() and (next_word is None or next_word.isalpha()) and not self.has_added.search(unit):
+                ids = self.words
+                if next_word is not None:
+                    return ids[" " + word] + ids[signs] + ids["\n"] + ids[next_word] + ids[next_signs]
+                return ids[" " + word] + ids[signs] if signs else ids[" " + word]
+        elif not unit or SOFT.match(unit[0]) or SOFT.match(unit[-1]):
+            raise Ragged
+        return self.unit(" " + unit)
 
     def unit(self, text: str) -> bytes:
         if not self.has_added.search(text):
@@ -115,7 +136,8 @@ class UnitEncoder:
             return b""
         head, *rest = text.split(" ")
         try:
-            return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+            if head and not SOFT.match(head[-1]):
+                return b"".join([self.unit(head), *map(self.later.__getitem__, rest)])
         except Ragged:
             pass
         head, *rest = EDGE.split(text)
@@ -193,7 +215,7 @@ class BytePairs:
 
     def encode_word(self, word: str) -> bytes:
         byte_id = self.byte_id
-        return np.array(self.merge([byte_id[b] for b in word.encode()]), "<u4").tobytes()
+        return packed(self.merge([byte_id[b] for b in word.encode()]))
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; bytes that are no UTF-8 become the replacement character."""

@@ -27,7 +27,7 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gleanframe.llm.bpe import UnitEncoder, default_vocabulary
+from gleanframe.llm.bpe import UnitEncoder, byte_letters, default_vocabulary, packed
 from gleanframe.llm.common import pieces, strings
 from gleanframe.session import scratch_path
 
@@ -168,7 +168,7 @@ _ENCODERS: dict[str, UnitEncoder] = {}
 
 
 def library_encoder(path: str | None) -> UnitEncoder:
-    """The tokenizers library over one vocabulary file, each pre-token encoded once for each worker."""
+    """The tokenizers library's BPE model over one vocabulary file; a worker has it encode a pre-token once."""
     from tokenizers import Tokenizer
 
     path = path or default_vocabulary()
@@ -177,9 +177,17 @@ def library_encoder(path: str | None) -> UnitEncoder:
         library.no_truncation()
         library.no_padding()
         added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-        _ENCODERS[path] = UnitEncoder(
-            lambda word: np.array(library.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), added
-        )
+        letters = {b: c for c, b in byte_letters().items()}
+        tokens_of = library.model.tokenize
+
+        def word_ids(word: str) -> bytes:
+            if word.isascii() and word[1:].isalpha() and word[0] == " ":
+                written = letters[32] + word[1:]
+            else:
+                written = word.encode().decode("latin-1").translate(letters)
+            return packed([t.id for t in tokens_of(written)])
+
+        _ENCODERS[path] = UnitEncoder(word_ids, added)
     return _ENCODERS[path]
 
 
@@ -248,7 +256,7 @@ def read(manifest: DataFrame) -> DataFrame:
     """
     before = W.partitionBy(F.lit(0)).orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
     placed = manifest.select(
-        "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"), F.hash("path").alias("deal")
+        "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first")
     )
 
     def run(batches):
@@ -266,7 +274,8 @@ def read(manifest: DataFrame) -> DataFrame:
                         rows = []
                 yield to_batch(rows)
 
-    return placed.repartition(F.col("deal")).select("path", "first").mapInArrow(run, READ_BACK)
+    # a number that is asked for is kept, so that few small rows still go to as many tasks
+    return placed.repartition(max(1, manifest.count())).mapInArrow(run, READ_BACK)
 
 
 def to_batch(rows: list[tuple]) -> pa.RecordBatch:
