@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanframe.llm import bpe, decontaminate, passages, pii, resample, simhash, token_files
+from gleanframe.llm import bpe, decontaminate, passages, pii, quality_rules, resample, simhash, token_files
 from gleanframe.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -21,6 +21,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_risk_controlled_rules", quality_rules.sql())
+def op1_risk_controlled_rules(spark, sf):
+    return quality_rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op2_simhash_pigeonring")
 def op2_simhash_pigeonring(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
