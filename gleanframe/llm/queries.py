@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanframe.llm import bpe, decontaminate, passages, pii, quality_rules, resample, simhash, token_files
+from gleanframe.llm import bpe, decontaminate, passages, pii, quality_rules, quote_links, resample, simhash, token_files
 from gleanframe.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -36,6 +36,12 @@ def op3_pii_disclosure(spark, sf):
     return pii.report(table(spark, sf, "documents"))
 
 
+@query("op4_quote_links", quote_links.SQL)
+def op4_quote_links(spark, sf):
+    mail = quote_links.as_mail(table(spark, sf, "conversations"))
+    return quote_links.report(quote_links.build(mail))
+
+
 @query("op5_repeated_lines", passages.SQL)
 def op5_repeated_lines(spark, sf):
     return passages.report(table(spark, sf, "documents"))
