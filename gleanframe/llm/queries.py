@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanframe.llm import bpe, decontaminate, passages, pii, quality_rules, quote_links, resample, simhash, token_files
+from gleanframe.llm import bpe, decontaminate, passages, pii, quality_rules, quote_links, resample, secret_scan, simhash, token_files
 from gleanframe.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -52,6 +52,11 @@ def op6_decontaminate(spark, sf):
     return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op7_secret_forest")
+def op7_secret_forest(spark, sf):
+    return secret_scan.report(secret_scan.scan(table(spark, sf, "documents"), rule=secret_scan.weak_label()))
+
+
 @query("op8_bpe_round_trip")
 def op8_bpe_round_trip(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"))
