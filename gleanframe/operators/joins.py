@@ -19,10 +19,11 @@ def unique_dimension(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
     rest = [c for c in dim.columns if c not in keys]
     packed = F.struct(*rest)
     out = dim.groupBy(*keys).agg(F.min(packed).alias("lo"), F.max(packed).alias("hi"))
-    checked = F.when(F.col("lo").eqNullSafe(F.col("hi")), F.col("lo")).otherwise(
-        F.raise_error(F.concat(F.lit("dimension key with two values: "), F.to_json(F.struct(*keys))))
+    # the test is a filter: a projection would be pruned when only the key is read
+    checked = F.when(F.col("lo").eqNullSafe(F.col("hi")), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("dimension key with two values: "), F.to_json(F.struct(*keys)))).cast("boolean")
     )
-    return out.select(*keys, checked.alias("row")).select(*keys, *[F.col("row")[c].alias(c) for c in rest])
+    return out.filter(checked).select(*keys, *[F.col("lo")[c].alias(c) for c in rest])
 
 
 def enrich(

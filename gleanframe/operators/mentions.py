@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gleanframe.functions.nulls import half_even, ratio, strict_sum
 from gleanframe.operators.joins import enrich
-from gleanframe.operators.ordering import prefix_sums, quantiles, top_with_ties, value_counts
+from gleanframe.operators.ordering import prefix_sums, quantiles_of_counts, top_with_ties, value_counts
+from gleanframe.session import materialise
 
 UNSUSTAINABLE = "Unsustainable"
 SUSTAINABLE = "Sustainable"
@@ -184,38 +185,48 @@ def share_within(counts: DataFrame, keys: Sequence[str], n: str = "n", name: str
     """Percent of the group total (or of everything, without keys).
 
     ``counts`` is a table of category counts: a group has one row per category, never
-    one per input row, so the window stays small and the counts are computed once.
+    one per input row. The grand total is a scalar, so no task sees all categories.
     """
-    group = W.partitionBy(*(keys or [F.lit(0)]))
-    return counts.withColumn(name, F.col(n) * 100.0 / F.sum(n).over(group))
+    if not keys:
+        return counts.withColumn(name, F.col(n) * 100.0 / counts.agg(F.sum(n)).scalar())
+    return counts.withColumn(name, F.col(n) * 100.0 / F.sum(n).over(W.partitionBy(*keys)))
 
 
 def frequencies(
-    df: DataFrame, column: str, id: str = "id", missing: str = "Prefer not to answer", last: Sequence[str] = ("Other",)
+    df: DataFrame, column: str, id: str = "id", missing: str | None = "Prefer not to answer", last: Sequence[str] = ("Other",)
 ) -> DataFrame:
-    """Distinct respondents per category, missing as a label, with the display order.
+    """Distinct respondents per category with the display order and the share.
 
-    The order is by falling frequency, with ``last`` and ``missing`` at the end. It is
-    taken over the category list, which must stay under 10,000 labels.
+    A null becomes the label ``missing``, or is left out where that is None. The order is by
+    falling frequency, with ``last`` and ``missing`` at the end; positions come from prefix
+    sums, so any number of categories will do.
     """
+    category = F.col(column) if missing is None else F.coalesce(F.col(column), F.lit(missing))
     counts = (
-        df.select(id, F.coalesce(F.col(column), F.lit(missing)).alias("category")).distinct()
+        df.select(id, category.alias("category")).filter("category is not null").distinct()
         .groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     )
-    tail = F.array_position(F.array(*[F.lit(v) for v in (*last, missing)]), F.col("category"))
-    order = W.partitionBy(F.lit(0)).orderBy(tail, F.desc("n"), "category")
-    shares = share_within(counts, [])
-    guarded = F.when(F.row_number().over(order) <= 10_000, F.row_number().over(order)).otherwise(
-        F.raise_error(F.lit("more than 10000 categories: not a category column"))
+    ends = [*last, *([] if missing is None else [missing])]
+    tail = F.array_position(F.array(*[F.lit(v) for v in ends]), F.col("category")) if ends else F.lit(0)
+    placed = prefix_sums(counts.withColumn("__one", F.lit(1)), [], [tail, F.desc("n"), F.col("category")], ["__one", "n"])
+    return placed.select(
+        "category", "n", (F.col("n") * 100.0 / F.col("all_n")).alias("pct"), F.col("cum___one").cast("int").alias("position")
     )
-    return shares.withColumn("position", guarded.cast("int"))
 
 
 def contingency_percent(df: DataFrame, row: str, col: str, columns: Sequence[str], digits: int = 1) -> DataFrame:
-    """Row-normalised contingency table in percent."""
-    cells = df.groupBy(row).agg(*[F.count_if(F.col(col) == c).alias(c) for c in columns])
-    total = sum((F.col(f"`{c}`") for c in columns), F.lit(0))
-    return cells.select(row, *[half_even(ratio(F.col(f"`{c}`"), total, 100.0), digits).alias(c) for c in columns])
+    """Row-normalised contingency table in percent, nulls left out.
+
+    The total of a row is over all its values; those that ``columns`` does not name are
+    counted in ``undeclared``.
+    """
+    known = df.filter(F.col(col).isNotNull())
+    named = F.col(col).isin(list(columns))
+    cells = known.groupBy(row).agg(
+        *[F.count_if(F.col(col) == c).alias(c) for c in columns], F.count_if(~named).alias("undeclared"), F.count(F.lit(1)).alias("__all")
+    )
+    share = lambda c: half_even(ratio(F.col(f"`{c}`"), "__all", 100.0), digits)
+    return cells.select(row, *[share(c).alias(c) for c in columns], "undeclared")
 
 
 def area_coverage(df: DataFrame, geography: DataFrame, area: str = "area") -> DataFrame:
@@ -236,22 +247,27 @@ def area_total(df: DataFrame, area: str, size: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, by: Sequence[str], bins: int = 30) -> DataFrame:
-    """Equal-width counts over the common range of all groups."""
-    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    """Equal-width counts over the common range of all groups.
+
+    ``df`` is read once: its value counts are stored and give both the range and the bins.
+    """
+    counts = materialise(value_counts(df, list(by), value))
+    ends = counts.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
     width = (hi - lo) / F.lit(float(bins))
-    slot = F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)).cast("int")
-    return (
-        df.filter(F.col(value).isNotNull()).groupBy(*by, slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    )
+    # values that are all the same fall into the first bin
+    at = F.coalesce(F.floor(F.try_divide(F.col(value) - lo, width)), F.lit(0))
+    slot = F.least(at, F.lit(bins - 1)).cast("int")
+    return counts.groupBy(*by, slot.alias("bin")).agg(F.sum("n").alias("n"))
 
 
 def boxplot(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Quartiles and whiskers (extreme values within 1.5 box lengths)."""
+    """Quartiles and whiskers (extreme values within 1.5 box lengths); ``df`` is read once."""
     by = list(by)
-    box = quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    counts = materialise(value_counts(df, by, value))
+    box = quantiles_of_counts(counts, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    values = enrich(value_counts(df, by, value).drop("n"), box, by, null_keys="match")
+    values = enrich(counts.drop("n"), box, by, null_keys="match")
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return values.groupBy(*by, "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
@@ -259,13 +275,25 @@ def boxplot(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def density(df: DataFrame, by: str, value: str, lo: float, hi: float, points: int = 64, bandwidth: float = 1.0) -> DataFrame:
-    """Gaussian kernel density per class on a fixed grid.
+def density(
+    df: DataFrame, by: str, value: str, lo: float | None = None, hi: float | None = None, points: int = 64, bandwidth: float = 1.0
+) -> DataFrame:
+    """Gaussian kernel density per class on a grid, by default over the range of the values.
 
     Values are first spread linearly over the grid cells they fall between, so the
-    kernel sum runs over at most ``points`` bins a class whatever the row count.
+    kernel sum runs over at most ``points`` bins a class whatever the row count. Values
+    beyond a given ``lo`` or ``hi`` are left out of sum and total; ``n_outside`` counts them.
     """
+    every = materialise(df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n")))
+    if lo is None or hi is None:
+        first = every.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+        if first.lo is None:
+            lo, hi = 0.0, 1.0
+        lo = float(first.lo) if lo is None and first.lo is not None else float(lo)
+        hi = float(first.hi) if hi is None and first.hi is not None else float(hi)
+        hi = hi if hi > lo else lo + 1.0
     step = (hi - lo) / (points - 1)
+    within = F.col(value).between(lo, hi)
     at = (F.col(value) - lo) / step
     left = F.greatest(F.lit(0), F.least(F.floor(at), F.lit(points - 2)))
     frac = at - left
@@ -275,12 +303,13 @@ def density(df: DataFrame, by: str, value: str, lo: float, hi: float, points: in
             F.struct((left + 1).cast("int").alias("bin"), frac.alias("w")),
         )
     )
-    counts = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
     bins = (
-        counts.select(by, "n", pieces.alias("p"))
+        every.filter(within).select(by, "n", pieces.alias("p"))
         .groupBy(by, "p.bin").agg(F.sum(F.col("p.w") * F.col("n")).alias("w"))
     )
-    totals = counts.groupBy(by).agg(F.sum("n").alias("total"))
+    totals = every.groupBy(by).agg(
+        F.sum(F.when(within, F.col("n"))).alias("total"), F.coalesce(F.sum(F.when(~within, F.col("n"))), F.lit(0)).alias("n_outside")
+    )
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     z = (F.col("point") - F.col("bin")) * (step / bandwidth)
     kernel = F.exp(-0.5 * z * z) / (bandwidth * (2 * 3.141592653589793) ** 0.5)
@@ -288,7 +317,7 @@ def density(df: DataFrame, by: str, value: str, lo: float, hi: float, points: in
         bins.select(by, "bin", "w", grid.alias("point")).groupBy(by, "point").agg(F.sum(F.col("w") * kernel).alias("s"))
     )
     out = enrich(summed, totals, [by], null_keys="match")
-    return out.select(by, (F.lit(lo) + F.col("point") * step).alias("x"), (F.col("s") / F.col("total")).alias("density"))
+    return out.select(by, (F.lit(lo) + F.col("point") * step).alias("x"), (F.col("s") / F.col("total")).alias("density"), "n_outside")
 
 
 def map_layer(geography: DataFrame, cells: DataFrame, on: Sequence[str], name: str | None = None) -> DataFrame:

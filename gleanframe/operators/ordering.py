@@ -53,8 +53,13 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
 
     Works on counts per distinct value, so no group is ever held in one task.
     """
+    return quantiles_of_counts(value_counts(df, list(by), value), by, value, probs)
+
+
+def quantiles_of_counts(counts: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """The same from rows (``by``, ``value``, ``n``) with distinct values."""
     by = list(by)
-    cum = prefix_sums(value_counts(df, by, value), by, [value], ["n"])
+    cum = prefix_sums(counts, by, [value], ["n"])
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n")
     cells = []
     for name, p in probs.items():

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from gleanframe.functions.nulls import closed_set, recode_pattern
+from gleanframe.functions.text import normalise_name
 from gleanframe.operators.joins import enrich, keep_matched_if_any
 from gleanframe.operators.mentions import share_within
 
@@ -33,17 +34,21 @@ def relevant_rules(rules: DataFrame) -> DataFrame:
     return rules.filter((F.col("grouping") == "Protection") | (F.col("status_code") == "REGL"))
 
 
-def match_rules(answers: DataFrame, rules: DataFrame, places: dict[str, str | None]) -> DataFrame:
+def match_rules(
+    answers: DataFrame, rules: DataFrame, places: dict[str, str | None], identity: Sequence[str] = ()
+) -> DataFrame:
     """Stack the matches of every level; unmatched answers stay with a null status.
 
-    ``places`` maps a level to the answer column its place must equal (None: no place).
-    The rule table is reduced to distinct (name, level, place, status) first.
+    ``places`` maps a level to the answer column its place must equal (None: no place). Places
+    are normalised on both sides: accents, hyphens and apostrophes do not keep them apart.
+    The rule table is reduced to distinct (name, level, place, status) first, so that two texts of
+    one status count once; with ``identity`` (a citation, say) each text counts by itself.
     """
     # one join for all levels: each answer is repeated per level with that level's place
     asked = F.explode(
         F.array(
             *[
-                F.struct(F.lit(level).alias("rule_level"), (F.lit("") if place is None else F.col(place)).alias("rule_place"))
+                F.struct(F.lit(level).alias("rule_level"), (F.lit("") if place is None else normalise_name(place)).alias("rule_place"))
                 for level, place in places.items()
             ]
         )
@@ -54,12 +59,12 @@ def match_rules(answers: DataFrame, rules: DataFrame, places: dict[str, str | No
         level_of = F.when(hit, level) if level_of is None else level_of.when(hit, level)
     anywhere = [level for level, place in places.items() if place is None]
     table = (
-        rules.select("name", level_of.alias("rule_level"), "place", "grouping", "status_label")
+        rules.select("name", level_of.alias("rule_level"), "place", "grouping", "status_label", *identity)
         .filter(F.col("rule_level").isNotNull())
         .select(
             "name", "rule_level",
-            F.when(F.col("rule_level").isin(anywhere), "").otherwise(F.col("place")).alias("rule_place"),
-            "grouping", "status_label",
+            F.when(F.col("rule_level").isin(anywhere), "").otherwise(normalise_name("place")).alias("rule_place"),
+            "grouping", "status_label", *identity,
         )
         .distinct()
     )
@@ -77,11 +82,11 @@ def status_group(df: DataFrame) -> DataFrame:
 
 
 def answers_with_status(
-    answers: DataFrame, rules: DataFrame, places: dict[str, str | None], answer: str = "regulation"
+    answers: DataFrame, rules: DataFrame, places: dict[str, str | None], answer: str = "regulation", identity: Sequence[str] = ()
 ) -> DataFrame:
     """Answers against the law: match, keep matched rows where a name has any, tidy the answers."""
     rules = relevant_rules(rules)
-    matched = match_rules(answers, rules, places)
+    matched = match_rules(answers, rules, places, identity)
     kept = status_group(keep_matched_if_any(matched, ["name"], F.col("grouping").isNotNull()))
     tidy = recode_pattern(answer, (("yes", "Yes"), ("no", "No")), ignore_case=True)
     known = rules.select("name").distinct().withColumn(
@@ -97,6 +102,11 @@ def status_shares(df: DataFrame, answer: str = "regulation") -> DataFrame:
     return share_within(share_within(counts, [answer]), [], name="pct_all")
 
 
+def answer_shares(df: DataFrame, answer: str = "regulation") -> DataFrame:
+    """Counts per answer alone with the share of all rows."""
+    return share_within(df.groupBy(answer).agg(F.count(F.lit(1)).alias("n")), [])
+
+
 def score_answers(df: DataFrame, answer: str = "regulation") -> DataFrame:
     """"Yes" with a rule or "No" without one is correct; everything else is not."""
     a, s = F.col(answer), F.col("status_group")

@@ -191,6 +191,14 @@ def profile_frequencies(spark, sf):
     return df.withColumn("pct", rounded("pct"))
 
 
+@query("frequencies_known", with_views("mentions mentions_nullable", """
+SELECT category, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 6) AS pct, CAST(row_number() OVER (ORDER BY n DESC, category) AS INTEGER) AS position
+FROM (SELECT life_form AS category, count(DISTINCT id) AS n FROM mentions_nullable WHERE life_form IS NOT NULL GROUP BY 1)"""))
+def frequencies_known(spark, sf):
+    df = M.frequencies(mentions_nullable(spark, sf, "id", "life_form"), "life_form", missing=None, last=())
+    return df.withColumn("pct", rounded("pct"))
+
+
 @query("contingency_pct", with_views("profile", """
 SELECT segment, round_even(100.0::DOUBLE * count(*) FILTER (balance_band = 'debt') / count(*), 1) AS debt,
        round_even(100.0::DOUBLE * count(*) FILTER (balance_band = 'low') / count(*), 1) AS low,
@@ -198,7 +206,16 @@ SELECT segment, round_even(100.0::DOUBLE * count(*) FILTER (balance_band = 'debt
        round_even(100.0::DOUBLE * count(*) FILTER (balance_band = 'high') / count(*), 1) AS high
 FROM profile GROUP BY segment"""))
 def contingency_pct(spark, sf):
-    return M.contingency_percent(profile(spark, sf), "segment", "balance_band", ["debt", "low", "middle", "high"])
+    return M.contingency_percent(profile(spark, sf), "segment", "balance_band", ["debt", "low", "middle", "high"]).drop("undeclared")
+
+
+@query("contingency_undeclared", with_views("profile", """
+SELECT segment, round_even(100.0::DOUBLE * count(*) FILTER (balance_band = 'debt') / count(*), 1) AS debt,
+       round_even(100.0::DOUBLE * count(*) FILTER (balance_band = 'low') / count(*), 1) AS low,
+       count(*) FILTER (balance_band NOT IN ('debt', 'low')) AS undeclared
+FROM profile GROUP BY segment"""))
+def contingency_undeclared(spark, sf):
+    return M.contingency_percent(profile(spark, sf), "segment", "balance_band", ["debt", "low"])
 
 
 @query("area_coverage", with_views("mentions geography", """
@@ -245,6 +262,20 @@ SELECT answer, round(point * (51.0::DOUBLE / 63), 6) AS x,
 FROM bins JOIN tot USING (answer), range(64) t(point) GROUP BY answer, point"""))
 def density_by_class(spark, sf):
     df = M.density(mentions(spark, sf, "answer", "range_pct"), "answer", "range_pct", 0.0, 51.0, points=64, bandwidth=2.5)
+    return df.withColumns({"x": rounded("x"), "density": rounded("density")}).drop("n_outside")
+
+
+@query("density_within", with_views("mentions", """
+, v AS (SELECT answer, range_pct BETWEEN 5 AND 40 AS held, (range_pct - 5.0) / (35.0::DOUBLE / 63) AS pos, count(*) AS n FROM mentions GROUP BY ALL)
+, s AS (SELECT answer, n, greatest(0, least(floor(pos), 62)) AS b, pos - greatest(0, least(floor(pos), 62)) AS f FROM v WHERE held)
+, bins AS (SELECT answer, b AS bin, n * (1 - f) AS w FROM s UNION ALL SELECT answer, b + 1, n * f FROM s)
+, tot AS (SELECT answer, sum(n) FILTER (held) AS total, CAST(coalesce(sum(n) FILTER (NOT held), 0) AS BIGINT) AS n_outside FROM v GROUP BY 1)
+SELECT answer, round(5 + point * (35.0::DOUBLE / 63), 6) AS x,
+       round(sum(w * exp(-0.5 * pow((point - bin) * (35.0::DOUBLE / 63) / 2.5, 2)) / (2.5 * sqrt(2 * pi()))) / any_value(total), 6) AS density,
+       any_value(n_outside) AS n_outside
+FROM bins JOIN tot USING (answer), range(64) t(point) GROUP BY answer, point"""))
+def density_within(spark, sf):
+    df = M.density(mentions(spark, sf, "answer", "range_pct"), "answer", "range_pct", 5.0, 40.0, points=64, bandwidth=2.5)
     return df.withColumns({"x": rounded("x"), "density": rounded("density")})
 
 

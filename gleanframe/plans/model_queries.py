@@ -126,7 +126,7 @@ def cluster_moments(spark, sf):
 
 @query("cluster_composition")
 def cluster_composition(spark, sf):
-    return M.contingency_percent(clustered_profiles(spark, sf)[0], "cluster", "segment", SEGMENTS)
+    return M.contingency_percent(clustered_profiles(spark, sf)[0], "cluster", "segment", SEGMENTS).drop("undeclared")
 
 
 def model_rows(spark, sf):

@@ -18,9 +18,9 @@ ANSWERS = """
     CASE status WHEN 'F' THEN 'Yes, it is regulated' WHEN 'O' THEN 'No, no known regulation' ELSE 'IDK' END AS regulation FROM mentions)
 , good AS (SELECT * FROM rules WHERE "grouping" = 'Protection' OR status_code = 'REGL')
 , stacked AS (
-  SELECT a.*, r."grouping", r.status_label FROM answers a LEFT JOIN (SELECT DISTINCT name, place, "grouping", status_label FROM good WHERE level = 'Département') r ON r.name = a.name AND r.place = a.area
+  SELECT a.*, r."grouping", r.status_label FROM answers a LEFT JOIN (SELECT DISTINCT name, place, "grouping", status_label FROM good WHERE level = 'Département') r ON r.name = a.name AND strip_accents(translate(r.place, '-''', '  ')) = strip_accents(translate(a.area, '-''', '  '))
   UNION ALL
-  SELECT a.*, r."grouping", r.status_label FROM answers a LEFT JOIN (SELECT DISTINCT name, place, "grouping", status_label FROM good WHERE level IN ('Région', 'Ancienne région')) r ON r.name = a.name AND r.place = a.zone
+  SELECT a.*, r."grouping", r.status_label FROM answers a LEFT JOIN (SELECT DISTINCT name, place, "grouping", status_label FROM good WHERE level IN ('Région', 'Ancienne région')) r ON r.name = a.name AND strip_accents(translate(r.place, '-''', '  ')) = strip_accents(translate(a.zone, '-''', '  '))
   UNION ALL
   SELECT a.*, r."grouping", r.status_label FROM answers a LEFT JOIN (SELECT DISTINCT name, "grouping", status_label FROM good WHERE level IN ('État', 'Territoire')) r ON r.name = a.name)
 , kept AS (
@@ -65,6 +65,12 @@ def regulation_shares(spark, sf):
     return R.status_shares(final(spark, sf)).withColumns({c: rounded(c) for c in ("pct", "pct_all")})
 
 
+@query("answer_shares", with_views(VIEWS, ANSWERS + """
+SELECT regulation, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM final GROUP BY 1"""))
+def answer_shares(spark, sf):
+    return R.answer_shares(final(spark, sf)).withColumn("pct", rounded("pct"))
+
+
 @query("answer_scoring", with_views(VIEWS, ANSWERS + """
 SELECT regulation, status_group, verdict, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY regulation), 6) AS pct
 FROM (SELECT *, CASE WHEN regulation = 'Yes' AND status_group <> 'No regulation/protection' THEN 'Correct'

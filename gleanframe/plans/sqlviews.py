@@ -39,7 +39,7 @@ VIEWS = {
         JOIN region ON n_regionkey = r_regionkey
         LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON c_custkey = o_custkey""",
     "rules": """
-        SELECT DISTINCT p_brand AS name, level, CASE level WHEN 'Département' THEN n_name WHEN 'Région' THEN r_name ELSE 'France' END AS place,
+        SELECT DISTINCT p_brand AS name, level, CASE level WHEN 'Département' THEN translate(n_name, 'E ', 'É-') WHEN 'Région' THEN translate(r_name, 'E ', 'É-') ELSE 'France' END AS place,
                status_label, grouping_ AS "grouping", status_code
         FROM lineitem
         JOIN part ON l_partkey = p_partkey

@@ -89,7 +89,10 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Legal rules: groups of brands that meet a condition at a nation, in a region or overall."""
+    """Legal rules: groups of brands that meet a condition at a nation, in a region or overall.
+
+    Their places are written with accents and hyphens, those of the mentions without.
+    """
     base = (
         table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -99,9 +102,10 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     tax, qty = F.col("l_tax"), F.col("l_quantity")
     brand = lambda digit: F.col("p_brand").startswith(f"Brand#{digit}")
+    written = lambda place: F.translate(place, "E ", "É-")
     tests = [
-        ((tax == 0.08) & (qty >= 49) & brand(1), "Département", F.col("n_name"), "Protection départementale", "Protection", "PD"),
-        ((tax == 0.0) & (qty == 1) & brand(2), "Région", F.col("r_name"), "Protection régionale", "Protection", "PR"),
+        ((tax == 0.08) & (qty >= 49) & brand(1), "Département", written("n_name"), "Protection départementale", "Protection", "PD"),
+        ((tax == 0.0) & (qty == 1) & brand(2), "Région", written("r_name"), "Protection régionale", "Protection", "PR"),
         ((tax == 0.0) & (qty == 2) & brand(3), "État", F.lit("France"), "Protection nationale", "Protection", "PN"),
         ((tax == 0.0) & (qty == 3) & brand(4), "État", F.lit("France"), "Réglementation", "Réglementation", "REGL"),
         ((tax == 0.0) & (qty == 4), "État", F.lit("France"), "Liste rouge", "Listes rouges", "LRN"),
