@@ -1,8 +1,8 @@
 """Questionnaire exports: column names are parsed once, rows are reshaped in place.
 
 In an export one row holds everything a respondent said, so the tidy mention table
-is a narrow transformation: each question group becomes a struct, the structs are
-exploded, and neither unpivot, pivot nor join is needed. The long-table operators
+is a narrow transformation: each row is repeated per question group, every field takes
+its group's column, and neither unpivot nor pivot is needed. The long-table operators
 (``answers_long`` and the functions of ``reshape``) remain for data that arrives long.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gleanframe.functions import text
 from gleanframe.functions.nulls import if_else, in_set, recode, recode_pattern
 from gleanframe.operators import reshape
-from gleanframe.operators.joins import enrich, prefix_columns, spread_group_value
+from gleanframe.operators.joins import enrich, prefix_columns, spread_group_value, unique_dimension
 
 # Question numbers per field, in the first two species groups and in the
 # further ones.
@@ -203,8 +203,9 @@ def _sustainability(group: Column, said: Column) -> Column:
 def mention_pipeline(df: DataFrame, groups: Sequence[int], id: str = "id", known: str | None = None) -> DataFrame:
     """Wide export to one row per (respondent, group, species), multi-choice answers as arrays.
 
-    Expects one export row per respondent, so the work is narrow: the row is repeated per
-    group, rows without a species go, and every field picks its group's column. A question
+    The work is narrow: the row is repeated per group, rows without a species go, and every
+    field picks its group's column. Only a mention called unsustainable in one export row is
+    carried to the respondent's other rows, by a join on the ids that have one. A question
     asked by one column is a plain cell; only questions spread over several columns become
     lists, which run in parallel (a single answer repeats). Option columns of the free-text
     questions follow as plain columns.
@@ -268,8 +269,18 @@ def mention_pipeline(df: DataFrame, groups: Sequence[int], id: str = "id", known
     tidy = rows.select(*[c.alias(n) for n, c in out.items()])
     species = F.explode(F.array_distinct(F.split("name", r"\s*,\s*"))).alias("name")
     tidy = tidy.select(*[species if c == "name" else F.col(c) for c in out]).filter(F.col("name") != "")
+    said_bad = df.filter(bad).select(F.col(id).alias("__id")).distinct().withColumn("__bad", F.lit(True))
+    carried = enrich(unnest_parallel(tidy, lists), said_bad, {"id": "__id"})
+    return carried.withColumn("known_unsustainable", F.when(F.col("__bad"), "Yes").otherwise(F.col("known_unsustainable"))).drop("__bad")
+
+
+def unnest_parallel(df: DataFrame, lists: dict[str, int]) -> DataFrame:
+    """Array columns (with their greatest sizes) to rows, side by side; a single answer repeats.
+
+    A row without any answer keeps one row of nulls; equal rows of one source row count once.
+    """
     if not lists:
-        return tidy
+        return df
     longest = F.array_max(F.array(F.lit(1), *[F.size(f) for f in lists]))
     steps = [
         F.when(
@@ -278,8 +289,8 @@ def mention_pipeline(df: DataFrame, groups: Sequence[int], id: str = "id", known
         )
         for i in range(max(lists.values()))
     ]
-    stepped = tidy.select("*", F.explode(F.array_distinct(F.array(*steps))).alias("z")).filter(F.col("z").isNotNull())
-    return stepped.select(*[F.col(f"z.{c}").alias(c) if c in lists else F.col(c) for c in out])
+    stepped = df.select("*", F.explode(F.array_distinct(F.array(*steps))).alias("z")).filter(F.col("z").isNotNull())
+    return stepped.select(*[F.col(f"z.{c}").alias(c) if c in lists else F.col(c) for c in df.columns])
 
 
 def _has_name(name: Column) -> Column:
@@ -296,17 +307,26 @@ def fan_out(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def profile_pipeline(df: DataFrame, id: str = "id") -> DataFrame:
-    """Wide export to one row per respondent with any profile answer."""
+    """Wide export to the profile of every respondent with any profile answer.
+
+    One row per respondent, or, where a question of several columns got several answers, one
+    for each, the answers of such questions side by side.
+    """
     questions = catalogue(df.columns)
-    cells = {}
+    cells, lists, given = {}, {}, []
     for f, q in PROFILE_FIELDS.items():
         found = [F.col(f"`{x.column}`").cast("string") for x in pick(questions, PROFILE_GROUP, q)]
-        cells[f] = F.coalesce(*found) if found else F.lit(None).cast("string")
+        given += found
+        if len(found) > 1:
+            lists[f] = len(found)
+            cells[f] = F.filter(F.array(*found), lambda v: v.isNotNull())
+        else:
+            cells[f] = found[0] if found else F.lit(None).cast("string")
     for f, q in PROFILE_CHOICE_FIELDS.items():
         for x in pick(questions, PROFILE_GROUP, q):
             cells[option_column(f, x)] = F.col(f"`{x.column}`").cast("string")
-    filled = F.coalesce(*[cells[f] for f in PROFILE_FIELDS]).isNotNull()
-    return df.filter(filled).select(F.col(id).alias("id"), *[c.alias(n) for n, c in cells.items()])
+    filled = F.coalesce(F.lit(None).cast("string"), *given).isNotNull()
+    return unnest_parallel(df.filter(filled).select(F.col(id).alias("id"), *[c.alias(n) for n, c in cells.items()]), lists)
 
 
 # Answer texts and the labels they are grouped under.
@@ -321,10 +341,14 @@ PART_GROUPS = {
     "Whole plant": ("Whole plant",),
     "Underground part": ("Underground part",),
 }
+AFFILIATION_RULES = (("No affiliated organisation", "None"), ("wild plants", "Wild-plant business"))
 MARKET_TREND = {"Yes": "Trend", "No": "No trend"}
 MARKET_TREND_RISK = {"Yes": "Trend with risk", "No": "Trend without risk"}
 
 
+AFFILIATION = "PROFILE_affiliated_organisation_type"
+
+
 def part_group(x: Column) -> Column:
     out = None
     for label, members in PART_GROUPS.items():
@@ -352,7 +376,8 @@ def fact_table(mentions: DataFrame, profiles: DataFrame, uses: Sequence[str], tr
     """
     m = prefix_columns(mentions, "SPECIES_", ["id"])
     p = prefix_columns(profiles, "PROFILE_", ["id"])
-    df = enrich(m, p, ["id"], how="full")
+    # both sides have a row per respondent and species at most, so no id is hot
+    df = m.join(p, "id", "full_outer")
     parts = F.transform("SPECIES_harv_parts", lambda v: part_group(clean_answer(recode_pattern(v, PART_RULES), trim)))
     used = F.transform("SPECIES_uses", lambda v: clean_answer(recode_pattern(v, USE_RULES), trim))
     arrays = {"SPECIES_harv_parts", "SPECIES_uses", "SPECIES_risk"}
@@ -366,7 +391,7 @@ def fact_table(mentions: DataFrame, profiles: DataFrame, uses: Sequence[str], tr
     df = df.select(
         "id", "SPECIES_group",
         *[recode_pattern(recoded.get(c, F.col(c)), TREND_RULES).alias(c) for c in plain],
-        parts.alias("__parts"), used.alias("__uses"), F.col("SPECIES_risk"),
+        parts.alias("__parts"), used.alias("__uses"), F.transform("SPECIES_risk", lambda v: clean_answer(v, trim)).alias("SPECIES_risk"),
     )
     df = df.withColumns(
         {
@@ -379,12 +404,26 @@ def fact_table(mentions: DataFrame, profiles: DataFrame, uses: Sequence[str], tr
         }
     ).drop("SPECIES_market_trend_risk", "PROFILE_harvester")
     df = reshape.across(df, [c for c in plain if c in df.columns], lambda c: clean_answer(c, trim))
+    if AFFILIATION in df.columns:
+        df = df.withColumn(AFFILIATION, recode_pattern(AFFILIATION, AFFILIATION_RULES))
     has = lambda a, v: F.when(F.coalesce(F.array_contains(a, v), F.lit(False)), "Yes").otherwise("No")
     flags = [has("__parts", g).alias("SPECIES_harv_parts_" + g.replace(" ", "_")) for g in PART_GROUPS]
     flags += [has("__uses", u).alias("SPECIES_uses_" + u.replace(" ", "_")) for u in uses]
     return df.select(*[c for c in df.columns if not c.startswith("__")], *flags)
 
 
+def enriched_facts(fact: DataFrame, dimensions: Sequence[tuple[DataFrame, dict[str, str]]], identified: str | None = None) -> DataFrame:
+    """Left joins of dimension tables in their order, each checked to have one row per key.
+
+    Every dimension comes with a map from columns of the fact, or of dimensions before it, to its
+    own key columns. ``identified`` names a column that must be known for a row to stay.
+    """
+    out = fact
+    for dim, on in dimensions:
+        out = enrich(out, unique_dimension(dim, list(on.values())), on)
+    return out if identified is None else out.filter(F.col(identified).isNotNull())
+
+
 def enrichment_coverage(df: DataFrame, comment: str, code: str, outside: Sequence[str], id: str = "id") -> DataFrame:
     """Mentions not matched to the taxonomy, by reason, with the respondents who made them."""
     is_out = in_set(comment, outside)

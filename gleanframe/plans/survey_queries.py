@@ -299,7 +299,7 @@ def _fact_sql() -> str:
         f"CASE WHEN len(list_filter(uses, lambda x: contains(x, '{u}'))) > 0 THEN 'Yes' ELSE 'No' END AS \"SPECIES_uses_{u}\"" for u in USES
     )
     return f"""
-SELECT coalesce(p.id, m.id) AS id, m."group" AS "SPECIES_group", {body}, coalesce(array_to_string(risk, '|'), '') AS "SPECIES_risk", {flags}
+SELECT coalesce(p.id, m.id) AS id, m."group" AS "SPECIES_group", {body}, coalesce(array_to_string(list_transform(risk, lambda r: {_clean("r")}), '|'), '') AS "SPECIES_risk", {flags}
 FROM profile_rows p FULL JOIN mention_rows m ON p.id = m.id"""
 
 
@@ -309,6 +309,44 @@ def fact_table(spark, sf):
     return df.withColumn("SPECIES_risk", F.concat_ws("|", "SPECIES_risk"))
 
 
+def _taxa(spark, sf):
+    """Taxon, its code (null: not identified), life form and home zone."""
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    home = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return home.select(
+        F.concat(F.lit("Taxon "), F.col("s_suppkey").cast("string")).alias("taxon"),
+        F.when(F.col("s_acctbal") > 3000, F.col("s_suppkey")).alias("code"), F.col("s_nationkey").alias("nation"), F.col("r_name").alias("zone"),
+    )
+
+
+@query("fact_enriched", with_views("wide_survey", PROFILE_ROWS + MENTION_ROWS.replace(LONG, "") + """
+, taxa AS (SELECT concat('Taxon ', CAST(s_suppkey AS VARCHAR)) AS taxon, CASE WHEN s_acctbal > 3000 THEN s_suppkey END AS code, r_name AS zone
+           FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+, forms AS (SELECT p_partkey AS code, p_type AS life_form FROM part)
+, areas AS (SELECT p_partkey AS code, CASE p_size % 3 WHEN 0 THEN 'Isère' WHEN 1 THEN 'Val d Oise' ELSE 'Ile-de-France' END AS dpt, p_retailprice AS range_size FROM part)
+SELECT m.id, m."group" AS "SPECIES_group", m.name AS "SPECIES_name", m.dpt AS "SPECIES_dpt", code, zone, life_form, range_size
+FROM (SELECT DISTINCT coalesce(p.id, m.id) AS id, m."group", m.name, trim(m.dpt) AS dpt, m.* EXCLUDE (id, "group", name, dpt) FROM profile_rows p FULL JOIN mention_rows m ON p.id = m.id) m
+LEFT JOIN taxa ON taxon = m.name LEFT JOIN forms USING (code) LEFT JOIN areas USING (code, dpt) WHERE code IS NOT NULL"""))
+def fact_enriched(spark, sf):
+    part = table(spark, sf, "part")
+    third = F.col("p_size") % 3
+    forms = part.select(F.col("p_partkey").alias("code"), F.col("p_type").alias("life_form"))
+    areas = part.select(
+        F.col("p_partkey").alias("code"), F.when(third == 0, "Isère").when(third == 1, "Val d Oise").otherwise("Ile-de-France").alias("dpt"),
+        F.col("p_retailprice").alias("range_size"),
+    )
+    fact = S.fact_table(mention_rows(spark, sf), S.profile_pipeline(wide_survey(spark, sf)), USES)
+    out = S.enriched_facts(
+        fact,
+        [
+            (_taxa(spark, sf).drop("nation"), {"SPECIES_name": "taxon"}), (forms, {"code": "code"}),
+            (areas, {"code": "code", "SPECIES_dpt": "dpt"}),
+        ],
+        identified="code",
+    )
+    return out.select("id", "SPECIES_group", "SPECIES_name", "SPECIES_dpt", "code", "zone", "life_form", "range_size")
+
+
 @query("enrichment_coverage", with_views("wide_survey", LONG + FIELDS + CELLS + """
 , taxa AS (SELECT concat('Taxon ', CAST(s_suppkey AS VARCHAR)) AS name, CASE WHEN s_acctbal > 3000 THEN s_suppkey END AS code,
     CASE WHEN s_acctbal <= 3000 AND s_nationkey < 12 THEN 'Mushroom' END AS comment FROM supplier)
