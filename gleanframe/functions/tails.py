@@ -44,8 +44,8 @@ def gamma_upper(a: float, x: float) -> float:
         c = b + an / c
         h *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return scale * h
+            return scale * h
+    raise ArithmeticError(f"incomplete gamma of ({a}, {x}) did not settle")
 
 
 def beta_lower(a: float, b: float, x: float) -> float:
@@ -74,8 +74,8 @@ def beta_lower(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return front * h / a
+            return front * h / a
+    raise ArithmeticError(f"incomplete beta of ({a}, {b}, {x}) did not settle")
 
 
 def beta_quantile(p: float, a: float, b: float) -> float:

@@ -198,6 +198,7 @@ class Clusters:
 
     dims: list[str]
     centres: np.ndarray
+    converged: bool
 
     def label(self, model: Mca) -> Column:
         """1-based cluster of a row, straight from its categories.
@@ -215,30 +216,30 @@ class Clusters:
 
 def fit_clusters(
     points: DataFrame, dims: Sequence[str], weight: str = "n", smallest: int = 3, largest: int = 10,
-    exact_up_to: int = 500, rounds: int = 10, seed: int = 1,
+    condense_to: int | None = None, rounds: int = 10, seed: int = 1,
 ) -> Clusters:
     """Ward clustering with an automatic cut, then weighted k-means rounds from its centres.
 
-    ``points`` holds distinct score points with weights. Up to ``exact_up_to`` of them go
-    to Ward as they are; more are first condensed by k-means into that many weighted
-    centres, so the driver never holds more.
+    ``points`` holds distinct score points with weights. The caller names the method: None
+    gives all of them to Ward on the driver, which suits profiles of a few short category lists;
+    a number condenses them first, whatever their count, by k-means into that many weighted
+    centres. ``converged`` says whether the last rounds still moved the centres.
     """
     dims = list(dims)
     points = materialise(points.select(*dims, F.col(weight).cast("double").alias("w")))
-    sample = points.limit(exact_up_to + 1).toPandas()
-    if len(sample) > exact_up_to:
+    if condense_to is None:
+        held = points.toPandas().sort_values(dims)
+        x, w = held[dims].to_numpy(), held.w.to_numpy()
+    else:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.feature import VectorAssembler
 
         vec = VectorAssembler(inputCols=dims, outputCol="features").transform(points)
-        model = KMeans(k=exact_up_to, seed=seed, weightCol="w", maxIter=20).fit(vec)
+        model = KMeans(k=condense_to, seed=seed, weightCol="w", maxIter=20).fit(vec)
         sizes = model.transform(vec).groupBy("prediction").agg(F.sum("w").alias("w")).toPandas()
         x, w = np.array(model.clusterCenters())[sizes.prediction], sizes.w.to_numpy()
-    else:
-        sample = sample.sort_values(dims)
-        x, w = sample[dims].to_numpy(), sample.w.to_numpy()
     merges = _ward(x, w)
-    centres = _centres(x, w, merges, _cut(merges, len(x), smallest, largest))
+    centres, settled = _centres(x, w, merges, _cut(merges, len(x), smallest, largest)), False
     for _ in range(rounds):
         means = (
             points.withColumn("cluster", nearest(dims, centres)).groupBy("cluster")
@@ -246,9 +247,10 @@ def fit_clusters(
         )
         moved = means.sort_values("cluster")[dims].to_numpy()
         if moved.shape == centres.shape and np.allclose(moved, centres, atol=1e-10):
+            settled = True
             break
         centres = moved
-    return Clusters(dims, centres[np.lexsort(centres.T[::-1])])
+    return Clusters(dims, centres[np.lexsort(centres.T[::-1])], settled)
 
 
 def describe_groups(profiles: DataFrame, variables: Sequence[str], group: str) -> DataFrame:
@@ -282,7 +284,7 @@ def describe_groups(profiles: DataFrame, variables: Sequence[str], group: str) -
     return enrich(out.drop("__chi"), chi, ["var"])
 
 
-def silhouette_exact(points: DataFrame, id: str, dims: Sequence[str], cluster: str, weight: str = "n", block: int = 4_000) -> DataFrame:
+def silhouette_exact(points: DataFrame, id: str, dims: Sequence[str], cluster: str, weight: str = "n", block: int = 2_000) -> DataFrame:
     """Exact Euclidean silhouette of distinct weighted points.
 
     Points are dealt into blocks of about ``block``; each pair of blocks is one task that
@@ -306,7 +308,13 @@ def silhouette_exact(points: DataFrame, id: str, dims: Sequence[str], cluster: s
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"pid": [], "other": [], "s": []})
-        d = np.sqrt(((a[dims].to_numpy()[:, None, :] - b[there].to_numpy()[None, :, :]) ** 2).sum(-1))
+        # coordinate by coordinate: no array of all three dimensions
+        x, y = a[dims].to_numpy(), b[there].to_numpy()
+        d = np.zeros((len(x), len(y)))
+        for c in range(len(dims)):
+            gap = np.subtract.outer(x[:, c], y[:, c])
+            d += np.square(gap, out=gap)
+        np.sqrt(d, out=d)
         parts = []
         for cl, idx in b.groupby("to_cl").indices.items():
             parts.append(pd.DataFrame({"pid": a.pid.to_numpy(), "other": cl, "s": d[:, idx] @ b.to_w.to_numpy()[idx]}))

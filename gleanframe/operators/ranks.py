@@ -48,34 +48,25 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     return out.select("n", "statistic", "df", chi2_upper("statistic", "df").alias("p"), eta.alias("eta2"))
 
 
-def dunn_pairs(df: DataFrame, group: str, value: str, max_groups: int = 500) -> DataFrame:
+def dunn_pairs(df: DataFrame, group: str, value: str, blocks: int = 8) -> DataFrame:
     """Pairwise comparison of mean ranks (second minus first), Bonferroni adjusted.
 
-    The pairs are formed among the group categories only, never among rows.
+    The pairs are formed among the group categories only, never among rows: the rank sums are
+    dealt into ``blocks`` and every block meets every other in an equality join, so the result,
+    which has a row per pair of categories, is made by as many tasks as there are pairs of blocks.
     """
-    sums = rank_sums(df, group, value)
-    packed = sums.agg(
-        F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), "n", "r"))).alias("all"),
-        F.sum("n").cast("double").alias("nn"), F.sum("ties").alias("ties"),
-    )
-    guarded = F.when(F.size("all") <= max_groups, F.col("all")).otherwise(
-        F.raise_error(F.lit(f"more than {max_groups} groups in a pairwise test"))
-    )
-    pairs = F.flatten(
-        F.transform(
-            guarded,
-            lambda a: F.transform(F.filter("all", lambda b: b["g"] > a["g"]), lambda b: F.struct(a.alias("a"), b.alias("b"))),
-        )
-    )
-    rows = packed.select("nn", "ties", (F.size("all") * (F.size("all") - 1) / 2).alias("m"), F.explode(pairs).alias("p"))
-    spread = F.col("nn") * (F.col("nn") + 1) / 12 - F.col("ties") / (12 * (F.col("nn") - 1))
-    a, b = F.col("p.a"), F.col("p.b")
-    z = (b["r"] / b["n"] - a["r"] / a["n"]) / F.sqrt(spread * (1 / a["n"] + 1 / b["n"]))
-    out = rows.select(
-        a["g"].alias("group1"), b["g"].alias("group2"), a["n"].alias("n1"), b["n"].alias("n2"), z.alias("statistic"), "m"
-    ).withColumn("p", normal_two_sided("statistic"))
-    adj = F.least(F.lit(1.0), F.col("p") * F.col("m"))
-    return out.withColumn("p_adj", adj).withColumn("signif", stars(F.col("p_adj"))).drop("m")
+    sums = materialise(rank_sums(df, group, value))
+    whole = sums.agg(F.sum("n").cast("double").alias("nn"), F.sum("ties").alias("ties"), F.count(F.lit(1)).alias("k"))
+    nn, ties, k = (whole.select(c).scalar() for c in ("nn", "ties", "k"))
+    home, every = F.pmod(F.xxhash64(group), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    first = sums.select(F.col(group).alias("group1"), F.col("n").alias("n1"), F.col("r").alias("r1"), home.alias("i"), every.alias("j"))
+    second = sums.select(F.col(group).alias("group2"), F.col("n").alias("n2"), F.col("r").alias("r2"), every.alias("i"), home.alias("j"))
+    rows = first.join(second, ["i", "j"]).filter(F.col("group2") > F.col("group1"))
+    spread = nn * (nn + 1) / 12 - ties / (12 * (nn - 1))
+    z = (F.col("r2") / F.col("n2") - F.col("r1") / F.col("n1")) / F.sqrt(spread * (1 / F.col("n1") + 1 / F.col("n2")))
+    out = rows.select("group1", "group2", "n1", "n2", z.alias("statistic")).withColumn("p", normal_two_sided("statistic"))
+    adj = F.least(F.lit(1.0), F.col("p") * (k * (k - 1) / 2))
+    return out.withColumn("p_adj", adj).withColumn("signif", stars(F.col("p_adj")))
 
 
 def stars(p: Column) -> Column:

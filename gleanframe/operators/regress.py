@@ -24,22 +24,20 @@ def cells(df: DataFrame, outcome: str, predictors: Sequence[str]) -> DataFrame:
     return df.select(outcome, *predictors).dropna("any").groupBy(outcome, *predictors).agg(F.count(F.lit(1)).alias("n"))
 
 
-def levels_of(df: DataFrame, column: str, baseline: str | None = None, limit: int = 1_000) -> list[str]:
-    """Sorted categories of a column, baseline first; refuses non-categories."""
-    found = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
-    found.sort()
+def levels_of(df: DataFrame, column: str, baseline: str | None = None) -> list[str]:
+    """Sorted categories of a column, baseline first: one model term each, as its result has anyway."""
+    found = sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
     if baseline is not None:
         found = [baseline] + [v for v in found if v != baseline]
     return found
 
 
-def logit_model(df: DataFrame, outcome: str, categorical: dict[str, str | None], numeric: Sequence[str] = ()):
+def logit_model(df: DataFrame, outcome: str, categorical: dict[str, str | None], numeric: Sequence[str] = (), rounds: int = 50):
     """Fit a logistic regression of a 0/1 outcome with explicit baselines.
 
     Returns (model, terms, scored): ``scored`` holds one row per predictor cell with its
-    trials ``n``, successes ``s`` and predicted probability ``prediction``.
+    trials ``n``, successes ``s`` and predicted probability ``prediction``. A fit that has not
+    settled within ``rounds`` is an error.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
@@ -64,9 +62,11 @@ def logit_model(df: DataFrame, outcome: str, categorical: dict[str, str | None],
 
     cells_in = assembler.transform(data.withColumns(dict(zip(names, exprs)))).drop(*names)
     glm = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol="share", weightCol="n", solver="irls", maxIter=50, tol=1e-12
+        family="binomial", link="logit", labelCol="share", weightCol="n", solver="irls", maxIter=rounds, tol=1e-12
     )
     model = glm.fit(cells_in)
+    if model.summary.numIterations >= rounds:
+        raise ArithmeticError(f"the logistic fit did not settle in {rounds} rounds")
     return model, terms, model.transform(cells_in).drop("features")
 
 
@@ -323,6 +323,8 @@ def saturating_fit(
         if not better:
             break
         (a, b), now = better[0]
+    else:
+        raise ArithmeticError(f"the curve did not settle in {rounds} rounds")
     return a, b
 
 

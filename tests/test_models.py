@@ -85,7 +85,7 @@ def test_clusters_and_silhouette(df, survey):
 def test_condensed_clustering_runs_past_the_exact_size(df):
     profiles = X.profile_counts(df, VARS)
     points = X.mca_scores(profiles, X.fit_mca(profiles, VARS), axes=2)
-    clusters = X.fit_clusters(points, ["dim_1", "dim_2"], exact_up_to=8)
+    clusters = X.fit_clusters(points, ["dim_1", "dim_2"], condense_to=8)
     assert 3 <= len(clusters.centres) <= 8
 
 
