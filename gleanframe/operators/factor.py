@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleanframe.session import materialise
 
+#: What ``fit_mca`` puts on the driver; ``leading_axes`` has no such bound.
 MAX_CATEGORIES = 2_000
 
 
@@ -80,6 +81,7 @@ class Mca:
 def fit_mca(profiles: DataFrame, variables: Sequence[str]) -> Mca:
     """Eigen-analysis of the category-pair matrix; all axes of positive inertia.
 
+    The matrix is on the driver: use ``leading_axes`` for columns of very many categories.
     Signs are fixed so that the largest loading of an axis is positive.
     """
     keys, b = _burt_matrix(profiles, variables)
@@ -97,6 +99,63 @@ def fit_mca(profiles: DataFrame, variables: Sequence[str]) -> Mca:
     return Mca(list(variables), keys, b, c, lam, v)
 
 
+def leading_axes(
+    profiles: DataFrame, variables: Sequence[str], axes: int = 2, rounds: int = 100, tol: float = 1e-8
+) -> tuple[DataFrame, np.ndarray, bool]:
+    """The first axes for any number of categories: (vectors, eigenvalues, converged).
+
+    Subspace iteration on the sparse category-pair counts, which stay in Spark: a round is a join
+    of cells with the vectors and a sum per category. The driver holds matrices of ``axes`` + 4
+    rows and columns only. ``vectors`` has ``var, cat, mass, v_1..v_axes``, the same vectors as
+    ``fit_mca`` up to sign.
+    """
+    q, width = len(variables), axes + 4
+    cells = materialise(burt_counts(profiles, variables))
+    diagonal = cells.filter("var1 = var2 and cat1 = cat2")
+    n = float(diagonal.agg(F.sum("n")).first()[0]) / q
+    names = [f"v_{i + 1}" for i in range(width)]
+    start = [(F.xxhash64("var1", "cat1", F.lit(i)) % 10_007).cast("double") / 10_007 for i in range(width)]
+    now = materialise(
+        diagonal.select(
+            F.col("var1").alias("var"), F.col("cat1").alias("cat"), (F.col("n") / (n * q)).alias("mass"), *[s.alias(v) for s, v in zip(start, names)]
+        )
+    )
+    root = F.sqrt("mass")
+
+    def gram(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+        cells_of = [F.sum(F.col(a) * F.col(b)) for a in left for b in right]
+        return np.array(df.agg(*cells_of).first(), float).reshape(len(left), len(right))
+
+    def combined(df: DataFrame, by: np.ndarray, of: Sequence[str]) -> list[Column]:
+        return [sum((F.col(a) * float(by[k, i]) for k, a in enumerate(of)), F.lit(0.0)).alias(names[i]) for i in range(by.shape[1])]
+
+    before, values, settled = np.full(axes, np.inf), np.zeros(axes), False
+    images = [f"s_{v}" for v in names]
+    for _ in range(rounds):
+        # orthonormal vectors, then their images under the centred matrix
+        low = np.linalg.cholesky(gram(now, names, names) + 1e-300 * np.eye(width))
+        now = now.select("var", "cat", "mass", *combined(now, np.linalg.inv(low).T, names))
+        along = now.agg(*[F.sum(root * F.col(v)) for v in names]).first()
+        side = now.select(F.col("var").alias("var2"), F.col("cat").alias("cat2"), *[(F.col(v) / root).alias(v) for v in names])
+        summed = cells.join(side, ["var2", "cat2"]).groupBy("var1", "cat1").agg(*[F.sum(F.col("n") * F.col(v)).alias(s) for v, s in zip(names, images)])
+        summed = summed.withColumnsRenamed({"var1": "var", "cat1": "cat"})
+        now = now.join(summed, ["var", "cat"]).select(
+            "var", "cat", "mass", *names,
+            *[(F.col(s) / (n * q * q) / root - root * F.lit(float(a or 0.0))).alias(s) for s, a in zip(images, along)],
+        )
+        now = materialise(now)
+        lam, turn = np.linalg.eigh((h := gram(now, names, images)) / 2 + h.T / 2)
+        lam, turn = lam[::-1], turn[:, ::-1]
+        values = lam[:axes]
+        settled = bool(np.abs(values - before).max() <= tol * max(1.0, np.abs(values).max()))
+        if settled:
+            now = now.select("var", "cat", "mass", *combined(now, turn, names))
+            break
+        before = values
+        now = now.select("var", "cat", "mass", *[F.col(s).alias(v) for s, v in zip(images, names)])
+    return now.select("var", "cat", "mass", *names[:axes]), values, settled
+
+
 def mca_eigen(spark: SparkSession, model: Mca) -> DataFrame:
     lam = model.eigenvalues
     pct = 100 * lam / lam.sum()

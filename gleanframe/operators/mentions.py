@@ -116,7 +116,8 @@ def sum_votes(cells: DataFrame, keys: Sequence[str], strict: bool = True) -> Dat
 
 def mentions_by_zone(cells: DataFrame, geography: DataFrame, area: str = "area", zone: str = "zone") -> DataFrame:
     """Roll (area, name) cells up to zones; every area joins, then incomplete rows go."""
-    placed = enrich(cells, geography.select(area, zone), [area], how="right")
+    # from the geography's side, so that the cells are made once
+    placed = enrich(geography.select(area, zone), cells, [area])
     return sum_votes(placed, ["name", zone]).dropna("any")
 
 
@@ -321,12 +322,17 @@ def density(
 
 
 def map_layer(geography: DataFrame, cells: DataFrame, on: Sequence[str], name: str | None = None) -> DataFrame:
-    """Counts on every geography row, percent unsustainable, step class and scale maximum."""
+    """Counts on every geography row, percent unsustainable, step class and scale maximum.
+
+    One name, with the maximum over all names' cells, or all names together with theirs. The
+    cells, a row per place and name, are stored and so made once. Any other columns of the
+    geography, such as ``rings``, come along.
+    """
+    if name is None and "name" in cells.columns:
+        cells = sum_votes(cells, list(on))
+    cells = materialise(cells)
     top = cells.agg(F.max("total_citations")).scalar()
     chosen = cells if name is None else cells.filter(F.col("name") == name)
-    if name is None and "name" in cells.columns:
-        chosen = sum_votes(cells, list(on))
-        top = chosen.agg(F.max("total_citations")).scalar()
     layer = enrich(geography, chosen, list(on))
     pct = F.when(
         F.col("total_citations") > 0, half_even(F.col("unsustainable") * 100.0 / F.col("total_citations"), 2)

@@ -343,6 +343,19 @@ def map_layer(spark, sf):
     return M.map_layer(geography(spark, sf), cells, ["area"], name="Brand#7")
 
 
+@query("map_layer_all", with_views("mentions votes cells geography", """
+, sums AS (SELECT area, CAST(sum(sustainable) AS BIGINT) AS sustainable, CAST(sum(unsustainable) AS BIGINT) AS unsustainable,
+                  CAST(sum(total_citations) AS BIGINT) AS total_citations FROM cells GROUP BY area)
+, p AS (SELECT *, round_even(100.0::DOUBLE * unsustainable / total_citations, 2) AS prop_unsustainable FROM sums)
+SELECT g.area, g.zone, sustainable, unsustainable, total_citations, prop_unsustainable, (SELECT max(total_citations) FROM sums) AS global_max,
+       CAST(CASE WHEN prop_unsustainable < 25 THEN 1 WHEN prop_unsustainable < 50 THEN 2 WHEN prop_unsustainable < 75 THEN 3
+                 WHEN prop_unsustainable <= 100 THEN 4 END AS INTEGER) AS step
+FROM geography g LEFT JOIN p USING (area)"""))
+def map_layer_all(spark, sf):
+    cells = M.mentions_by_area(mentions(spark, sf, "id", "name", "answer", "area"))
+    return M.map_layer(geography(spark, sf), cells, ["area"])
+
+
 @query("survey_counts_wide", with_views("mentions", """
 SELECT name, life_form, count(*) FILTER (answer = 'Sustainable') AS "Sustainable", count(*) FILTER (answer = 'Unsustainable') AS "Unsustainable"
 FROM mentions GROUP BY 1, 2"""))

@@ -97,3 +97,30 @@ def test_pairs_of_many_groups(spread):
     pairs = ranks.dunn_pairs(df, "g", "v")
     assert pairs.count() == 600 * 599 // 2
     assert not math.isnan(pairs.agg(F.max("p_adj")).first()[0])
+
+
+def test_leading_axes_are_those_of_the_whole_matrix(spread):
+    from gleanframe.operators import factor as X
+
+    i = F.col("id")
+    # a and b mostly agree, c halves them: inertias well apart
+    df = spread.range(3000).select(
+        (i % 4).cast("string").alias("a"), F.when(i % 11 < 9, i % 4).otherwise((i + 1) % 4).cast("string").alias("b"),
+        F.when(i % 13 < 9, i % 4 < 2).otherwise(i % 4 >= 2).cast("string").alias("c"),
+    )
+    profiles = X.profile_counts(df, ["a", "b", "c"])
+    model = X.fit_mca(profiles, ["a", "b", "c"])
+    vectors, values, settled = X.leading_axes(profiles, ["a", "b", "c"], axes=2)
+    assert settled and abs(values - model.eigenvalues[:2]).max() < 1e-6
+    at = {k: i for i, k in enumerate(model.categories)}
+    dots = [sum(r[f"v_{k + 1}"] * model.vectors[at[(r["var"], r["cat"])], k] for r in vectors.collect()) for k in range(2)]
+    assert all(abs(abs(d) - 1) < 1e-3 for d in dots)
+
+
+def test_leading_axes_of_many_categories(spread):
+    from gleanframe.operators import factor as X
+
+    df = spread.range(20_000).select((F.col("id") % 5000).cast("string").alias("a"), (F.col("id") % 5000 % 3).cast("string").alias("b"))
+    _, values, settled = X.leading_axes(X.profile_counts(df, ["a", "b"]), ["a", "b"], axes=1)
+    # b is a function of a: two axes of inertia one
+    assert settled and abs(values[0] - 1) < 1e-6
