@@ -6,13 +6,12 @@ changed since it was queued, is stale and skipped. Decoding joins the vocabulary
 
 Cutting is sped up by one fact about the pattern: a single space between two characters that are
 not white space always starts a new pre-token. A text is therefore cut there into units that can
-be encoded on their own. Each Python worker remembers the ids of units and of pre-tokens; a memo is
-emptied when it is full, so memory is bounded whatever the vocabulary of the corpus.
+be encoded on their own. Each Python worker remembers the ids of the units and pre-tokens met lately, a
+stated number of them, so memory is bounded whatever the vocabulary of the corpus.
 """
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import struct
@@ -23,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gleanframe.llm.common import append, pieces, replacing, strings, with_columns
+from gleanframe.llm.common import append, pieces, replacing, strings, with_columns, worker_cache
 
-#: Units and pre-tokens remembered by a worker; about 200 bytes each. Longer ones are not kept.
-UNITS, WORDS, LONGEST = 700_000, 700_000, 100
+#: Units and pre-tokens in the newer half of a worker's memo; about 220 bytes each. Longer ones are not kept.
+UNITS, WORDS, LONGEST = 120_000, 150_000, 100
 #: Fixed value: the pattern that cuts a text into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters that some Unicode version or library takes for white space.
@@ -64,33 +63,25 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class Words(dict):
-    """Memo from a pre-token to its ids as little-endian 32-bit integers."""
+class Memo(dict):
+    """Ids of texts met lately, in a newer and an older half of ``size`` texts at most.
 
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, word: str) -> bytes:
-        out = self.make(word)
-        if len(word) <= LONGEST:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = out
-        return out
-
-
-class Units(dict):
-    """The same for units that a space comes before."""
-
-    def __init__(self, make):
-        self.make = make
+    When the newer half is full it becomes the older one; what is asked for again moves back.
+    """
 
-    def __missing__(self, unit: str) -> bytes:
-        out = self.make(unit)
-        if "\n" not in unit and len(unit) <= LONGEST:  # two words about a line break seldom come again
-            if len(self) >= UNITS:
+    def __init__(self, make, size: int):
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, text: str) -> bytes:
+        out = self.older.pop(text, None)
+        if out is None:
+            out = self.make(text)
+        # two words about a line break seldom come again
+        if len(text) <= LONGEST and "\n" not in text[1:-1]:
+            if len(self) >= self.size:
+                self.older = dict(self)
                 self.clear()
-            self[unit] = out
+            self[text] = out
         return out
 
 
@@ -100,12 +91,12 @@ class UnitEncoder:
     ``word`` gives the ids of one pre-token, ``added`` those of the tokens that are cut out first.
     """
 
-    def __init__(self, word, added: dict[str, int]):
+    def __init__(self, word, added: dict[str, int], units: int = UNITS, words: int = WORDS):
         self.added = {k: packed([i]) for k, i in added.items()}
         self.has_added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
-        self.words = Words(word)
+        self.words = Memo(word, words)
         self.cut = regex.compile(PATTERN).findall
-        self.later = Units(self.later_unit)
+        self.later = Memo(self.later_unit, units)
 
     def later_unit(self, unit: str) -> bytes:
         """Ids of a unit that a space comes before; the usual ones are cut without the full pattern."""
@@ -222,10 +213,9 @@ class BytePairs:
         return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
 def byte_pairs(path: str | None) -> BytePairs:
     """One encoder for each worker and vocabulary."""
-    return BytePairs(path or default_vocabulary())
+    return worker_cache(("bpe", path), lambda: BytePairs(path or default_vocabulary()))
 
 
 def encode(
@@ -274,11 +264,21 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: s
 
 def round_trip(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Per document: its id, number of tokens, and digests of the ids and of the decoded text."""
-    coded = encode(docs.select(F.col(id), F.col(text)), text, "ids", vocabulary, packed=True).select(id, "ids")
-    back = decode(coded, "ids", "decoded", vocabulary)
-    return back.select(
+    # encoded and decoded by one worker; as two steps each would be a worker of its own
+    def run(batches):
+        pairs = byte_pairs(vocabulary)
+        for batch in batches:
+            for piece in pieces(batch):
+                ids = [pairs.encode(x) for x in strings(piece, text)]
+                yield append(
+                    piece.select([id]), {"__ids": pa.array(ids, pa.binary()), "__decoded": pa.array([pairs.decode(x) for x in ids], pa.string())}
+                )
+
+    plain = docs.select(F.col(id), F.col(text))
+    both = plain.mapInArrow(run, with_columns(plain.select(id), [("__ids", T.BinaryType()), ("__decoded", T.StringType())]))
+    return both.select(
         F.col(id),
-        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.floor(F.octet_length("__ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("__ids", 256).alias("ids_sha256"),
+        F.sha2("__decoded", 256).alias("decoded_sha256"),
     )

@@ -11,6 +11,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 STEP = 256
 
 
+_KEPT: dict = {}
+
+
+def worker_cache(key, make):
+    """What a Python worker keeps from task to task: one thing at a time.
+
+    Workers live on and serve one operator after the other; asking for another key drops what the
+    operator before left, so that memory is bounded by the largest cache, not by their sum.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

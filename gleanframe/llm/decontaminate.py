@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gleanframe.llm.common import append, pieces, raw_bytes, replacing, with_columns
+from gleanframe.llm.common import append, pieces, raw_bytes, replacing, with_columns, worker_cache
 from gleanframe.session import materialise
 
 #: Words in a window.
@@ -135,17 +135,6 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_SETS: dict[str, HashSet] = {}
-
-
-def hash_set(shared, name: str) -> HashSet:
-    """The block's hash set, built once for each worker."""
-    if name not in _SETS:
-        _SETS.clear()
-        _SETS[name] = HashSet(shared.value)
-    return _SETS[name]
-
-
 def find(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = SIZE, item_id: str = "item_id",
     item_text: str = "text", hits: str = "hits", block_windows: int = BLOCK_WINDOWS,
@@ -179,7 +168,7 @@ def scan_block(docs: DataFrame, shared, text: str, hits: str) -> DataFrame:
     schema = docs.schema if again else with_columns(docs, [(hits, HITS)])
 
     def run(batches):
-        grams = hash_set(shared, name)
+        grams = worker_cache(("grams", name), lambda: HashSet(shared.value))
         for batch in batches:
             for piece in pieces(batch):
                 old = piece.column(hits).to_pylist() if again else [None] * piece.num_rows

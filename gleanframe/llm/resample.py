@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gleanframe.llm.common import append, pieces, raw_bytes, replacing, with_columns
+from gleanframe.llm.common import append, pieces, raw_bytes, replacing, with_columns, worker_cache
 from gleanframe.session import materialise
 
 BUCKETS = 1 << 16
@@ -45,13 +45,10 @@ class WordHashes(dict):
         return out
 
 
-_HASHES = WordHashes()
-
-
 def n_grams(text: bytes, buckets: int = BUCKETS) -> np.ndarray:
     """Bucket of each word, then of each pair (numbered after the words' buckets)."""
-    words = text.lower().split()
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    words, hashes = text.lower().split(), worker_cache("word hashes", WordHashes)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
         pair ^= pair >> np.uint64(32)

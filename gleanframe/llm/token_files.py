@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gleanframe.llm.bpe import UnitEncoder, byte_letters, default_vocabulary, packed
-from gleanframe.llm.common import pieces, strings
+from gleanframe.llm.common import pieces, strings, worker_cache
 from gleanframe.session import scratch_path
 
 BLOCK = 256
@@ -42,6 +42,9 @@ MAGIC = b"GPFR"
 TABLE = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n", "<u4")])
 EXCEPTION = np.dtype([("at", "<u2"), ("high", "<u4")])
 
+#: Units and pre-tokens in the newer half of a worker's memo.
+UNITS = WORDS = 350_000
+
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long, n_bytes long"
 READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -164,31 +167,29 @@ def read_documents(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         have = len(rest)
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def library_encoder(path: str | None) -> UnitEncoder:
     """The tokenizers library's BPE model over one vocabulary file; a worker has it encode a pre-token once."""
+    return worker_cache(("library", path), lambda: new_library_encoder(path or default_vocabulary()))
+
+
+def new_library_encoder(path: str) -> UnitEncoder:
     from tokenizers import Tokenizer
 
-    path = path or default_vocabulary()
-    if path not in _ENCODERS:
-        library = Tokenizer.from_file(path)
-        library.no_truncation()
-        library.no_padding()
-        added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-        letters = {b: c for c, b in byte_letters().items()}
-        tokens_of = library.model.tokenize
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+    letters = {b: c for c, b in byte_letters().items()}
+    tokens_of = library.model.tokenize
 
-        def word_ids(word: str) -> bytes:
-            if word.isascii() and word[1:].isalpha() and word[0] == " ":
-                written = letters[32] + word[1:]
-            else:
-                written = word.encode().decode("latin-1").translate(letters)
-            return packed([t.id for t in tokens_of(written)])
+    def word_ids(word: str) -> bytes:
+        if word.isascii() and word[1:].isalpha() and word[0] == " ":
+            written = letters[32] + word[1:]
+        else:
+            written = word.encode().decode("latin-1").translate(letters)
+        return packed([t.id for t in tokens_of(written)])
 
-        _ENCODERS[path] = UnitEncoder(word_ids, added)
-    return _ENCODERS[path]
+    return UnitEncoder(word_ids, added, UNITS, WORDS)
 
 
 def write(
@@ -252,7 +253,7 @@ def read(manifest: DataFrame) -> DataFrame:
     """Read files back: per document its id, start in the whole stream, number of ids and their crc32.
 
     The window runs over the manifest, one row per file of millions of ids. Each file is read whole
-    by one task; its size is bounded by ``FILE_IDS`` and one document.
+    by one task; its size is bounded by ``file_ids`` of ``write`` and one document.
     """
     before = W.partitionBy(F.lit(0)).orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
     placed = manifest.select(

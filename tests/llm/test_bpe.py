@@ -39,12 +39,13 @@ def test_same_ids_and_text_as_library(library):
         assert own.decode(coded) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_long_word_and_full_memo(library, monkeypatch):
+def test_long_word_and_full_memo(library):
     own = bpe.BytePairs(bpe.default_vocabulary())
-    monkeypatch.setattr(bpe, "UNITS", 3)
-    monkeypatch.setattr(bpe, "WORDS", 3)
-    for text in ("ab" * 20000, " ".join(f"w{i}" for i in range(500)), "x" * 5000 + " y"):
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids_of(library, text)
+    small = bpe.UnitEncoder(own.encode_word, {"<|endoftext|>": 50256}, units=3, words=3)
+    for text in ("ab" * 20000, " ".join(f"w{i}" for i in range(500)), "x" * 5000 + " y", "a b c d e f a b c d e f <|endoftext|> a\nb"):
+        for encode in (own.encode, small.encode):
+            assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(library, text)
+    assert len(small.later) + len(small.later.older) <= 6
 
 
 def test_documents(spark, library):
