@@ -77,3 +77,28 @@ def test_held_out_labels(spark):
     bad = [r.kept for r in rows if r.quality == 0]
     assert sum(good) / len(good) > 0.985
     assert sum(bad) / len(bad) < 0.25
+
+
+def test_held_out_toxic_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    kept = {r.doc_id: r.kept for r in QUERIES["op10_importance_resampling"](spark, sf).collect()}
+    fitted, held = R.toxic_sample(labels, "doc_id", F.col("toxic") == 1, R.LABELLED)
+    target, _ = R.good_sample(labels, "doc_id", (F.col("quality") == 1) & (F.col("toxic") == 0), R.LABELLED)
+    assert not set(fitted) & set(held)
+    share = {}
+    for r in labels.collect():
+        if r.doc_id in held and r.doc_id not in target:
+            share.setdefault((r.quality, r.toxic), []).append(kept[r.doc_id])
+    share = {c: (sum(x) / len(x), len(x)) for c, x in share.items()}
+    print(share)
+    assert share[1, 1][0] < 0.2 and share[0, 1][0] < 0.1 and share[1, 0][0] > 0.985
+
+
+def test_few_toxic_words_in_a_long_text(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(3000)) + (" vile" if i % 4 == 0 else "")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(100)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.kept for r in R.resample(docs, labels).collect()}
+    assert not any(out[i] for i in range(0, 200, 4)) and sum(out.values()) > 100
+    assert {r.doc_id for r in R.keep_drawn(docs, labels).collect()} == {i for i in out if out[i]}
