@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanframe.llm import bpe, decontaminate, passages, pii, quality_rules, quote_links, resample, secret_scan, simhash, token_files
+from pyspark.sql import functions as F
+
+from gleanframe.llm import ball_tree, bpe, decontaminate, passages, pii, quality_rules, quote_links, resample, secret_scan, simhash, token_files
 from gleanframe.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -70,3 +72,8 @@ def op9_token_files(spark, sf):
 @query("op10_importance_resampling")
 def op10_importance_resampling(spark, sf):
     return resample.resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op11_ball_tree_top_k", ball_tree.SQL)
+def op11_ball_tree_top_k(spark, sf):
+    return ball_tree.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
