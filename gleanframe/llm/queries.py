@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from gleanframe.llm import ball_tree, bpe, decontaminate, lexical_search, passages, pii, quality_rules, quote_links, resample, secret_scan, simhash, token_files
+from gleanframe.llm import alignment, ball_tree, bpe, decontaminate, lexical_search, passages, pii, quality_rules, quote_links, resample, secret_scan, simhash, token_files
 from gleanframe.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -79,6 +79,11 @@ def op11_ball_tree_top_k(spark, sf):
     return ball_tree.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op12_token_alignment")
+def op12_token_alignment(spark, sf):
+    return alignment.report(table(spark, sf, "documents"))
+
+
 @query("op13_geometric_blocks", lexical_search.SQL)
 def op13_geometric_blocks(spark, sf):
     return lexical_search.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
