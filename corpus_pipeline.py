@@ -3,13 +3,19 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows the one before it kept. Stages are
 written to Parquet in the cluster's shared folder and read again, so that a lost executor costs one
 stage's tasks. All but the last return the columns of ``documents``.
+
+In every stage a null text counts as an empty one, texts are read whole however long they are, extra
+columns stay with any name, and an empty table gives an empty one. A text without words weighs 1 in
+the first stage, is alike with all others of its kind in the second, and passes the rest unchanged.
+Rows that repeat an id and a text are drawn together; one of them passes the second stage. Ties there
+go to the smallest id, null ids last.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import bpe, decontaminate, near_copies, pii, resample
+from gleanframe.llm import bpe, decontaminate, pii, resample, simhash
 from gleanframe.llm.common import table
 from gleanframe.session import scratch_path
 
@@ -20,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), that of the smallest id."""
-    return near_copies.keep_first(docs)
+    """One document of each group of near-duplicates by SimHash (three-word shingles, two bits of 64): that of the smallest id."""
+    return simhash.keep_first(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
