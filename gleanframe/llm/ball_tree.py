@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from gleanframe.llm.sharded import shards_for, two_rounds, written
 
@@ -186,12 +186,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id",
     sizes = rows.groupBy("width").agg(F.count(F.lit(1)).alias("n")).select(
         "width", shards_for(F.col("n") * cells, SHARD_CELLS, SHARD_ROWS * cells, wanted).alias("shards")
     )
-    # numbers of shards, one after the other; there are as many rows as there are lengths of vectors
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.width") < F.col("a.width"), "left").groupBy("a.width", "a.shards")
-    sizes = before.agg(F.coalesce(F.sum("b.shards"), F.lit(0)).cast("int").alias("first"))
-    n_parts = sizes.agg(F.sum("shards")).first()[0]
-    if not n_parts:
-        n_parts = 1
+    # shards are numbered one after the other; a window over one row for each length of vectors
+    sizes = sizes.withColumn("first", (F.sum("shards").over(W.orderBy("width")) - F.col("shards")).cast("int"))
+    n_parts = sizes.agg(F.sum("shards")).first()[0] or 1
     placed = rows.join(sizes, "width")
     shards = placed.select((F.col("first") + F.pmod(F.xxhash64("row"), F.col("shards")).cast("int")).alias("part"), "row", "id", "v")
     queries = placed.filter("asks").select("row", "id", "v", "first", (F.col("first") + F.col("shards") - 1).alias("last"), F.col("row").alias("query"))

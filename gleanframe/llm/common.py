@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -66,3 +66,20 @@ def replacing(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without columns an operator is about to write, whatever their case."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def fresh(df: DataFrame, label: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken, name = {c.lower() for c in df.columns}, f"__{label}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def aside(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but ``used`` under names that no operator writes, and what puts the names back.
+
+    The columns of ``df`` must come first, in order, in what is put back; others are left out.
+    """
+    names = [c if c in used else f"column {i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), lambda out: out.select(*[F.col(f"`{n}`") for n in names]).toDF(*df.columns)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gleanframe.llm.common import append, pieces, raw_bytes, replacing, with_columns, worker_cache
+from gleanframe.llm.common import append, aside, pieces, raw_bytes, replacing, with_columns, worker_cache
 from gleanframe.session import materialise
 
 #: Words in a window.
@@ -195,18 +195,21 @@ def scan_block(docs: DataFrame, shared, text: str, hits: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def drop_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any hit; columns as before."""
-    return find(docs, benchmark, **options).filter("hits.n_hit = 0").drop("hits")
+def drop_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents without any hit; columns as before, whatever their names."""
+    plain, back = aside(docs, text)
+    return back(find(plain, benchmark, text=text, **options).filter("hits.n_hit = 0"))
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", least_words: int = 1, **options) -> DataFrame:
     """Documents with every hit range of at least ``least_words`` words cut from ``text``.
 
     A cut goes from the first byte of the range's first word to the first byte of the word after the
-    range (or the end of the text). Texts without a hit, null ones too, stay as they are.
+    range (or the end of the text). Texts without a hit, null ones too, stay as they are, and so do
+    all other columns, whatever their names.
     """
-    found = find(docs, benchmark, text=text, **options)
+    plain, back = aside(docs, text)
+    found = find(plain, benchmark, text=text, **options)
     place = found.columns.index(text)
 
     def run(batches):
@@ -227,7 +230,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", least_w
                 column = pa.array(values, pa.string())
                 yield pa.RecordBatch.from_arrays([column if k == place else c for k, c in enumerate(piece.columns)], names=piece.schema.names)
 
-    return found.mapInArrow(run, found.schema).drop("hits")
+    return back(found.mapInArrow(run, found.schema))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -5,6 +5,9 @@ Units get a 128-bit digest of their normalised text. Per digest the occurrence o
 map-side minima, so a line that a third of all documents hold costs one row per task; the join back
 goes over narrow rows (no text), and Spark splits a digest's partition if it is large. Original
 places of removed and kept text stay known.
+
+Neighbouring units that all occur more than once, the first occurrence included, make a passage, so
+that a long text shared by documents is told apart from single lines that repeat by themselves.
 """
 
 from __future__ import annotations
@@ -13,17 +16,19 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from gleanframe.llm.common import append, pieces, replacing, strings, with_columns
 from gleanframe.session import materialise
 
-#: Shorter units are no passages and stay: lines of a few words repeat by chance.
-LEAST_WORDS = 5
+#: Units of fewer words are left out; raise it to spare short lines.
+LEAST_WORDS = 1
+#: Runs of neighbouring repeated units with more words than this are told one by one.
+LONG_WORDS = 50
 BREAKS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r\f\v]*\n\s*")}
 
-UNIT = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("digest", T.BinaryType())])
-ARROW_UNITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())]))
+UNIT = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("digest", T.BinaryType())])
+ARROW_UNITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("digest", pa.binary())]))
 
 
 def normalised(unit: str) -> bytes:
@@ -36,8 +41,9 @@ def units_of(text: str, unit: str, least_words: int) -> list[dict]:
     out, at = [], 0
     for end, after in [*(m.span() for m in BREAKS[unit].finditer(text)), (len(text), len(text))]:
         plain = normalised(text[at:end])
-        if plain and plain.count(b" ") + 1 >= least_words:
-            out.append({"start": at, "end": end, "digest": hashlib.blake2b(plain, digest_size=16).digest()})
+        words = plain.count(b" ") + 1
+        if plain and words >= least_words:
+            out.append({"start": at, "end": end, "words": words, "digest": hashlib.blake2b(plain, digest_size=16).digest()})
         at = after
     return out
 
@@ -57,33 +63,74 @@ def scan(docs: DataFrame, text: str, keep: list[str], unit: str, least_words: in
     return docs.mapInArrow(run, schema)
 
 
-def repeats(scanned: DataFrame) -> DataFrame:
-    """(id, __text, spans): the units that repeat an earlier one, in order, per text that has any."""
-    units = scanned.select("id", "__text", F.explode("__units").alias("u")).select("id", "__text", "u.*")
+def repeated(scanned: DataFrame) -> DataFrame:
+    """(id, __text, no, start, end, words, stays): every unit that occurs at two places or more.
+
+    ``no`` is its number in the text, ``stays`` says that it is the first occurrence.
+    """
+    units = scanned.select("id", "__text", F.posexplode("__units").alias("no", "u")).select("id", "__text", "no", "u.*")
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "start")
     firsts = units.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last")))
-    later = units.join(firsts.select("digest", "first"), "digest").filter(~rank.eqNullSafe(F.col("first")))
+    return units.join(firsts.select("digest", "first"), "digest").select(
+        "id", "__text", "no", "start", "end", "words", rank.eqNullSafe(F.col("first")).alias("stays")
+    )
+
+
+def repeats(found: DataFrame) -> DataFrame:
+    """(id, __text, spans): the units that repeat an earlier one, in order, per text that has any."""
     # the list is as long as the text's units at most
+    later = found.filter(~F.col("stays"))
     return later.groupBy("id", "__text").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
+def passages(found: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """(id, __text, spans, runs, longest): removed units; runs of repeated units over ``long_words`` words; words of the longest run.
+
+    A run has its place, its number of units and how many of them stay.
+    """
+    keys = ["id", "__text"]
+    # rows that repeat an id and a text have each unit once here; a window is one text
+    units = found.dropDuplicates([*keys, "no"])
+    run = F.col("no") - F.row_number().over(W.partitionBy(*keys).orderBy("no"))
+    spans = F.collect_list(F.when(~F.col("stays"), F.struct("start", "end")))
+    runs = units.withColumn("run", run).groupBy(*keys, "run").agg(
+        spans.alias("spans"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"),
+        F.count(F.lit(1)).alias("units"), F.count_if("stays").alias("kept"),
+    )
+    long_run = F.when(F.col("words") > long_words, F.struct("start", "end", "units", "kept"))
+    return runs.groupBy(*keys).agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.collect_list(long_run)).alias("runs"), F.max("words").alias("longest")
+    )
+
+
 def attach(rows: DataFrame, found: DataFrame) -> DataFrame:
     same = rows["id"].eqNullSafe(found["id"]) & (rows["__text"] == found["__text"])
-    return rows.join(found, same, "left").select(*[rows[c] for c in rows.columns], found["spans"])
+    return rows.join(found, same, "left").select(*[rows[c] for c in rows.columns], *[found[c] for c in found.columns[2:]])
 
 
-def report(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
-    """Per row: id, numbers of units and of removed ones, and the removed places ``start:end``.
+def report(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", unit: str = "line", least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS
+) -> DataFrame:
+    """Per row: id, numbers of units and of removed ones, the removed places ``start:end``, and its passages.
 
-    Places are code points, ends exclusive. A null id ranks after all others. Rows that repeat an id
-    and a text hold the same ranks: what is first in one is first in all, and they stay alike.
+    ``n_long_passages`` counts the runs of neighbouring units, all of which occur at two places or more, with
+    over ``long_words`` words; ``long_passages`` tells them as ``start:end:units:kept units``, and
+    ``longest_passage`` has the words of the longest run (0: none). Places are code points, ends exclusive. A null id
+    ranks after all others. Rows that repeat an id and a text hold the same ranks: what is first in one is first in
+    all, and they stay alike. Null, empty and blank texts have no units; an empty table gives none; other columns
+    play no part.
     """
     scanned = materialise(scan(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", ["id"], unit, least_words))
-    out = attach(scanned.select("id", "__text", F.size("__units").cast("long").alias("n_units")), repeats(scanned))
-    spans = F.coalesce("spans", F.array())
+    found = passages(repeated(scanned), long_words)
+    out = attach(scanned.select("id", "__text", F.size("__units").cast("long").alias("n_units")), found)
+    spans, runs = F.coalesce("spans", F.array()), F.coalesce("runs", F.array())
+    told = lambda s, *names: F.concat_ws(":", *(s[n].cast("string") for n in names))
     return out.select(
         F.col("id").alias(id), "n_units", F.size(spans).cast("long").alias("n_removed"),
-        F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))).alias("removed"),
+        F.concat_ws(",", F.transform(spans, lambda s: told(s, "start", "end"))).alias("removed"),
+        F.size(runs).cast("long").alias("n_long_passages"),
+        F.concat_ws(",", F.transform(runs, lambda s: told(s, "start", "end", "units", "kept"))).alias("long_passages"),
+        F.coalesce("longest", F.lit(0)).cast("long").alias("longest_passage"),
     )
 
 
@@ -94,7 +141,7 @@ def remove(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: str =
     """
     kept = replacing(docs, ["kept_spans"])
     plain = kept.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    found = repeats(materialise(scan(plain, "text", ["id"], unit, least_words)))
+    found = repeats(repeated(materialise(scan(plain, "text", ["id"], unit, least_words))))
     marked = scan(kept, text, kept.columns, unit, least_words).drop("__units")
     same = marked[id].eqNullSafe(found["id"]) & (marked["__text"] == found["__text"])
     joined = marked.join(found, same, "left").select(*[marked[c] for c in kept.columns], found["spans"].alias("__spans"))
@@ -132,11 +179,22 @@ placed AS (
   SELECT *, coalesce(sum(len(line) + 1) OVER (PARTITION BY r ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
          string_split(trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS w
   FROM line),
-unit AS (SELECT r, doc_id, start, start + len(line) AS stop, array_to_string(w, ' ') AS g FROM placed WHERE len(w) >= 5),
+unit AS (
+  SELECT r, doc_id, start, start + len(line) AS stop, len(w) AS words, array_to_string(w, ' ') AS g, row_number() OVER (PARTITION BY r ORDER BY no) AS no
+  FROM placed WHERE w[1] <> ''),
 ranked AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, start) AS k FROM unit),
+held AS (SELECT *, max(k) OVER (PARTITION BY g) > 1 AS again FROM ranked),
+run AS (
+  SELECT r, min(start) AS a, max(stop) AS b, sum(words) AS words, count(*) AS n, count(*) FILTER (k = 1) AS kept
+  FROM (SELECT *, no - row_number() OVER (PARTITION BY r ORDER BY no) AS run FROM held WHERE again) GROUP BY r, run),
+long AS (
+  SELECT r, max(words) AS longest, count(*) FILTER (words > 50) AS n_long,
+         string_agg(CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT) || ':' || n || ':' || kept, ',' ORDER BY a) FILTER (words > 50) AS told
+  FROM run GROUP BY r),
 per_doc AS (
   SELECT r, count(*) AS n_units, count(*) FILTER (k > 1) AS n_removed,
          string_agg(CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start) FILTER (k > 1) AS removed
   FROM ranked GROUP BY r)
-SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
-FROM doc LEFT JOIN per_doc USING (r)"""
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
+       coalesce(n_long, 0) AS n_long_passages, coalesce(told, '') AS long_passages, CAST(coalesce(longest, 0) AS BIGINT) AS longest_passage
+FROM doc LEFT JOIN per_doc USING (r) LEFT JOIN long USING (r)"""

@@ -25,7 +25,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gleanframe.llm.common import append, pieces, replacing, strings, with_columns
+from gleanframe.llm.common import append, aside, pieces, strings, with_columns
 from gleanframe.session import materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -233,7 +233,8 @@ def find(
     """Per row: id, ``__base`` spans and ``__terms`` to generalise or remove (null: none).
 
     Null counts as empty and has no spans. Repeated rows count as documents of the corpus, and each
-    gets the same spans. Places are code points, ends exclusive.
+    gets the same spans. Places are code points, ends exclusive. An empty table gives none; other
+    columns play no part.
     """
     found = materialise(scan(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", ["id"]))
     told = disclosures(docs, text, found, support)
@@ -278,14 +279,16 @@ def rewritten(text: str, base: list[dict], terms: list[dict] | None) -> str:
 def sanitise(
     docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
-    """``docs`` with personal data and disclosing terms replaced in ``text``; other columns as before.
+    """``docs`` with personal data and disclosing terms replaced in ``text``; other columns as before, whatever their names.
 
-    Texts without base spans, null ones too, stay as they are and are not shuffled.
+    Texts without base spans, null and empty ones too, stay as they are and are not shuffled. Repeated
+    rows count as documents each and are changed alike. An empty table gives an empty table.
     """
-    columns = docs.columns
+    plain, back = aside(docs, text)
+    columns = plain.columns
     found = materialise(scan(docs.select(F.col(text).alias("text")), "text", []))
     terms = term_spans(found, disclosures(docs, text, found, support), generalise, remove)
-    marked = attach(scan(replacing(docs, [n for n, _ in FOUND]), text, columns, near=False), terms)
+    marked = attach(scan(plain, text, columns, near=False), terms)
     place = marked.columns.index(text)
 
     def run(batches):
@@ -298,4 +301,4 @@ def sanitise(
                 column = pa.array(values, pa.string())
                 yield pa.RecordBatch.from_arrays([column if k == place else c for k, c in enumerate(piece.columns)], names=piece.schema.names)
 
-    return marked.mapInArrow(run, marked.schema).select(*columns)
+    return back(marked.mapInArrow(run, marked.schema))

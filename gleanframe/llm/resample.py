@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gleanframe.llm.common import append, pieces, raw_bytes, replacing, with_columns, worker_cache
+from gleanframe.llm.common import append, aside, pieces, raw_bytes, with_columns, worker_cache
 from gleanframe.session import materialise
 
 BUCKETS = 1 << 16
@@ -303,10 +303,12 @@ def resample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
 
 
 def keep_drawn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The drawn rows of ``docs`` with their columns: weights are computed again, no text is shuffled."""
+    """The drawn rows of ``docs`` with their columns, whatever their names: weights are computed again, no text is shuffled.
+
+    Rules for nulls, empty texts, ties, repeated rows and empty tables are those of ``resample``.
+    """
     _, (least, most), models, target, judged = draw(docs, labels, id, text, **options)
-    columns = docs.columns
-    plain = replacing(docs, ["__log_ratio", "__toxic", "__draw_key"])
+    plain, back = aside(docs, id, text)
     marked = log_ratios(plain, models, target, id, text, "__log_ratio", options.get("length", LENGTH), toxic=judged)
     marked = marked.withColumn("__draw_key", F.col("__log_ratio") + gumbel(F.col(id)))
-    return marked.filter((F.col("__draw_key") >= F.lit(least)) & (F.col("__toxic") <= F.lit(most))).select(*columns)
+    return back(marked.filter((F.col("__draw_key") >= F.lit(least)) & (F.col("__toxic") <= F.lit(most))))

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gleanframe.llm.common import append, pieces, raw_bytes, replacing, with_columns
+from gleanframe.llm.common import append, fresh, pieces, raw_bytes, replacing, with_columns
 from gleanframe.llm.components import connected_components
 from gleanframe.session import materialise
 
@@ -132,11 +132,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest (id, fingerprint).
 
-    Of rows that repeat both, one stays. Columns are those of ``docs``.
+    Of rows that repeat both, one stays. Columns are those of ``docs``, whatever their names. Null and
+    empty texts, and those without words, are alike, so one of them stays; a null id ranks last. An
+    empty table gives none.
     """
-    marked = fingerprints(docs, text, "__fp")
-    rows = materialise(marked.select(F.col(id).alias("id"), F.col("__fp").alias("fp")))
+    own = fresh(docs, "fp")
+    marked = fingerprints(docs, text, own)
+    rows = materialise(marked.select(F.col(id).alias("id"), F.col(own).alias("fp")))
     # one (id, fingerprint) for each group, so both joins below are on keys of few rows
     firsts = groups(rows, "id", "fp").select("first.*").distinct()
-    same = marked[id].eqNullSafe(firsts["id"]) & (marked["__fp"] == firsts["fp"])
-    return marked.join(firsts, same, "left_semi").dropDuplicates([id, "__fp"]).drop("__fp")
+    same = marked[id].eqNullSafe(firsts["id"]) & (marked[own] == firsts["fp"])
+    return marked.join(firsts, same, "left_semi").dropDuplicates([id, own]).drop(own)

@@ -17,12 +17,15 @@ def test_small_cases(spread):
         (7, "head\nsix seven eight nine ten", "x"),
     ]
     docs = spread.createDataFrame(rows, "doc_id long, text string, kept_spans string")
-    got = sorted(map(tuple, L.report(docs).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in L.report(docs, least_words=5).collect()), key=str)
     assert got == sorted(
         [(1, 1, 0, ""), (2, 2, 1, "0:23"), (3, 3, 1, "10:19"), (None, 1, 1, "0:9"), (4, 0, 0, ""), (5, 0, 0, ""), (6, 1, 0, ""), (6, 1, 0, ""), (7, 1, 1, "5:29")],
         key=str,
     )
-    out = {(r.doc_id, r.text): [tuple(s) for s in r.kept_spans] for r in L.remove(docs).collect()}
+    # short lines are units too
+    got = {(r.doc_id, r.n_units, r.n_removed, r.removed) for r in L.report(docs).collect()}
+    assert {(1, 2, 0, ""), (2, 3, 2, "0:23,24:29"), (7, 2, 1, "5:29"), (4, 0, 0, "")} <= got
+    out = {(r.doc_id, r.text): [tuple(s) for s in r.kept_spans] for r in L.remove(docs, least_words=5).collect()}
     assert out[(2, "short\nsix seven eight nine ten")] == [(24, 54)]
     assert out[(3, "a b c d e\nown words only in here")] == [(0, 10), (20, 42)]
     assert out[(None, "")] == [] and out[(4, None)] == [] and out[(7, "head\n")] == [(0, 5)]
@@ -31,4 +34,44 @@ def test_small_cases(spread):
 
 def test_paragraphs(spark):
     docs = spark.createDataFrame([(1, "a b\nc d e\n\nx"), (2, "y\n \n\nA B\nC d e")], "doc_id long, text string")
-    assert sorted(map(tuple, L.report(docs, unit="paragraph").collect())) == [(1, 1, 0, ""), (2, 1, 1, "5:14")]
+    assert sorted(tuple(r)[:4] for r in L.report(docs, unit="paragraph", least_words=5).collect()) == [(1, 1, 0, ""), (2, 1, 1, "5:14")]
+
+
+def plain_passages(rows, long_words):
+    """(doc_id, text) to (long passages, words of the longest), by looking at every line."""
+    seen, told = {}, {}
+    for i, x in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, str(r[1]))):
+        at, units = 0, []
+        for line in (x or "").split("\n"):
+            if plain := L.normalised(line):
+                units.append((at, at + len(line), plain))
+                seen.setdefault(plain, set()).add((i is None, i or 0, at))
+            at += len(line) + 1
+        told[i, x] = units
+    out = {}
+    for (i, x), units in told.items():
+        runs, now = [], []
+        for a, b, plain in [*units, (0, 0, b"")]:
+            if plain and len(seen[plain]) > 1:
+                now.append((a, b, len(plain.split(b" ")), min(seen[plain]) == (i is None, i or 0, a)))
+            elif now:
+                runs.append((now[0][0], now[-1][1], sum(w for _, _, w, _ in now), len(now), sum(k for *_, k in now)))
+                now = []
+        told_runs = ",".join(f"{a}:{b}:{n}:{k}" for a, b, w, n, k in runs if w > long_words)
+        out[i, x] = (sum(w > long_words for _, _, w, _, _ in runs), told_runs, max((w for _, _, w, _, _ in runs), default=0))
+    return out
+
+
+def test_passages_of_neighbouring_lines(spread):
+    shared = ["alpha beta gamma", "", "delta epsilon", "zeta eta theta iota"]
+    rows = [
+        (1, "\n".join(["own start", *shared, "own end"])), (2, "\n".join([*shared, "another end", "alpha beta gamma"])), (3, "delta epsilon\nnew\nZETA eta  theta iota"),
+        (4, None), (5, ""), (6, "\n\n \n"), (7, "same\nsame"), (8, "twice told row"), (8, "twice told row"), (None, "\n".join(shared)), (9, "word " * 40_000 + "\nx"),
+    ]
+    docs = spread.createDataFrame([(i, x, 1, "s") for i, x in rows], "doc_id long, text string, no int, spans string").repartition(3)
+    for most in (5, 50):
+        want = plain_passages(rows, most)
+        texts = {r.doc_id: r for r in L.report(docs, long_words=most).collect()}
+        for i, x in rows:
+            assert (texts[i].n_long_passages, texts[i].long_passages, texts[i].longest_passage) == want[i, x], (i, most)
+    assert L.report(docs).count() == len(rows)
