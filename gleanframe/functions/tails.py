@@ -111,3 +111,73 @@ def exact_binomial_limit(successes: pd.Series, trials: pd.Series, tail: pd.Serie
         else:
             out.append(1.0 if x == n else beta_quantile(p, x + 1, n - x))
     return pd.Series(out, dtype=float)
+
+
+def log_choose(n: float, k: float) -> float:
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+
+def log_normal_upper(z: float) -> float:
+    """ln P(Z >= z) for z >= 0, also where the probability is too small for a float."""
+    if z < 25:
+        return math.log(0.5 * math.erfc(z / math.sqrt(2.0)))
+    # the asymptotic series; its third term is below 1e-8 here
+    return -0.5 * z * z - math.log(z * math.sqrt(2.0 * math.pi)) + math.log1p(-1 / z**2 + 3 / z**4 - 15 / z**6)
+
+
+def normal_from_log_upper(log_p: float) -> float:
+    """The z >= 0 with ln P(Z >= z) = ``log_p``, by bisection."""
+    if log_p >= math.log(0.5):
+        return 0.0
+    lo, hi = 0.0, math.sqrt(-2.0 * log_p) + 1.0
+    for _ in range(200):
+        mid = 0.5 * (lo + hi)
+        if log_normal_upper(mid) > log_p:
+            lo = mid
+        else:
+            hi = mid
+    return 0.5 * (lo + hi)
+
+
+def log_hypergeometric_tail(x: int, k: int, j: int, n: int) -> float:
+    """ln of P(X >= x) if x is above the mean, else of P(X <= x).
+
+    X is how many of ``k`` marked ones are among ``j`` drawn from ``n``. Terms are summed from x
+    outwards, away from the mode, each from the one before, until they no longer count.
+    """
+    up = x * n > k * j
+    log_first = log_choose(k, x) + log_choose(n - k, j - x) - log_choose(n, j)
+    term = total = 1.0
+    at = x
+    while term > total * 1e-17:
+        if up:
+            term *= (k - at) * (j - at) / ((at + 1) * (n - k - j + at + 1)) if at < min(k, j) else 0.0
+            at += 1
+        else:
+            term *= at * (n - k - j + at) / ((k - at + 1) * (j - at + 1)) if at > max(0, k + j - n) else 0.0
+            at -= 1
+        total += term
+    return min(0.0, log_first + math.log(total))
+
+
+@F.pandas_udf(T.StructType([T.StructField("p_value", T.DoubleType()), T.StructField("test_value", T.DoubleType())]))
+def hypergeometric_test(x: pd.Series, k: pd.Series, j: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Two-sided p-value (twice the tail, at most 1) and the normal value of that p, signed by the side."""
+    out = []
+    for a, b, c, d in zip(x.tolist(), k.tolist(), j.tolist(), n.tolist()):
+        tail = log_hypergeometric_tail(int(a), int(b), int(c), int(d))
+        sign = 1.0 if a * d > b * c else -1.0
+        out.append((min(1.0, 2.0 * math.exp(tail)), sign * normal_from_log_upper(tail)))
+    return pd.DataFrame(out, columns=["p_value", "test_value"])
+
+
+@F.pandas_udf(T.DoubleType())
+def binomial_upper(m: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+    """P(Bin(n, p) >= m)."""
+    return pd.Series([1.0 if a <= 0 else 0.0 if a > b else beta_lower(a, b - a + 1, q) for a, b, q in zip(m, n, p)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def log_binomial(n: pd.Series, k: pd.Series) -> pd.Series:
+    """ln of n over k."""
+    return pd.Series([log_choose(float(a), float(b)) for a, b in zip(n, k)], dtype=float)

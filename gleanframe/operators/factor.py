@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gleanframe.functions.tails import chi2_upper, hypergeometric_test
 from gleanframe.session import materialise
 
 #: What ``fit_mca`` puts on the driver; ``leading_axes`` has no such bound.
@@ -343,6 +344,28 @@ def describe_groups(profiles: DataFrame, variables: Sequence[str], group: str) -
     return enrich(out.drop("__chi"), chi, ["var"])
 
 
+def test_categories(profiles: DataFrame, variables: Sequence[str], group: str) -> DataFrame:
+    """``describe_groups`` with exact tests.
+
+    ``p_value`` of a (category, group) is twice the hypergeometric tail beyond its count (at most 1),
+    ``test_value`` the standard normal value of that p, positive if the category is over-represented;
+    both hold for counts of any size, as tails are summed in logarithms. ``chi2_p`` is the p-value of
+    a variable's chi-squared statistic with ``chi2_df`` degrees of freedom.
+    """
+    told = describe_groups(profiles, variables, group).drop("test_value")
+    sizes = profiles.groupBy(F.col(group).alias("cls")).agg(F.sum("n").alias("j"))
+    cats = class_counts(profiles, variables, group).groupBy("var", "cat").agg(F.sum("n").alias("k"))
+    total = profiles.agg(F.sum("n").alias("all"))
+    levels = cats.groupBy("var").agg(F.count(F.lit(1)).alias("levels"))
+    counted = told.join(sizes, "cls").join(cats, ["var", "cat"]).join(levels, "var")
+    counted = counted.withColumns({"all": total.scalar(), "classes": sizes.agg(F.count(F.lit(1))).scalar()})
+    tested = counted.withColumn("t", hypergeometric_test(F.col("n"), F.col("k"), F.col("j"), F.col("all")))
+    df = ((F.col("levels") - 1) * (F.col("classes") - 1)).cast("int")
+    return tested.select(
+        "var", "cat", "cls", "n", "pct_in_group", "pct_overall", "t.p_value", "t.test_value", "chi2", df.alias("chi2_df"), chi2_upper(F.col("chi2"), df).alias("chi2_p")
+    )
+
+
 def silhouette_exact(points: DataFrame, id: str, dims: Sequence[str], cluster: str, weight: str = "n", block: int = 2_000) -> DataFrame:
     """Exact Euclidean silhouette of distinct weighted points.
 

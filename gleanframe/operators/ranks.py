@@ -11,9 +11,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from gleanframe.functions.tails import chi2_upper, exact_binomial_limit, normal_quantile, normal_two_sided
+from gleanframe.functions.tails import binomial_upper, chi2_upper, exact_binomial_limit, log_binomial, normal_quantile, normal_two_sided
 from gleanframe.operators.joins import enrich
 from gleanframe.operators.ordering import prefix_sums, quantiles, value_counts, values_at_positions
 from gleanframe.session import materialise
@@ -138,6 +138,74 @@ def bootstrap_median(
     return enrich(point, limits, [group])
 
 
+#: Of the law of a bootstrap median: how many standard deviations of a rank are looked at on either side of the
+#: middle, and how many rows may lie between the two middle draws. Beyond either lies less than 1e-15 in all.
+REACH, BETWEEN = 8.6, 45
+
+
+def bootstrap_median_law(df: DataFrame, group: str, value: str) -> DataFrame:
+    """The exact law of a bootstrap median: rows (group, ``at``, ``p``), one for each value it can take.
+
+    For an odd number n of rows it is the order statistic m = (n + 1) / 2 of n draws, which is at
+    most v with the chance that a binomial of n and v's share of rows reaches m. For an even n it is
+    the mean of the order statistics m = n / 2 and m + 1. These are the different values u < v just
+    when m draws are at most u, one of them u, and the others are at least v, one of them v:
+
+        C(n, m) (F(u)^m - F(u-)^m) ((1 - F(v-))^(n-m) - (1 - F(v))^(n-m))
+
+    and are both u in what is left of the chance that the first is u. Nothing is drawn. Values
+    further than ``REACH`` deviations from the middle rank and pairs with more than ``BETWEEN`` rows
+    between them are left out, as their chances sum to less than 1e-15. Null values and null groups
+    take no part.
+    """
+    cum = prefix_sums(value_counts(df.filter(F.col(group).isNotNull()), [group], value), [group], [value], ["n"])
+    n, m = F.col("all_n"), F.floor((F.col("all_n") + 1) / 2)
+    reach = F.lit(REACH / 2) * F.sqrt(n) + 1
+    near = materialise(cum.filter((F.col("cum_n") >= n / 2 - reach) & (F.col("cum_n") - F.col("n") <= n / 2 + reach)))
+    size, half = n.cast("double"), m.cast("double")
+    rows = near.select(
+        F.col(group), F.col(value).cast("double").alias("v"), size.alias("size"), half.alias("m"), (F.col("cum_n") - F.col("n")).alias("below"), F.col("cum_n").alias("upto"),
+        (binomial_upper(half, size, F.col("cum_n") / n) - binomial_upper(half, size, (F.col("cum_n") - F.col("n")) / n)).alias("first"),
+    )
+    power = lambda count, times: F.when(count > 0, times * F.ln(count / F.col("size")))  # noqa: E731 (null: no such row, chance 0)
+    m, rest = F.col("m"), F.col("size") - F.col("m")
+    up, low = power(F.col("upto"), m), power(F.col("below"), m)
+    # logs of C (F(u)^m - F(u-)^m), and of the chances that the other draws are beyond
+    gap = lambda a, b: a + F.coalesce(F.log1p(-F.exp(b - a)), F.lit(0.0))
+    rows = rows.withColumns({
+        "left": log_binomial("size", "m") + gap(up, low), "over": power(F.col("size") - F.col("upto"), rest),
+        "right": gap(power(F.col("size") - F.col("below"), rest), power(F.col("size") - F.col("upto"), rest)),
+    })
+    # the rows near the middle of one group, a share of it that falls with its size
+    later = W.partitionBy(group).orderBy("v").rowsBetween(1, BETWEEN + 1)
+    even = F.col("size") % 2 == 0
+    rows = materialise(rows.withColumn("later", F.when(even, F.collect_list(F.struct("v", "below", "right")).over(later))))
+    tied = F.when(even, F.col("first") - F.coalesce(F.exp(F.col("left") + F.col("over")), F.lit(0.0))).otherwise(F.col("first"))
+    alone = rows.select(group, F.col("v").alias("at"), F.greatest(tied, F.lit(0.0)).alias("p"))
+    pairs = rows.filter(even).select(group, "v", "upto", "left", F.explode("later").alias("to")).filter(F.col("to.below") - F.col("upto") <= BETWEEN)
+    apart = pairs.select(group, ((F.col("v") + F.col("to.v")) / 2).alias("at"), F.exp(F.col("left") + F.col("to.right")).alias("p"))
+    return alone.unionByName(apart).groupBy(group, "at").agg(F.sum("p").alias("p")).filter("p > 0")
+
+
+def bootstrap_median_exact(df: DataFrame, group: str, value: str, level: float = 0.95) -> DataFrame:
+    """Per group: n, median, mean and deviation of its bootstrap median, and the limits that hold ``level`` of its law.
+
+    A limit is the least value that the median stays at or under with chance alpha / 2, or
+    1 - alpha / 2. See ``bootstrap_median_law``; ``bootstrap_median`` draws from this law.
+    """
+    law = prefix_sums(bootstrap_median_law(df, group, value), [group], ["at"], ["p"])
+    alpha = (1 - level) / 2
+    # a hair's breadth for the rounding of sums
+    limit = lambda share: F.min(F.when(F.col("cum_p") >= share * F.col("all_p") - 1e-12, F.col("at")))
+    mean = F.sum(F.col("at") * F.col("p")) / F.sum("p")
+    spread = F.sum(F.col("at") * F.col("at") * F.col("p")) / F.sum("p")
+    told = law.groupBy(group).agg(
+        mean.alias("boot_mean"), F.sqrt(F.greatest(spread - mean * mean, F.lit(0.0))).alias("boot_sd"), limit(alpha).alias("ci_low"), limit(1 - alpha).alias("ci_high")
+    )
+    middle = quantiles(df.filter(F.col(group).isNotNull()), [group], value, {"median": 0.5})
+    return middle.join(told, group)
+
+
 def score_counts(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """Positives and negatives per distinct score."""
     hit = F.coalesce(positive, F.lit(False))
@@ -218,7 +286,77 @@ def group_moments(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame
     )
 
 
+def robust_moments(
+    df: DataFrame, by: Sequence[str], x: str, y: str, freedom: float = 5.0, rounds: int = 25, tol: float = 0.01, level: float = 0.95
+) -> DataFrame:
+    """Centre and covariance of two coordinates per group under a t law, the basis of a robust ellipse.
+
+    Reweighted means: a point at squared distance q from the centre, measured in the covariance,
+    weighs (1 + 2 / freedom) / (1 + q / freedom). Points are counted first, then a round is one pass
+    of sums per group and the groups' next centres; ``rounds`` at most, until no weight of the group
+    moves by ``tol``. ``converged`` says so, ``n_rounds`` counts, and ``radius`` scales the ellipse
+    that holds ``level``. Points with a null coordinate or group take no part; groups whose points lie on a
+    line have null moments and do not converge.
+    """
+    by = list(by)
+    points = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna("any")
+    points = materialise(points.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n")))
+    names = ["mx", "my", "xx", "yy", "xy"]
+
+    # sums about the plain mean, so that nothing is lost to large coordinates
+    centre = points.groupBy(*by).agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"o{c}") for c in "xy"])
+    points = materialise(points.join(centre, by).select(*by, (F.col("x") - F.col("ox")).alias("x"), (F.col("y") - F.col("oy")).alias("y"), "n", "ox", "oy"))
+
+    def distance(prefix: str) -> Column:
+        mx, my, xx, yy, xy = (F.col(f"{prefix}{c}") for c in names)
+        dx, dy = F.col("x") - mx, F.col("y") - my
+        det = xx * yy - xy * xy
+        return F.when(det > 1e-12 * xx * yy, (dx * dx * yy - 2 * dx * dy * xy + dy * dy * xx) / det)
+
+    def weight(prefix: str) -> Column:
+        return (1 + 2 / freedom) / (1 + distance(prefix) / freedom)
+
+    def sums(w: Column, moved: Column) -> list[Column]:
+        n = F.col("n") * w
+        parts = {"w": n, "sx": n * F.col("x"), "sy": n * F.col("y"), "sxx": n * F.col("x") * F.col("x"), "syy": n * F.col("y") * F.col("y"), "sxy": n * F.col("x") * F.col("y")}
+        return [*(F.sum(v).alias(k) for k, v in parts.items()), F.max(moved).alias("moved"), F.sum("n").alias("count"), F.first("ox").alias("ox"), F.first("oy").alias("oy")]
+
+    def next_state(summed: DataFrame, old: list[Column]) -> DataFrame:
+        mx, my = F.col("sx") / F.col("w"), F.col("sy") / F.col("w")
+        share = F.col("w")
+        cov = {"xx": F.col("sxx") / share - mx * mx, "yy": F.col("syy") / share - my * my, "xy": F.col("sxy") / share - mx * my}
+        return summed.select(*by, "count", "ox", "oy", "moved", mx.alias("mx"), my.alias("my"), *[v.alias(k) for k, v in cov.items()], F.col("w").alias("total"), *old)
+
+    zero = [F.lit(None).cast("double").alias(f"p{c}") for c in names]
+    state = materialise(next_state(points.groupBy(*by).agg(*sums(F.lit(1.0), F.lit(1e300))), zero).withColumns({"n_rounds": F.lit(0), "converged": F.lit(False)}))
+    done = None
+    for k in range(1, rounds + 1):
+        told = points.drop("ox", "oy").join(state.drop("moved", "total", "count"), by)
+        before = F.coalesce(weight("p"), F.lit(1.0)) if k > 1 else F.lit(1.0)
+        summed = told.groupBy(*by, *[F.col(c).alias(f"old_{c}") for c in names]).agg(*sums(weight(""), F.abs(weight("") - before)))
+        fresh = next_state(summed, [F.col(f"old_{c}").alias(f"p{c}") for c in names])
+        fresh = materialise(fresh.withColumns({"n_rounds": F.lit(k), "converged": F.coalesce(F.col("moved") < tol, F.lit(False))}))
+        settled = fresh.filter("converged")
+        done = settled if done is None else done.unionByName(settled)
+        state = fresh.filter("NOT converged AND xx IS NOT NULL")
+        if k == rounds or not state.limit(1).collect():
+            break
+    found = (done if done is not None else state.limit(0)).unionByName(state)
+    radius = F.sqrt((F.col("count") - 1) * (F.pow(F.lit(1 - level), -2 / (F.col("count") - 1)) - 1))
+    # the covariance is that of the weighted points, divided by their number
+    scale = F.col("total") / F.col("count")
+    out = found.select(
+        *by, F.col("count").alias("n"), (F.col("mx") + F.col("ox")).alias("mean_x"), (F.col("my") + F.col("oy")).alias("mean_y"),
+        *[(F.col(c) * scale).alias(a) for c, a in (("xx", "var_x"), ("yy", "var_y"), ("xy", "cov_xy"))],
+        F.when(F.col("count") > 1, radius).alias("radius"), "n_rounds", "converged",
+    )
+    whole = points.groupBy(*by).agg(F.sum("n").alias("n"))
+    lost = whole.join(out, by, "left_anti")
+    nothing = [F.lit(None).cast("double").alias(c) for c in ("mean_x", "mean_y", "var_x", "var_y", "cov_xy", "radius")]
+    return out.unionByName(lost.select(*by, "n", *nothing, F.lit(0).alias("n_rounds"), F.lit(False).alias("converged")))
+
+
 __all__ = [
     "rank_sums", "kruskal_wallis", "dunn_pairs", "stars", "bootstrap_median", "score_counts", "roc_curve", "roc_summary",
-    "confusion", "accuracy_interval", "cohens_d", "group_moments", "quantiles",
+    "confusion", "accuracy_interval", "cohens_d", "group_moments", "robust_moments", "bootstrap_median_law", "bootstrap_median_exact", "quantiles",
 ]

@@ -94,6 +94,28 @@ def group_describe(spark, sf):
     return df.withColumns({c: rounded(c) for c in ("pct_in_group", "pct_overall", "test_value", "chi2")})
 
 
+@query("category_test_values", with_views("profile", """
+, l AS (SELECT id, var, cat FROM (UNPIVOT profile ON region, balance_band, order_band INTO NAME var VALUE cat))
+, s AS (SELECT id, segment FROM profile)
+, c AS (SELECT var, cat, count(*) AS k FROM l GROUP BY ALL), g AS (SELECT segment AS cls, count(*) AS j FROM s GROUP BY 1)
+, x AS (SELECT var, cat, segment AS cls, count(*) AS x FROM l JOIN s USING (id) GROUP BY ALL)
+, t AS (SELECT c.var, c.cat, g.cls, coalesce(x, 0)::BIGINT AS n, k, j, (SELECT count(*) FROM s) AS nn FROM c CROSS JOIN g LEFT JOIN x USING (var, cat, cls))
+, tail AS (
+  SELECT var, cat, cls, sum(exp(lgamma(k + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(k - i + 1.0::DOUBLE)
+      + lgamma(nn - k + 1.0::DOUBLE) - lgamma(j - i + 1.0::DOUBLE) - lgamma(nn - k - j + i + 1.0::DOUBLE)
+      - lgamma(nn + 1.0::DOUBLE) + lgamma(j + 1.0::DOUBLE) + lgamma(nn - j + 1.0::DOUBLE))) AS p
+  FROM (SELECT *, unnest(CASE WHEN n * nn > k * j THEN range(n, least(k, j) + 1) ELSE range(greatest(0, k + j - nn), n + 1) END) AS i FROM t) GROUP BY ALL)
+, h AS (SELECT var, sum(pow(n - k * j / nn::DOUBLE, 2) / (k * j / nn::DOUBLE)) AS h, ((count(DISTINCT cat) - 1) * (count(DISTINCT cls) - 1))::INTEGER AS df FROM t GROUP BY var)
+SELECT var, cat, cls, n, round(100.0::DOUBLE * n / j, 6) AS pct_in_group, round(100.0::DOUBLE * k / nn, 6) AS pct_overall, round(least(1.0, 2 * p), 6) AS p_value,
+       round(h, 6) AS chi2, df AS chi2_df, round(exp(-h / 2) * list_sum(list_transform(range(df // 2), lambda i: pow(h / 2, i) / gamma(i + 1.0::DOUBLE))), 6) AS chi2_p
+FROM t JOIN tail USING (var, cat, cls) JOIN h USING (var)"""))
+def category_test_values(spark, sf):
+    # five segments, so an even number of degrees of freedom: the check uses that closed form; tests hold test_value
+    counts = materialise(X.profile_counts(profile(spark, sf), VARS))
+    df = X.test_categories(counts, VARS[1:], "segment").drop("test_value")
+    return df.withColumns({c: rounded(c) for c in ("pct_in_group", "pct_overall", "p_value", "chi2", "chi2_p")})
+
+
 def _points(spark, sf):
     profiles, model = _mca(spark, sf)
     dims = [f"dim_{i}" for i in range(1, 6)]

@@ -49,6 +49,32 @@ def bootstrap_median_ci(spark, sf):
     return ranks.bootstrap_median(df, "c_mktsegment", "c_acctbal")
 
 
+@query("bootstrap_median_exact", """
+WITH c AS (SELECT c_mktsegment AS g, c_acctbal AS v, count(*) AS n FROM customer WHERE c_acctbal IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT g, v, (sum(n) OVER (PARTITION BY g ORDER BY v) - n)::BIGINT AS a, (sum(n) OVER (PARTITION BY g ORDER BY v))::BIGINT AS b, (sum(n) OVER (PARTITION BY g))::BIGINT AS s, row_number() OVER (PARTITION BY g ORDER BY v) AS i FROM c),
+m AS (SELECT *, (s + 1) // 2 AS m, lgamma(s + 1.0::DOUBLE) AS ls FROM f),
+upto AS (
+  SELECT g, i, sum(exp(ls - lgamma(k + 1.0::DOUBLE) - lgamma(s - k + 1.0::DOUBLE) + k * ln(b / s::DOUBLE) + (s - k) * ln(1 - b / s::DOUBLE))) AS p
+  FROM (SELECT g, i, b, s, ls, unnest(range(m, s + 1)) AS k FROM m WHERE b < s) GROUP BY g, i
+  UNION ALL SELECT g, i, 1 FROM m WHERE b = s),
+one AS (SELECT m.*, p - coalesce(lag(p) OVER (PARTITION BY m.g ORDER BY m.i), 0) AS first, ls - lgamma(m.m + 1.0::DOUBLE) - lgamma(s - m.m + 1.0::DOUBLE) AS lc FROM m JOIN upto USING (g, i)),
+part AS (
+  SELECT *, exp(lc + s * ln(0.5::DOUBLE)) * (pow(b / (0.5::DOUBLE * s), m) - pow(a / (0.5::DOUBLE * s), m)) AS l, pow((s - a) / (0.5::DOUBLE * s), s - m) AS ra, pow((s - b) / (0.5::DOUBLE * s), s - m) AS rb FROM one),
+law AS (
+  SELECT g, v::DOUBLE AS t, CASE WHEN s % 2 = 1 THEN first ELSE first - l * rb END AS p FROM part
+  UNION ALL SELECT x.g, (x.v + y.v) / 2.0::DOUBLE, x.l * (y.ra - y.rb) FROM part x JOIN part y ON x.g = y.g AND x.i < y.i WHERE x.s % 2 = 0),
+atom AS (SELECT g, t, sum(p) AS p FROM law GROUP BY g, t),
+cum AS (SELECT *, sum(p) OVER (PARTITION BY g ORDER BY t) AS q FROM atom)
+SELECT c_mktsegment, n, round(median, 6) AS median, round(m1, 4) AS boot_mean, round(sqrt(m2), 4) AS boot_sd, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high
+FROM (SELECT c_mktsegment, count(*) AS n, median(c_acctbal) AS median FROM customer WHERE c_acctbal IS NOT NULL GROUP BY 1)
+JOIN (SELECT g, sum(t * p) AS m1, min(t) FILTER (q >= 0.025 - 1e-12) AS lo, min(t) FILTER (q >= 0.975 - 1e-12) AS hi FROM cum GROUP BY g) z ON z.g = c_mktsegment
+JOIN (SELECT g, sum(p * pow(t - m1, 2)) AS m2 FROM atom JOIN (SELECT g, sum(t * p) AS m1 FROM atom GROUP BY g) USING (g) GROUP BY g) w ON w.g = c_mktsegment""")
+def bootstrap_median_exact(spark, sf):
+    out = ranks.bootstrap_median_exact(table(spark, sf, "customer").select("c_mktsegment", "c_acctbal"), "c_mktsegment", "c_acctbal")
+    out = out.withColumns({c: F.round(c, 4) for c in ("boot_mean", "boot_sd")})
+    return out.withColumns({c: rounded(c) for c in ("median", "ci_low", "ci_high")})
+
+
 @query("group_median", """
 SELECT c_mktsegment, count(*) AS n, round(median(c_acctbal), 6) AS median FROM customer GROUP BY 1""")
 def group_median(spark, sf):
@@ -115,3 +141,30 @@ def group_moments(spark, sf):
     df = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     out = ranks.group_moments(df, ["p_type"], "l_quantity", "l_discount")
     return out.withColumns({c: rounded(c) for c in ("mean_x", "mean_y", "var_x", "var_y", "cov_xy")})
+
+
+@query("robust_moments", """
+WITH RECURSIVE p AS (
+  SELECT p_type AS g, l_quantity::DOUBLE - avg(l_quantity) OVER (PARTITION BY p_type) AS x, l_extendedprice::DOUBLE - avg(l_extendedprice) OVER (PARTITION BY p_type) AS y,
+         avg(l_quantity) OVER (PARTITION BY p_type) AS ox, avg(l_extendedprice) OVER (PARTITION BY p_type) AS oy
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+f AS (
+  SELECT g, 0 AS k, 0.0::DOUBLE AS mx, 0.0::DOUBLE AS my, avg(x * x) AS xx, avg(y * y) AS yy, avg(x * y) AS xy, NULL::DOUBLE AS pmx, NULL::DOUBLE AS pmy, NULL::DOUBLE AS pxx, NULL::DOUBLE AS pyy, NULL::DOUBLE AS pxy,
+         1e300::DOUBLE AS moved, count(*)::DOUBLE AS w, count(*)::DOUBLE AS c FROM p GROUP BY g
+  UNION ALL
+  SELECT g, k + 1, sum(w * x) / sum(w), sum(w * y) / sum(w), sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2), sum(w * y * y) / sum(w) - pow(sum(w * y) / sum(w), 2),
+         sum(w * x * y) / sum(w) - sum(w * x) / sum(w) * sum(w * y) / sum(w), mx, my, xx, yy, xy, max(abs(w - before)), sum(w), any_value(c)
+  FROM (
+    SELECT f.g, k, x, y, mx, my, xx, yy, xy, c, 1.4 / (1 + (pow(x - mx, 2) * yy - 2 * (x - mx) * (y - my) * xy + pow(y - my, 2) * xx) / (xx * yy - xy * xy) / 5) AS w,
+           coalesce(1.4 / (1 + (pow(x - pmx, 2) * pyy - 2 * (x - pmx) * (y - pmy) * pxy + pow(y - pmy, 2) * pxx) / (pxx * pyy - pxy * pxy) / 5), 1) AS before
+    FROM f JOIN p ON p.g = f.g WHERE moved >= 0.01 AND k < 25)
+  GROUP BY g, k, mx, my, xx, yy, xy),
+last AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY g ORDER BY k DESC) = 1)
+SELECT last.g AS p_type, c::BIGINT AS n, round(mx + ox, 6) AS mean_x, round(my + oy, 4) AS mean_y, round(xx * w / c, 4) AS var_x, round(yy * w / c, 0) AS var_y, round(xy * w / c, 2) AS cov_xy,
+       round(sqrt((c - 1) * (pow(0.05, -2 / (c - 1)) - 1)), 6) AS radius, k AS n_rounds, moved < 0.01 AS converged
+FROM last JOIN (SELECT g, any_value(ox) AS ox, any_value(oy) AS oy FROM p GROUP BY g) o ON o.g = last.g""")
+def robust_moments(spark, sf):
+    df = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    out = ranks.robust_moments(df, ["p_type"], "l_quantity", "l_extendedprice")
+    digits = {"mean_x": 6, "mean_y": 4, "var_x": 4, "var_y": 0, "cov_xy": 2, "radius": 6}
+    return out.withColumns({c: F.round(c, d) for c, d in digits.items()})

@@ -150,3 +150,13 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         k.alias("parcel"), F.col("c_mktsegment").alias("owner"), square(x, y, 10.0).alias("rings")
     )
+
+
+def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parcels, every third one cut into a lower and an upper half, so that corners meet edges of neighbours."""
+    from gleanframe.operators.geo import rectangle
+
+    k = F.col("c_custkey")
+    x, y = (k % GRID_WIDTH).cast("double") * 10.0, F.floor(k / GRID_WIDTH).cast("double") * 10.0
+    shapes = F.when(k % 3 == 0, F.array(rectangle(x, y, 10.0, 5.0), rectangle(x, y + 5.0, 10.0, 5.0))).otherwise(F.array(rectangle(x, y, 10.0, 10.0)))
+    return table(spark, sf_dir, "customer").select(k.alias("parcel"), F.col("c_mktsegment").alias("owner"), F.explode(shapes).alias("rings"))
