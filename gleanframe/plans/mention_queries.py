@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanframe.functions.nulls import rounded
-from gleanframe.operators import joins, mentions as M, ordering, reshape
+from gleanframe.operators import joins, mentions as M, ordering, reshape, sketches
 from gleanframe.plans.registry import query
 from gleanframe.plans.sqlviews import with_views
+from gleanframe.session import scratch_path
 from gleanframe.sources.standins import geography, mentions, mentions_nullable, profile, table
 
 
@@ -362,3 +363,32 @@ FROM mentions GROUP BY 1, 2"""))
 def survey_counts_wide(spark, sf):
     m = mentions(spark, sf, "name", "life_form", "answer")
     return reshape.category_counts(m, ["name", "life_form"], "answer", ["Sustainable", "Unsustainable"])
+
+
+@query("sketch_rollup", with_views("mentions", """
+, l AS (SELECT 'area' AS level, area, zone, id FROM mentions UNION ALL SELECT 'zone', NULL, zone, id FROM mentions UNION ALL SELECT 'all', NULL, NULL, id FROM mentions)
+SELECT level, area, zone, count(*) AS "rows", count(DISTINCT id) AS ids, true AS ids_within, true AS median_within FROM l GROUP BY level, area, zone"""))
+def sketch_rollup(spark, sf):
+    """Every level from stored cells; estimates are held against exact numbers, within the errors stated."""
+    rows = mentions(spark, sf, "area", "zone", "id", "range_pct")
+    path = scratch_path(spark, "cells")
+    sketches.sketch_cells(rows, ["area", "zone"], "id", "range_pct").write.parquet(path)
+    cells, out = spark.read.parquet(path), None
+    for level, by in (("area", ["area", "zone"]), ("zone", ["zone"]), ("all", [])):
+        cells = sketches.merge_cells(cells, by)
+        told = cells.select(*by, "rows", sketches.distinct_estimate().alias("about"), sketches.quantile_estimate(0.5).alias("middle"))
+        # exact numbers, from the rows
+        joined = joins.enrich(rows, told, by, how="inner") if by else rows.withColumns({c: told.select(c).scalar() for c in told.columns})
+        value = F.col("range_pct").cast("double")
+        exact = joined.groupBy(*by, "rows", "about", "middle").agg(
+            F.count_distinct("id").alias("ids"), (F.count_if(value < F.col("middle")) / F.count("range_pct")).alias("low"),
+            (F.count_if(value <= F.col("middle")) / F.count("range_pct")).alias("high"),
+        )
+        place = {c: F.col(c) if c in by else F.lit(None).cast("string") for c in ("area", "zone")}
+        within = F.abs(F.col("about") - F.col("ids")) <= F.greatest(F.lit(1.0), sketches.DISTINCT_ERROR * F.col("ids"))
+        reached = (F.col("low") - sketches.RANK_ERROR <= 0.5) & (F.col("high") + sketches.RANK_ERROR >= 0.5)
+        part = exact.select(
+            F.lit(level).alias("level"), *[v.alias(c) for c, v in place.items()], "rows", "ids", within.alias("ids_within"), reached.alias("median_within")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out

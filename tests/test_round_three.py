@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanframe.functions import tails
-from gleanframe.operators import factor, geo, ranks
+from gleanframe.operators import factor, geo, ranks, sketches
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -194,3 +194,22 @@ def test_robust_moments(spread):
     d = a.n - 1
     assert 1 - (1 + a.radius**2 / d) ** (-d / 2) == pytest.approx(0.95)
     assert ranks.robust_moments(spread.createDataFrame([], "g string, x double, y double"), ["g"], "x", "y").count() == 0
+
+
+def test_sketches_merge_like_the_rows(spread):
+    rng = np.random.default_rng(6)
+    rows = [("ab"[i % 2], "xyz"[i % 3], int(rng.integers(20_000)), float(rng.normal())) for i in range(30_000)] + [("a", "x", None, None), (None, "x", 1, 1.0), ("c", "w", 5, None)]
+    df = spread.createDataFrame(rows, "g string, h string, id long, v double").repartition(6)
+    cells = sketches.sketch_cells(df, ["g", "h"], "id", "v")
+    merged = sketches.merge_cells(cells, ["g"])
+    got = {r.g: r for r in merged.select("g", "rows", sketches.distinct_estimate().alias("ids"), *[sketches.quantile_estimate(p).alias(f"q{p}") for p in (0.1, 0.5, 0.9)]).collect()}
+    for g in ("a", "b"):
+        own = [r for r in rows if r[0] == g]
+        ids, values = {r[2] for r in own} - {None}, np.sort([r[3] for r in own if r[3] is not None])
+        assert got[g].rows == len(own) and abs(got[g].ids - len(ids)) <= sketches.DISTINCT_ERROR * len(ids)
+        for p in (0.1, 0.5, 0.9):
+            assert abs(np.searchsorted(values, got[g][f"q{p}"]) / len(values) - p) <= sketches.RANK_ERROR + 1e-3
+    assert (got[None].ids, got[None]["q0.5"]) == (1, 1.0)
+    assert (got["c"].ids, got["c"]["q0.5"]) == (1, None)
+    whole = sketches.merge_cells(merged, []).select("rows", sketches.distinct_estimate().alias("ids")).first()
+    assert whole.rows == len(rows) and abs(whole.ids - len({r[2] for r in rows} - {None})) <= sketches.DISTINCT_ERROR * 20_000
