@@ -2,7 +2,7 @@
 
 Rows are reduced to counts per distinct profile, then to counts per category pair.
 Only category-by-category matrices reach the driver, behind a size check; scores go
-back to the rows as column expressions.
+back to the rows as column expressions. Discriminants have no such bound.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -435,75 +437,202 @@ def silhouette_ml(points: DataFrame, dims: Sequence[str], cluster: str, weight:
 
 
 # ---- discriminant analysis --------------------------------------------------------
+#
+# With T the covariance of the category indicators and D the classes' mean deviations (a column per
+# class, scaled by the root of its share), both analyses follow from X = T^-1 D and M = D'X: the
+# eigenvectors of M give the scores, and the pooled within covariance is T - DD', so that its inverse
+# times D is X (I - M)^-1. X is found by conjugate gradients on category-pair counts that stay in
+# Spark, for any number of categories; the driver holds class-by-class matrices only.
+
+
+@dataclass
+class ClassSolution:
+    """``table``: var, cat, share and, for each class i, ``b_i`` (D) and ``x_i`` (X)."""
+
+    variables: list[str]
+    classes: list[str]
+    sizes: np.ndarray
+    table: DataFrame
+    m: np.ndarray
+
+
+def solve_classes(profiles: DataFrame, variables: Sequence[str], group: str, tol: float = 1e-11, rounds: int = 500) -> ClassSolution:
+    """X and M of weighted ``profiles`` with a class column.
+
+    A round of the conjugate gradients joins the category-pair counts with the directions and sums
+    per category; each category's share is its scale. All classes' columns go through one round
+    together. Residuals must fall to ``tol`` of the start within ``rounds``, or an ArithmeticError is
+    raised. The classes are a result's labels and come to the driver; categories do not.
+    """
+    variables = list(variables)
+    sized = profiles.groupBy(F.col(group).alias("cls")).agg(F.sum("n").alias("n")).orderBy("cls").collect()
+    classes, sizes = [r.cls for r in sized], np.array([float(r.n) for r in sized])
+    if not classes:
+        raise ValueError("no complete rows to fit")
+    total, of = float(sizes.sum()), range(len(sized))
+    cells = materialise(burt_counts(profiles, variables))
+    counts = class_counts(profiles, variables, group).groupBy("var", "cat").agg(
+        F.sum("n").alias("all"), *[F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).alias(f"c_{i}") for i, c in enumerate(classes)]
+    )
+    share = F.col("all") / total
+    b = [(F.col(f"c_{i}") / float(sizes[i]) - share) * math.sqrt(sizes[i] / total) for i in of]
+    now = materialise(
+        counts.select(
+            "var", "cat", share.alias("share"), *[b[i].alias(f"b_{i}") for i in of], *[F.lit(0.0).alias(f"x_{i}") for i in of],
+            *[b[i].alias(f"r_{i}") for i in of], *[(b[i] / share).alias(f"d_{i}") for i in of],
+        )
+    )
+    first = None
+    for _ in range(rounds):
+        side = now.select(F.col("var").alias("var2"), F.col("cat").alias("cat2"), *[f"d_{i}" for i in of])
+        image = cells.join(side, ["var2", "cat2"]).groupBy(F.col("var1").alias("var"), F.col("cat1").alias("cat")).agg(
+            *[(F.sum(F.col("n") * F.col(f"d_{i}")) / total).alias(f"y_{i}") for i in of]
+        )
+        now = materialise(now.join(image, ["var", "cat"]))
+        sums = now.agg(
+            *[
+                F.sum(e)
+                for i in of
+                for r, d, y, s in [(F.col(f"r_{i}"), F.col(f"d_{i}"), F.col(f"y_{i}"), F.col("share"))]
+                for e in (r * r / s, d * y, r * y / s, y * y / s)
+            ]
+        ).first()
+        rr, dy, ry, yy = np.array(sums, float).reshape(len(classes), 4).T
+        first = rr if first is None else first
+        step = np.divide(rr, dy, out=np.zeros_like(rr), where=dy > 0)
+        left = np.maximum(rr - 2 * step * ry + step * step * yy, 0.0)
+        keep = np.divide(left, rr, out=np.zeros_like(rr), where=rr > 0)
+        fresh = [F.col(f"r_{i}") - float(step[i]) * F.col(f"y_{i}") for i in of]
+        now = now.select(
+            "var", "cat", "share", *[f"b_{i}" for i in of],
+            *[(F.col(f"x_{i}") + float(step[i]) * F.col(f"d_{i}")).alias(f"x_{i}") for i in of],
+            *[fresh[i].alias(f"r_{i}") for i in of],
+            *[(fresh[i] / F.col("share") + float(keep[i]) * F.col(f"d_{i}")).alias(f"d_{i}") for i in of],
+        )
+        if (left <= tol * tol * first).all():
+            break
+    else:
+        raise ArithmeticError(f"the discriminant equations did not settle in {rounds} rounds")
+    # each variable's part centred, so that scores have mean zero
+    means = now.groupBy(F.col("var").alias("v")).agg(*[F.sum(F.col("share") * F.col(f"x_{i}")).alias(f"m_{i}") for i in of])
+    table = materialise(
+        now.join(means, F.col("var") == F.col("v")).select(
+            "var", "cat", "share", *[f"b_{i}" for i in of], *[(F.col(f"x_{i}") - F.col(f"m_{i}")).alias(f"x_{i}") for i in of]
+        )
+    )
+    m = np.array(table.agg(*[F.sum(F.col(f"b_{i}") * F.col(f"x_{j}")) for i in of for j in of]).first(), float).reshape(len(classes), -1)
+    return ClassSolution(variables, classes, sizes, table, (m + m.T) / 2)
+
+
+def combined(names: Sequence[str], by: Sequence[float]) -> Column:
+    return reduce(add, [F.col(n) * float(c) for n, c in zip(names, by)])
+
+
+def weigh(df: DataFrame, variables: Sequence[str], weights: DataFrame, of: Sequence[str]) -> DataFrame:
+    """Add the sum over a row's categories of each column of ``weights`` (var, cat and ``of``).
+
+    One left join per variable: Spark broadcasts weights that are small and splits hot categories
+    of large ones. A null or unknown category makes the sums null. Columns of ``df`` must not bear
+    the names ``of``.
+    """
+    out = df
+    for i, v in enumerate(variables):
+        side = weights.filter(F.col("var") == v).select(F.col("cat").alias(f"__cat{i}"), *[F.col(c).alias(f"__{c}{i}") for c in of])
+        out = out.join(side, df[v] == side[f"__cat{i}"], "left")
+    return out.select(*[df[c] for c in df.columns], *[reduce(add, [F.col(f"__{c}{i}") for i in range(len(variables))]).alias(c) for c in of])
+
+
+def _held(weights: DataFrame, variables: Sequence[str], column: str) -> Column:
+    rows = weights.select("var", "cat", column).collect()
+    return weighted_sum(variables, [(r[0], r[1]) for r in rows], np.array([r[2] for r in rows]))
 
 
 @dataclass
 class Discriminant:
-    """First discriminant score of class groups in the space of all MCA axes."""
+    """First discriminant score: ``weights`` has var, cat, share, ``weight`` and ``mean`` (score in the category)."""
 
-    mca: Mca
+    variables: list[str]
     classes: list[str]
-    weights: np.ndarray
+    weights: DataFrame
     ratio: float
 
-    def score(self) -> Column:
-        return weighted_sum(self.mca.variables, self.mca.categories, self.weights)
+    def scored(self, df: DataFrame, name: str = "score") -> DataFrame:
+        """Rows of ``df`` with their score, by joins with the weights."""
+        return weigh(df, self.variables, self.weights.select("var", "cat", F.col("weight").alias(name)), [name])
 
-
-def _class_matrix(profiles, mca_keys, variables, group):
-    cap = MAX_CATEGORIES**2
-    cells = class_counts(profiles, variables, group).limit(cap + 1).toPandas()
-    if len(cells) > cap:
-        raise ValueError(f"more than {cap} (category, class) cells: {group} is not a class column")
-    classes = sorted(cells.cls.unique())
-    pos = {k: i for i, k in enumerate(mca_keys)}
-    m = np.zeros((len(classes), len(mca_keys)))
-    m[[classes.index(c) for c in cells.cls], [pos[k] for k in zip(cells["var"], cells["cat"])]] = cells.n
-    return classes, m
+    def score(self) -> Column:
+        """The score as a column expression, for variables of few categories: it holds every weight."""
+        return _held(self.weights, self.variables, "weight")
 
 
 def fit_discriminant(profiles: DataFrame, variables: Sequence[str], group: str, positive: str) -> Discriminant:
     """Score of unit variance that separates the classes best; ``positive`` scores above zero."""
-    mca = fit_mca(profiles, variables)
-    classes, counts = _class_matrix(profiles, mca.categories, variables, group)
-    q = len(variables)
-    sizes = counts.sum(1) / q
-    unit = mca.weights(len(mca.eigenvalues)) / np.sqrt(mca.eigenvalues)
-    means = counts @ unit / sizes[:, None]
-    share = sizes / sizes.sum()
-    between = (means * share[:, None]).T @ means
-    lam, u = np.linalg.eigh(between)
-    w = unit @ u[:, -1]
-    if (counts[classes.index(positive)] @ w) < 0:
-        w = -w
-    return Discriminant(mca, classes, w, float(lam[-1]))
+    s = solve_classes(profiles, variables, group)
+    lam, u = np.linalg.eigh(s.m)
+    at, ratio = s.classes.index(positive), float(lam[-1])
+    if not ratio > 1e-12:
+        raise ArithmeticError("the categories do not tell the classes apart")
+    by = u[:, -1] / math.sqrt(ratio)
+    if (s.m @ by)[at] < 0:
+        by = -by
+    b, x = ([f"{k}_{i}" for i in range(len(s.classes))] for k in "bx")
+    weights = s.table.select("var", "cat", "share", combined(x, by).alias("weight"), (combined(b, by) / F.col("share")).alias("mean"))
+    return Discriminant(s.variables, s.classes, weights, ratio)
 
 
 def discriminant_loadings(spark: SparkSession, model: Discriminant) -> DataFrame:
-    """Correlation of every category indicator with the score."""
-    b, n = model.mca.burt, model.mca.n
-    p = np.diag(b) / n
-    mean_in = b @ model.weights / np.diag(b)
-    r = mean_in * np.sqrt(p / (1 - p), out=np.zeros_like(p), where=p < 1)
-    rows = [(var, cat, float(x)) for (var, cat), x in zip(model.mca.categories, r)]
-    return spark.createDataFrame(rows, "variable string, category string, correlation double")
+    """Correlation of every category indicator with the score; zero for a category that all rows have."""
+    p = F.col("share")
+    r = F.when(p < 1, F.col("mean") * F.sqrt(p / (1 - p))).otherwise(0.0)
+    return model.weights.select(F.col("var").alias("variable"), F.col("cat").alias("category"), r.alias("correlation"))
 
 
-def fit_linear_classifier(profiles: DataFrame, variables: Sequence[str], group: str) -> Column:
-    """Predicted class from class means and the pooled covariance of category indicators.
+@dataclass
+class LinearClassifier:
+    """``weights`` has var, cat and for each class i its ``w_i``; ``constants`` one number a class."""
 
-    Redundant indicators are handled by the pseudo-inverse; priors are the class shares.
+    variables: list[str]
+    classes: list[str]
+    weights: DataFrame
+    constants: np.ndarray
+
+    def _best(self, scores: Sequence[Column]) -> Column:
+        told = [F.struct((-F.round(s + float(c), 9)).alias("s"), F.lit(k).alias("cls")) for s, c, k in zip(scores, self.constants, self.classes)]
+        # a null score is an unknown category: no class
+        return F.when(reduce(lambda a, b: a & b, [s.isNotNull() for s in scores]), F.array_min(F.array(*told))["cls"])
+
+    def predicted(self, df: DataFrame, name: str = "predicted") -> DataFrame:
+        """Rows of ``df`` with their most likely class, by joins with the weights; ties go to the smaller class."""
+        of = [f"w_{i}" for i in range(len(self.classes))]
+        # under names that no column of df bears
+        own = [f"__lda_{c}" for c in of]
+        summed = weigh(df, self.variables, self.weights.withColumnsRenamed(dict(zip(of, own))), own)
+        return summed.select(*df.columns, self._best([F.col(c) for c in own]).alias(name))
+
+    def column(self) -> Column:
+        """The class as a column expression, for variables of few categories: it holds every weight."""
+        return self._best([_held(self.weights, self.variables, f"w_{i}") for i in range(len(self.classes))])
+
+
+def linear_classifier(profiles: DataFrame, variables: Sequence[str], group: str) -> LinearClassifier:
+    """Class from class means and the pooled covariance of category indicators; priors are the class shares.
+
+    Where categories part classes without exception the within covariance has no inverse along that
+    direction; its ratio is then held at 1 - 1e-9, so the direction decides.
     """
-    keys, b = _burt_matrix(profiles, variables)
-    classes, counts = _class_matrix(profiles, keys, variables, group)
-    sizes = counts.sum(1) / len(variables)
-    mu = counts / sizes[:, None]
-    within = (b - (mu * sizes[:, None]).T @ mu) / (sizes.sum() - len(classes))
-    inv = np.linalg.pinv(within, rcond=1e-10, hermitian=True)
-    scored = []
-    for g, cls in enumerate(classes):
-        w = inv @ mu[g]
-        const = -0.5 * mu[g] @ w + math.log(sizes[g] / sizes.sum())
-        total = F.round(weighted_sum(variables, keys, w) + float(const), 12)
-        scored.append(F.struct((-total).alias("s"), F.lit(cls).alias("cls")))
-    return F.array_min(F.array(*scored))["cls"]
+    s = solve_classes(profiles, variables, group)
+    total = s.sizes.sum()
+    lam, u = np.linalg.eigh(s.m)
+    lam = np.clip(lam, 0.0, 1 - 1e-9)
+    inverse = (u / (1 - lam)) @ u.T * (total - len(s.classes)) / total
+    roots = np.sqrt(s.sizes / total)
+    by = inverse / roots[None, :]  # column g: what X must be multiplied by for class g
+    constants = -0.5 * np.diag(s.m @ by) / roots + np.log(s.sizes / total)
+    x = [f"x_{i}" for i in range(len(s.classes))]
+    weights = s.table.select("var", "cat", *[combined(x, by[:, g]).alias(f"w_{g}") for g in range(len(s.classes))])
+    return LinearClassifier(s.variables, s.classes, weights, constants)
+
+
+def fit_linear_classifier(profiles: DataFrame, variables: Sequence[str], group: str) -> Column:
+    """``linear_classifier`` as one column expression."""
+    return linear_classifier(profiles, variables, group).column()

@@ -225,13 +225,13 @@ def _dfa(spark, sf):
 def dfa_scores(spark, sf):
     _, profiles, model = _dfa(spark, sf)
     # one row per distinct profile with its weight: rows of one profile share the score
-    return profiles.withColumn("score", model.score())
+    return model.scored(profiles)
 
 
 @query("dfa_cohens_d")
 def dfa_cohens_d(spark, sf):
     rows, _, model = _dfa(spark, sf)
-    return ranks.cohens_d(rows.select("answer", model.score().alias("score")), "answer", "score", "Sustainable", "Unsustainable")
+    return ranks.cohens_d(model.scored(rows).select("answer", "score"), "answer", "score", "Sustainable", "Unsustainable")
 
 
 @query("dfa_loadings")
@@ -244,8 +244,8 @@ def dfa_loadings(spark, sf):
 @query("lda_confusion")
 def lda_confusion(spark, sf):
     profiles = materialise(X.profile_counts(model_rows(spark, sf), DFA_VARS, "answer"))
-    predicted = X.fit_linear_classifier(profiles, DFA_VARS, "answer")
-    return profiles.groupBy(predicted.alias("predicted"), F.col("answer").alias("actual")).agg(F.sum("n").alias("n"))
+    told = X.linear_classifier(profiles, DFA_VARS, "answer").predicted(profiles)
+    return told.groupBy("predicted", F.col("answer").alias("actual")).agg(F.sum("n").alias("n"))
 
 
 @query("saturating_fit", "WITH RECURSIVE " + with_views("mentions citations", CURVE + """
@@ -334,7 +334,34 @@ def one_variable(spark, sf):
 SELECT presence, k.n::BIGINT AS n, round((rate - mean) / sd, 6) AS score FROM k, t, d"""))
 def dfa_one_variable_scores(spark, sf):
     profiles, model = one_variable(spark, sf)
-    return profiles.groupBy("presence").agg(F.sum("n").alias("n")).withColumn("score", rounded(model.score()))
+    return model.scored(profiles.groupBy("presence").agg(F.sum("n").alias("n"))).withColumn("score", rounded("score"))
+
+
+@query("dfa_respondent_scores", with_views("mentions profile", ROWS + ONE_VARIABLE + """
+SELECT id, count(*) AS n_mentions, round(avg((rate - mean) / sd), 6) AS score FROM rows JOIN k USING (presence), t, d GROUP BY id"""))
+def dfa_respondent_scores(spark, sf):
+    """Every mention scored, one mean score per respondent."""
+    scored = one_variable(spark, sf)[1].scored(model_rows(spark, sf))
+    return scored.groupBy("id").agg(F.count(F.lit(1)).alias("n_mentions"), rounded(F.avg("score")).alias("score"))
+
+
+@query("lda_one_variable", with_views("mentions profile", ROWS + ONE_VARIABLE + """
+, c AS (SELECT presence, k.n, rate, mean, t.n AS total, (rate - mean) / (mean * (1 - mean)) AS x FROM k, t)
+, m AS (SELECT any_value(mean) AS p1, any_value(total) AS total,
+    any_value(mean * (1 - mean)) * sum(x * n / total * x) AS lam,
+    sum(x * n * rate) / any_value(mean * total) AS mid1, sum(x * n * (1 - rate)) / any_value((1 - mean) * total) AS mid0 FROM c)
+SELECT presence, n::BIGINT AS n,
+       CASE WHEN (total - 2) / total / (1 - lam) * (x - (mid1 + mid0) / 2) + ln(p1 / (1 - p1)) > 0 THEN 'Unsustainable' ELSE 'Sustainable' END AS predicted,
+       round((total - 2) / total / (1 - lam) * (x - (mid1 + mid0) / 2) + ln(p1 / (1 - p1)), 6) AS log_odds
+FROM (SELECT presence, n, x FROM c), m"""))
+def lda_one_variable(spark, sf):
+    """Class and log odds of each category from a linear classifier, its classes being two."""
+    profiles = materialise(X.profile_counts(model_rows(spark, sf), ["presence"], "answer"))
+    model = X.linear_classifier(profiles, ["presence"], "answer")
+    told = X.weigh(model.predicted(profiles.groupBy("presence").agg(F.sum("n").alias("n"))), ["presence"], model.weights, ["w_0", "w_1"])
+    at = model.classes.index("Unsustainable")
+    odds = F.col(f"w_{at}") - F.col(f"w_{1 - at}") + float(model.constants[at] - model.constants[1 - at])
+    return told.select("presence", "n", "predicted", rounded(odds).alias("log_odds"))
 
 
 @query("dfa_one_variable_loadings", with_views("mentions profile", ROWS + ONE_VARIABLE + """
