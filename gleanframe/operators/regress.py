@@ -100,9 +100,125 @@ def odds_ratios(coefs: DataFrame, z: float = 1.96) -> DataFrame:
     )
 
 
+def wide_logit(
+    df: DataFrame, outcome: str, wide: str, categorical: dict[str, str | None] | None = None, numeric: Sequence[str] = (),
+    baseline=None, rounds: int = 50, tol: float = 1e-7,
+) -> DataFrame:
+    """Logistic regression with one predictor of any number of levels: term, level, estimate, std_error, n, separated.
+
+    Levels of one predictor exclude each other, so their block of the information matrix is diagonal
+    and Newton's equations reduce to those of the other terms: a round sums weights per level, solves
+    for the other terms on the driver, and sets each level's own coefficient in Spark. Neither the
+    levels nor a column per level reach the plan or the driver. ``categorical`` (with baselines) and
+    ``numeric`` predictors are the other terms, so few that their square matrix is small.
+
+    Rows with a null are left out. A level whose outcomes are all alike has no finite estimate: it is
+    ``separated``, its numbers are null, and the other coefficients are those of the limit, which
+    such a level does not touch. The baseline is the given level or the smallest that is not
+    separated; ``(Intercept)`` is its log odds. A fit that has not settled in ``rounds``, other terms
+    that determine each other or the level, and a separated baseline raise.
+    """
+    categorical, numeric = dict(categorical or {}), list(numeric)
+    keys = [*categorical, *numeric]
+    plain = df.select(F.col(wide).alias("__level"), F.col(outcome).cast("double").alias("__y"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    own = {k: f"__k{i}" for i, k in enumerate(keys)}
+    counted = materialise(
+        plain.dropna("any").groupBy("__level", *own.values()).agg(F.sum("__y").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+    )
+    sized = counted.groupBy("__level").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    levels = materialise(sized.withColumn("separated", (F.col("s") == 0) | (F.col("s") == F.col("n"))))
+    if baseline is None:
+        baseline = levels.filter(~F.col("separated")).agg(F.min("__level")).first()[0]
+        if baseline is None:
+            raise ValueError("no level has both outcomes")
+    elif levels.filter((F.col("__level") == baseline) & ~F.col("separated")).isEmpty():
+        raise ValueError("the baseline must have both outcomes")
+    terms, exprs = list(numeric), [F.col(own[c]).cast("double") for c in numeric]
+    for c, base in categorical.items():
+        for level in levels_of(counted, own[c], base)[1:]:
+            terms.append(f"{c}={level}")
+            exprs.append((F.col(own[c]) == level).cast("double"))
+    m = len(terms)
+    x, c = [f"x{i}" for i in range(m)], [f"c{i}" for i in range(m)]
+    rows = counted.select("__level", "s", "n", *[e.alias(v) for e, v in zip(exprs, x)])
+    now = levels.filter(~F.col("separated")).select("__level", F.log((F.col("s") + 0.5) / (F.col("n") - F.col("s") + 0.5)).alias("a"))
+    pairs = [(i, j) for i in range(m) for j in range(i + 1)]
+    beta, inverse = np.zeros(m), np.zeros((m, m))
+    for _ in range(rounds):
+        eta = sum((F.col(v) * float(b) for v, b in zip(x, beta)), F.col("a"))
+        p = 1 / (1 + F.exp(-eta))
+        rated = rows.join(now, "__level").withColumns({"e": F.col("s") - F.col("n") * p, "w": F.col("n") * p * (1 - p)})
+        # the level's sums, and its part of the other terms' equations
+        per_level = materialise(
+            rated.groupBy("__level").agg(
+                F.first("a").alias("a"), F.sum("w").alias("d"), F.sum("e").alias("g"), *[F.sum(F.col("w") * F.col(v)).alias(k) for v, k in zip(x, c)],
+                *[F.sum(F.col("e") * F.col(v)).alias(f"g{i}") for i, v in enumerate(x)],
+                *[F.sum(F.col("w") * F.col(x[i]) * F.col(x[j])).alias(f"a{i}_{j}") for i, j in pairs],
+            )
+        )
+        move = np.zeros(m)
+        if m:
+            sums = per_level.agg(
+                *[F.sum(F.col(f"g{i}") - F.col(c[i]) * F.col("g") / F.col("d")) for i in range(m)],
+                *[F.sum(F.col(f"a{i}_{j}") - F.col(c[i]) * F.col(c[j]) / F.col("d")) for i, j in pairs],
+                *[F.sum(f"a{i}_{i}") for i in range(m)],
+            ).first()
+            left = np.zeros((m, m))
+            for k, (i, j) in enumerate(pairs):
+                left[i, j] = left[j, i] = sums[m + k]
+            whole = np.array(sums[m + len(pairs) :], float)
+            if not whole.min() > 0 or np.linalg.eigvalsh(left / np.sqrt(np.outer(whole, whole)))[0] < 1e-10:
+                raise ValueError(f"the terms {', '.join(terms)} determine each other or are determined by {wide}")
+            inverse = np.linalg.inv(left)
+            move = np.clip(inverse @ np.array(sums[:m], float), -5, 5)
+        step = (F.col("g") - sum((F.col(k) * float(b) for k, b in zip(c, move)), F.lit(0.0))) / F.col("d")
+        step = F.greatest(F.lit(-5.0), F.least(F.lit(5.0), step))
+        moved = per_level.withColumn("step", step)
+        largest = max(float(moved.agg(F.max(F.abs("step"))).first()[0]), np.abs(move).max(initial=0.0))
+        beta = beta + move
+        now = moved.select("__level", (F.col("a") + F.col("step")).alias("a"))
+        if largest < tol:  # Newton squares the error: what is left is far smaller
+            break
+    else:
+        raise ArithmeticError(f"the logistic fit did not settle in {rounds} rounds")
+    # variance of a_l - a_0 from the block inverse: 1/d_l + 1/d_0 + (c_l/d_l - c_0/d_0)' S^-1 (c_l/d_l - c_0/d_0)
+    fitted = now.join(per_level.select("__level", "d", *c), "__level")
+    at = fitted.filter(F.col("__level") == baseline).first()
+    base_c = [at[k] / at["d"] for k in c]
+
+    def spread(gap: Sequence[Column]) -> Column:
+        return sum((gap[i] * gap[j] * float(inverse[i, j]) for i in range(m) for j in range(m)), F.lit(0.0))
+
+    is_base = F.col("__level") == baseline
+    own_part = spread([F.col(k) / F.col("d") for k in c])
+    gap_part = spread([F.col(k) / F.col("d") - float(b) for k, b in zip(c, base_c)])
+    told = fitted.select(
+        "__level",
+        F.when(is_base, F.col("a")).otherwise(F.col("a") - float(at["a"])).alias("estimate"),
+        F.sqrt(F.when(is_base, 1 / F.col("d") + own_part).otherwise(1 / F.col("d") + 1 / float(at["d"]) + gap_part)).alias("std_error"),
+    )
+    by_level = levels.join(told, "__level", "left").select(
+        F.when(is_base, "(Intercept)").otherwise(F.lit(wide)).alias("term"), F.col("__level").cast("string").alias("level"), "estimate", "std_error",
+        F.col("n").cast("bigint").alias("n"), "separated",
+    )
+    others = [(t, None, float(b), math.sqrt(v), None, False) for t, b, v in zip(terms, beta, np.diag(inverse))]
+    return by_level.unionByName(df.sparkSession.createDataFrame(others, by_level.schema)) if others else by_level
+
+
 # ---- mixed logistic models ---------------------------------------------------------
 
 
+def _modes(s: np.ndarray, n: np.ndarray, base: np.ndarray, sigma: float) -> np.ndarray:
+    u = np.zeros(len(s))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(base + sigma * u[:, None])))
+        step = (sigma * (s - n * p).sum(1) - u) / (sigma**2 * (n * p * (1 - p)).sum(1) + 1)
+        u = u + np.clip(step, -2, 2)
+        if np.abs(step).max(initial=0) < 1e-11:
+            break
+    return u
+
+
 def laplace_terms(s: np.ndarray, n: np.ndarray, design: np.ndarray, theta: np.ndarray) -> np.ndarray:
     """Laplace log-likelihood of each level of a random-intercept logistic model.
 
@@ -110,65 +226,81 @@ def laplace_terms(s: np.ndarray, n: np.ndarray, design: np.ndarray, theta: np.nd
     deviation of the intercepts. The mode of each level is found by Newton steps on the
     standardised intercept.
     """
-    beta, sigma = theta[:-1], theta[-1]
-    base = design @ beta
-    u = np.zeros(len(s))
-    for _ in range(50):
-        eta = base + sigma * u[:, None]
-        p = 1 / (1 + np.exp(-eta))
-        grad = sigma * (s - n * p).sum(1) - u
-        hess = sigma**2 * (n * p * (1 - p)).sum(1) + 1
-        step = grad / hess
-        u = u + np.clip(step, -2, 2)
-        if np.abs(step).max(initial=0) < 1e-11:
-            break
+    base, sigma = design @ theta[:-1], theta[-1]
+    u = _modes(s, n, base, sigma)
     eta = base + sigma * u[:, None]
     p = 1 / (1 + np.exp(-eta))
     fit = (s * eta - n * np.logaddexp(0, eta)).sum(1)
     return fit - u**2 / 2 - 0.5 * np.log1p(sigma**2 * (n * p * (1 - p)).sum(1))
 
 
-def newton_maximise(objective: Callable[[np.ndarray], np.ndarray], start: np.ndarray, rounds: int = 40, step: float = 1e-3):
-    """Maximise a smooth function given in batches: rows of parameters in, values out.
+def laplace_derivatives(s: np.ndarray, n: np.ndarray, design: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Sum of ``laplace_terms`` with its gradient and Hessian in ``theta``.
 
-    Gradient and Hessian come from one batch of central differences, the step length
-    from a second one. Returns (optimum, Hessian there, converged).
+    The mode u of a level follows the parameters: its first and second derivatives come from
+    differentiating the condition that defines it, and enter those of the fit and of the
+    curvature A at the mode.
+    """
+    beta, sigma = theta[:-1], theta[-1]
+    u = _modes(s, n, design @ beta, sigma)
+    eta = design @ beta + sigma * u[:, None]
+    p = 1 / (1 + np.exp(-eta))
+    w1 = n * p * (1 - p)
+    w2, w3 = w1 * (1 - 2 * p), w1 * (1 - 6 * p + 6 * p * p)
+    a = 1 + sigma**2 * w1.sum(1)
+    value = (s * eta - n * np.logaddexp(0, eta)).sum(1) - u**2 / 2 - 0.5 * np.log(a)
+    # g: derivative of a cell's predictor, levels by cells by parameters
+    g = np.concatenate([np.broadcast_to(design, (*eta.shape, len(beta))), np.broadcast_to(u[:, None, None], (*eta.shape, 1))], axis=2)
+    last = np.zeros(len(theta))
+    last[-1] = 1.0
+    both = lambda x, y: x[:, :, None] * y[:, None, :] + y[:, :, None] * x[:, None, :]
+    along = lambda w: np.einsum("lj,ljp->lp", w, g)
+    square = lambda w: np.einsum("lj,ljp,ljq->lpq", w, g, g)
+    last_of = np.broadcast_to(last, (len(u), len(theta)))
+    rest, g1, g2 = s - n * p, along(w1), along(w2)
+    u1 = (rest.sum(1)[:, None] * last - sigma * g1) / a[:, None]
+    a_theta = 2 * sigma * w1.sum(1)[:, None] * last + sigma**2 * g2
+    a_u, a_uu = sigma**3 * w2.sum(1), sigma**4 * w3.sum(1)
+    a_utheta = 3 * sigma**2 * w2.sum(1)[:, None] * last + sigma**3 * along(w3)
+    a_theta2 = 2 * w1.sum(1)[:, None, None] * np.outer(last, last) + 2 * sigma * both(last_of, g2) + sigma**2 * square(w3)
+    u1u1 = u1[:, :, None] * u1[:, None, :]
+    h_theta2 = -both(last_of, g1) - sigma * square(w2)
+    u2 = (h_theta2 - both(a_theta, u1) - a_u[:, None, None] * u1u1) / a[:, None, None]
+    a1 = a_theta + a_u[:, None] * u1
+    a2 = a_theta2 + both(a_utheta, u1) + a_uu[:, None, None] * u1u1 + a_u[:, None, None] * u2
+    grad = along(rest) - 0.5 * a1 / a[:, None]
+    h_utheta = u1 * a[:, None]
+    hess = -square(w1) + h_utheta[:, :, None] * u1[:, None, :]
+    hess = hess - 0.5 * (a2 / a[:, None, None] - a1[:, :, None] * a1[:, None, :] / (a * a)[:, None, None])
+    return float(value.sum()), grad.sum(0), hess.sum(0)
+
+
+def newton_with_derivatives(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], start: np.ndarray, rounds: int = 60):
+    """Maximise a smooth function whose value, gradient and Hessian come together.
+
+    One evaluation a round: a step that does not gain is halved. Returns (optimum, Hessian there,
+    converged).
     """
     x = np.array(start, dtype=float)
-    p = len(x)
-    eye = np.eye(p) * step
-    pairs = [(i, j) for i in range(p) for j in range(i)]
-    converged = False
+    f, grad, hess = evaluate(x)
+    move, length = None, 1.0
     for _ in range(rounds):
-        probes = [x] + [x + e for e in eye] + [x - e for e in eye]
-        for i, j in pairs:
-            probes += [x + eye[i] + eye[j], x + eye[i] - eye[j], x - eye[i] + eye[j], x - eye[i] - eye[j]]
-        f = objective(np.array(probes))
-        up, down = f[1 : p + 1], f[p + 1 : 2 * p + 1]
-        grad = (up - down) / (2 * step)
-        hess = np.diag((up - 2 * f[0] + down) / step**2)
-        for k, (i, j) in enumerate(pairs):
-            a = f[2 * p + 1 + 4 * k : 2 * p + 5 + 4 * k]
-            hess[i, j] = hess[j, i] = (a[0] - a[1] - a[2] + a[3]) / (4 * step**2)
-        lam, vec = np.linalg.eigh(-hess)
-        floor = max(1e-6, 1e-8 * np.abs(lam).max(initial=1.0))
-        move = vec @ ((vec.T @ grad) / np.maximum(np.abs(lam), floor))
-        if np.abs(move).max() < 1e-7 * (1 + np.abs(x).max()):
-            converged = True
-            break
-        scale = min(1.0, 2.0 / np.abs(move).max())
-        lengths = scale * 0.5 ** np.arange(8)
-        g = objective(np.array([x + t * move for t in lengths]))
-        best = int(np.argmax(g))
-        if not g[best] > f[0]:
-            converged = np.abs(grad).max() < 1e-3 * (1 + abs(f[0]))
-            break
-        gained = g[best] - f[0]
-        x = x + lengths[best] * move
-        if gained < 1e-10 * (1 + abs(f[0])):
-            converged = True
-            break
-    return x, hess, converged
+        if move is None:
+            lam, vec = np.linalg.eigh(-hess)
+            floor = max(1e-6, 1e-8 * np.abs(lam).max(initial=1.0))
+            move = vec @ ((vec.T @ grad) / np.maximum(np.abs(lam), floor))
+            largest = np.abs(move).max()
+            if largest < 1e-8 * (1 + np.abs(x).max()):
+                return x, hess, True
+            length = min(1.0, 2.0 / largest)
+        f_new, grad_new, hess_new = evaluate(x + length * move)
+        if f_new >= f - 1e-13 * (1 + abs(f)):
+            x, f, grad, hess, move = x + length * move, f_new, grad_new, hess_new, None
+        elif length < 1e-6:
+            return x, hess, bool(np.abs(grad).max() < 1e-3 * (1 + abs(f)))
+        else:
+            length /= 2
+    return x, hess, False
 
 
 def random_intercept_logit(
@@ -176,9 +308,9 @@ def random_intercept_logit(
 ) -> DataFrame:
     """Logistic model with one categorical predictor and a random intercept per level.
 
-    Rows become one record per level (successes and trials by predictor category). Each
-    evaluation is a Spark job: tasks sum the Laplace terms of their levels for a batch of
-    parameter vectors, and the driver takes Newton steps.
+    Rows become one record per level (successes and trials by predictor category). A Newton
+    round is a Spark job: tasks sum the Laplace terms of their levels with gradient and Hessian,
+    and the driver takes the step.
     """
     counts = cells(df, outcome, [predictor, level])
     cats = levels_of(counts, predictor, baseline)
@@ -193,20 +325,20 @@ def random_intercept_logit(
     design = np.eye(k)
     design[:, 0] = 1.0
 
-    def objective(params: np.ndarray) -> np.ndarray:
+    def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(len(params))
+            total = np.zeros(1 + len(theta) + len(theta) ** 2)
             for pdf in batches:
                 if len(pdf):
-                    s, n = np.stack(pdf.s.to_numpy()), np.stack(pdf.n.to_numpy())
-                    total += [laplace_terms(s, n, design, t).sum() for t in params]
-            yield pd.DataFrame({"i": np.arange(len(params)), "f": total})
+                    f, g, h = laplace_derivatives(np.stack(pdf.s.to_numpy()), np.stack(pdf.n.to_numpy()), design, theta)
+                    total += np.concatenate([[f], g, h.ravel()])
+            yield pd.DataFrame({"i": np.arange(len(total)), "f": total})
 
         rows = by_level.select("s", "n").mapInPandas(run, "i int, f double").groupBy("i").agg(F.sum("f").alias("f"))
-        out = np.zeros(len(params))
+        out = np.zeros(1 + len(theta) + len(theta) ** 2)
         for r in rows.collect():
             out[r.i] = r.f
-        return out
+        return out[0], out[1 : len(theta) + 1], out[len(theta) + 1 :].reshape(len(theta), -1)
 
     pooled = by_level.agg(
         *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(k)], *[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(k)]
@@ -214,7 +346,7 @@ def random_intercept_logit(
     rate = np.array([(pooled[f"s{i}"] + 0.5) / (pooled[f"n{i}"] + 1.0) for i in range(k)])
     logit = np.log(rate / (1 - rate))
     start = np.concatenate([[logit[0]], logit[1:] - logit[0], [0.3]])
-    theta, hess, converged = newton_maximise(objective, start)
+    theta, hess, converged = newton_with_derivatives(evaluate, start)
     sigma = abs(theta[-1])
     singular = sigma < singular_below
     # at the boundary the deviation is not free: invert the fixed-effect block alone
@@ -240,6 +372,7 @@ MOR_SCHEMA = T.StructType(
         T.StructField("ci_upper", T.DoubleType()),
         T.StructField("skipped", T.BooleanType()),
         T.StructField("singular", T.BooleanType()),
+        T.StructField("converged", T.BooleanType()),
         T.StructField("reason_skipped", T.StringType()),
     ]
 )
@@ -258,13 +391,13 @@ def _mor_of(name: str, pdf: pd.DataFrame) -> pd.DataFrame:
     else:
         r = (s.sum() + 0.5) / (n.sum() + 1.0)
         one = np.ones((1, 1))
-        fit = lambda batch: np.array([laplace_terms(s, n, one, t).sum() for t in batch])
-        theta, _, _ = newton_maximise(fit, np.array([math.log(r / (1 - r)), 0.5]))
+        fit = lambda theta: laplace_derivatives(s, n, one, theta)
+        theta, _, settled = newton_with_derivatives(fit, np.array([math.log(r / (1 - r)), 0.5]))
         mu, sd = float(theta[0]), abs(float(theta[1]))
         logistic = lambda x: 1 / (1 + math.exp(-x))
         row.update(
             pred_prob_logit=mu, pred_prob=logistic(mu), sd_area=sd, mor_area=math.exp(math.sqrt(2 * sd * sd) * 0.6745),
-            ci_lower=logistic(mu - 1.96 * sd), ci_upper=logistic(mu + 1.96 * sd), skipped=False, singular=sd < 1e-4,
+            ci_lower=logistic(mu - 1.96 * sd), ci_upper=logistic(mu + 1.96 * sd), skipped=False, singular=sd < 1e-4, converged=settled,
         )
     return pd.DataFrame([row], columns=MOR_SCHEMA.names).astype({"skipped": bool})
 

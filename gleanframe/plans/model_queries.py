@@ -180,6 +180,23 @@ def odds_ratios(spark, sf):
     return out.withColumns({c: rounded(c) for c in out.columns if c != "term"})
 
 
+@query("logit_many_levels", with_views("mentions profile", ROWS + """
+, c AS (SELECT name, sum(y)::DOUBLE AS s, count(*) - sum(y)::DOUBLE AS f FROM rows GROUP BY 1)
+, b AS (SELECT * FROM c WHERE s > 0 AND f > 0 ORDER BY name LIMIT 1)
+SELECT CASE WHEN c.name = b.name THEN '(Intercept)' ELSE 'name' END AS term, c.name AS level, (c.s + c.f)::BIGINT AS n, c.s = 0 OR c.f = 0 AS separated,
+       round(CASE WHEN c.s = 0 OR c.f = 0 THEN NULL WHEN c.name = b.name THEN ln(c.s / c.f) ELSE ln(c.s / c.f) - ln(b.s / b.f) END, 6) AS estimate,
+       round(CASE WHEN c.s = 0 OR c.f = 0 THEN NULL WHEN c.name = b.name THEN sqrt(1 / c.s + 1 / c.f) ELSE sqrt(1 / c.s + 1 / c.f + 1 / b.s + 1 / b.f) END, 6) AS std_error
+FROM c, b"""))
+def logit_many_levels(spark, sf):
+    out = G.wide_logit(model_rows(spark, sf), "y", "name")
+    return out.withColumns({c: rounded(c) for c in ("estimate", "std_error")})
+
+
+@query("logit_levels_and_profile")
+def logit_levels_and_profile(spark, sf):
+    return G.wide_logit(model_rows(spark, sf), "y", "name", {"segment": "AUTOMOBILE", "region": None})
+
+
 @query("glm_logit")
 def glm_logit(spark, sf):
     rows = model_rows(spark, sf)
