@@ -1,16 +1,19 @@
 """Quality rules whose cutoffs are chosen under a bound on falsely rejected documents.
 
-A rule rejects a document whose signal is over a cutoff. Labelled documents are the holdout. Within
-each stratum (a language, say) and for each rule the cutoffs of a fixed grid are tested one after the
-other, the mildest first: the test asks whether so few of the stratum's good documents are rejected
-that a true rate above the limit is ruled out, by the exact binomial tail
+A rule rejects a document whose signal is over a cutoff. Labelled documents are the holdout, parted by
+a digest of their id. Within each stratum (a language, say) the tuning half makes a sequence of cutoff
+vectors, from the mildest on: at each of ``LEVELS``, every rule has its tightest cutoff of a fixed grid
+that rejects at most that share of the half's good documents. The other half tests the vectors in
+this order: a test asks whether so few good documents are rejected *by any rule* that a true rate above
+the limit is ruled out, by the exact binomial tail
 
     P(Binomial(n, limit) <= k) <= level,        n good documents, k of them rejected.
 
-The first cutoff that fails ends its chain (fixed-sequence testing, so a chain needs no further
-correction); the last that passed is used. The level is divided by the number of chains (Bonferroni)
-and the limit by the number of rules, so with probability ``1 - DELTA`` no stratum's rules together
-reject more than ``ALPHA`` of its good documents. A chain without enough labels rejects nothing.
+The first vector that fails ends the sequence (fixed-sequence testing, so it needs no further
+correction); the last that passed is used. The level is divided by the number of strata (Bonferroni), so
+with probability ``1 - DELTA`` no stratum's rules together reject more than ``ALPHA`` of its good
+documents. As rules are tested together, some 90 good documents in the testing half are enough for four
+strata. A stratum without enough labels rejects nothing.
 
 Everything is DataFrame and SQL functions. Signals are computed once per document and stored (a few
 numbers each); texts are never shuffled.
@@ -26,6 +29,9 @@ ALPHA, DELTA = 0.05, 0.05
 #: Base rule: fewest words, and the largest share of repeated words in percent.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
+#: Shares of the tuning half's good documents, per thousand, that one rule may reject.
+LEVELS = (0, 2, 5, 10, 15, 20, 30)
+
 #: Characters that count as symbols, and the ASCII white space that parts words.
 SPACE = r"\x20\x09-\x0D"
 
@@ -107,31 +113,46 @@ def thresholds(
     signalled: DataFrame, labels: DataFrame, id: str = "doc_id", stratum: str = "lang", good: str = "quality",
     alpha: float = ALPHA, delta: float = DELTA,
 ) -> DataFrame:
-    """(stratum, rule, step, cutoff, n, k, tail, used): every test, and the chosen cutoff of each chain.
+    """(stratum, level, cutoffs, n, k, tail, used): every test, and the chosen vector of each stratum.
 
-    A document counts as good if all its labels say so. Documents that fail the base rule are not
-    judged, and so not tested. A null stratum is one of its own.
+    ``cutoffs`` maps the rules of a level to their cutoffs. A document counts as good if all its labels
+    say so. Documents that fail the base rule are not judged, and so neither tune nor test. A null
+    stratum is one of its own.
     """
     known = labels.filter(F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.min(good).alias("good")).filter("good = 1")
+    held = signalled.filter(~base_failed()).join(known.select("id"), signalled[id] == known["id"], "left_semi").select(
+        F.col(stratum).alias("stratum"), (F.md5(F.col(id).cast("string")) < "8").alias("tunes"), *[signal(r).alias(f"signal_{r}") for r in RULES]
+    )
     grid = F.array(
         *[
-            F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), (signal(r) > c).alias("rejected"))
+            F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), (F.col(f"signal_{r}") > c).alias("rejected"))
             for r, (_, cutoffs) in RULES.items() for i, c in enumerate(cutoffs)
         ]
     )
-    held = signalled.filter(~base_failed()).join(known.select("id"), signalled[id] == known["id"], "left_semi")
     counts = (
-        held.select(F.col(stratum).alias("stratum"), F.inline(grid)).groupBy("stratum", "rule", "step", "cutoff")
+        held.filter("tunes").select("stratum", F.inline(grid)).groupBy("stratum", "rule", "step", "cutoff")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("rejected").alias("k"))
     )
-    counts = materialise(counts)  # a row per stratum, rule and cutoff
-    chains = counts.select("stratum", "rule").distinct().agg(F.count(F.lit(1))).scalar()
-    limit = alpha / len(RULES)
-    tested = counts.withColumn("tail", F.expr(TAIL.format(limit=f"{limit!r}D"))).withColumn("passed", F.col("tail") <= F.lit(delta) / chains)
-    fails = tested.filter(~F.col("passed")).groupBy(F.col("stratum").alias("s"), F.col("rule").alias("r")).agg(F.min("step").alias("fail"))
-    placed = tested.join(fails, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")), "left")
-    last = F.coalesce(F.col("fail"), F.element_at(F.create_map(*[x for r, (_, c) in RULES.items() for x in (F.lit(r), F.lit(len(c)))]), F.col("rule"))) - 1
-    return placed.select("stratum", "rule", "step", "cutoff", "n", "k", "tail", (F.col("step") == last).alias("used"))
+    levels = F.array(*[F.struct(F.lit(t).alias("level"), F.lit(s).alias("share")) for t, s in enumerate(LEVELS)])
+    allowed = counts.select("*", F.inline(levels)).filter(1000 * F.col("k") <= F.col("share") * F.col("n"))
+    tightest = allowed.groupBy("stratum", "level", "rule").agg(F.max_by("cutoff", "step").alias("cutoff"))
+    # at most a row per stratum and level, and a cutoff in it per rule
+    vectors = materialise(tightest.groupBy("stratum", "level").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")))
+    tried = vectors.groupBy(F.col("stratum").alias("s")).agg(F.collect_list(F.struct("level", "cutoffs")).alias("vectors"))
+    over = [F.coalesce(F.col(f"signal_{r}") > F.try_element_at("cutoffs", F.lit(r)), F.lit(False)) for r in RULES]
+    tests = (
+        held.filter("not tunes").join(tried, F.col("stratum").eqNullSafe(F.col("s"))).select("stratum", *[f"signal_{r}" for r in RULES], F.inline("vectors"))
+        .groupBy("stratum", "level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains(F.array(*over), True)).alias("k"))
+    )
+    tests = materialise(tests)
+    strata = tests.select("stratum").distinct().agg(F.count(F.lit(1))).scalar()
+    tested = tests.withColumn("tail", F.expr(TAIL.format(limit=f"{alpha!r}D"))).withColumn("passed", F.col("tail") <= F.lit(delta) / strata)
+    fails = tested.filter(~F.col("passed")).groupBy("stratum").agg(F.min("level").alias("fail"))
+    ahead = tested.join(fails.withColumnRenamed("stratum", "s"), F.col("stratum").eqNullSafe(F.col("s")), "left").filter("fail IS NULL OR level < fail")
+    last = ahead.groupBy(F.col("stratum").alias("s")).agg(F.max("level").alias("last"))
+    v = vectors.select(F.col("stratum").alias("vs"), F.col("level").alias("vl"), "cutoffs")
+    placed = tested.join(last, F.col("stratum").eqNullSafe(F.col("s")), "left").join(v, F.col("stratum").eqNullSafe(F.col("vs")) & (F.col("level") == F.col("vl")))
+    return placed.select("stratum", "level", "cutoffs", "n", "k", "tail", F.coalesce(F.col("level") == F.col("last"), F.lit(False)).alias("used"))
 
 
 def judge(
@@ -146,7 +167,7 @@ def judge(
     plain = docs.select(F.col(id).alias("id"), F.col(stratum).alias("stratum"), F.col(text).alias("text"))
     rows = materialise(signals(plain).drop("text"))
     tested = thresholds(rows, labels.select(F.col(id).alias("id"), *[c for c in labels.columns if c.lower() not in ("id", id.lower())]), "id", "stratum", **options)
-    chosen = tested.filter("used").groupBy(F.col("stratum").alias("s")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    chosen = tested.filter("used").select(F.col("stratum").alias("s"), "cutoffs")
     joined = rows.join(chosen, F.col("stratum").eqNullSafe(F.col("s")), "left")
     failed = F.array_compact(F.array(*[F.when(signal(r) > F.try_element_at("cutoffs", F.lit(r)), F.lit(r)) for r in RULES]))
     return joined.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed).select(
@@ -161,7 +182,6 @@ def sql() -> str:
         f"    {{'rule': '{r}', 'step': {step}, 'cutoff': CAST({c} AS DOUBLE), 'value': {s.split(' / ')[0]} / CAST(nullif({s.split(' / ')[1]}, 0) AS DOUBLE)}}"
         for r, (s, cutoffs) in RULES.items() for step, c in enumerate(cutoffs)
     )
-    limit = ALPHA / len(RULES)
     return rf"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
@@ -182,20 +202,25 @@ tried AS (
   FROM (SELECT *, unnest([
 {grid}]) AS x FROM judged)),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-held AS (SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER (rejected) AS k FROM tried
-         WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
-terms AS (
-  SELECT *, unnest(range(0, k + 1)) AS i FROM held),
+half AS (SELECT *, md5(CAST(doc_id AS VARCHAR)) < '8' AS tunes FROM tried WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+tuned AS (SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER (rejected) AS k FROM half WHERE tunes GROUP BY ALL),
+vector AS (
+  SELECT lang, level, rule, arg_max(cutoff, step) AS cutoff
+  FROM tuned, (SELECT unnest({list(LEVELS)}) AS share, unnest(range({len(LEVELS)})) AS level) WHERE 1000 * k <= share * n GROUP BY ALL),
+hit AS (
+  SELECT half.lang, level, r, bool_or(rejected) AS rejected FROM half
+  JOIN vector ON half.lang IS NOT DISTINCT FROM vector.lang AND half.rule = vector.rule AND half.cutoff = vector.cutoff WHERE NOT tunes GROUP BY ALL),
+held AS (SELECT lang, level, count(*) AS n, count(*) FILTER (rejected) AS k FROM hit GROUP BY ALL),
 tested AS (
-  SELECT lang, rule, step, cutoff, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({limit!r}) + (n - i) * ln(1 - {limit!r})))
-         <= {DELTA!r} / (SELECT count(*) FROM (SELECT DISTINCT lang, rule FROM held)) AS passed
-  FROM terms GROUP BY ALL),
+  SELECT lang, level, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA!r}) + (n - i) * ln(1 - {ALPHA!r})))
+         <= {DELTA!r} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM held)) AS passed
+  FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM held) GROUP BY ALL),
 chosen AS (
-  SELECT lang, rule, max(cutoff) FILTER (step = last) AS cutoff FROM (
-    SELECT *, coalesce(min(step) FILTER (NOT passed) OVER (PARTITION BY lang, rule), max(step) OVER (PARTITION BY lang, rule) + 1) - 1 AS last FROM tested)
-  GROUP BY lang, rule),
+  SELECT lang, max(level) AS level FROM (SELECT *, min(level) FILTER (NOT passed) OVER (PARTITION BY lang) AS fail FROM tested)
+  WHERE fail IS NULL OR level < fail GROUP BY lang),
 failing AS (
-  SELECT DISTINCT r, tried.rule FROM tried JOIN chosen ON tried.rule = chosen.rule AND tried.lang IS NOT DISTINCT FROM chosen.lang AND tried.cutoff = chosen.cutoff WHERE rejected),
+  SELECT DISTINCT r, tried.rule FROM tried JOIN vector ON tried.rule = vector.rule AND tried.lang IS NOT DISTINCT FROM vector.lang AND tried.cutoff = vector.cutoff
+  JOIN chosen ON chosen.lang IS NOT DISTINCT FROM vector.lang AND chosen.level = vector.level WHERE rejected),
 named AS (SELECT r, string_agg(rule, ',' ORDER BY list_position([{", ".join(repr(r) for r in RULES)}], rule)) AS failed_rules FROM failing GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(failed_rules, '') AS failed_rules,
        NOT base_failed AND failed_rules IS NULL AS kept

@@ -60,3 +60,18 @@ def test_cutoffs_keep_good_documents(spread):
     assert all(r.tail <= Q.DELTA / 6 for r in tests) and {r.stratum for r in tests} == {"en"}
     assert Q.judge(docs.limit(0), labels).count() == 0
     assert Q.judge(docs, labels.limit(0)).filter("not kept").count() == 2
+
+
+def test_joint_rejection_has_power_in_every_stratum(spark):
+    """On the larger tables each language gets rules, and they cost under the limit of its good documents."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = docs.select("doc_id", "lang").distinct().join(labels, "doc_id")
+    judged = Q.judge(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), labels)
+    rows = judged.distinct().join(known, "doc_id").filter("not base_failed").toPandas()
+    good, bad = rows[rows.quality == 1], rows[rows.quality == 0]
+    lost = (~good.kept).groupby(good.lang).mean()
+    caught = (~bad.kept).groupby(bad.lang).mean()
+    print(lost, caught)
+    assert set(lost.index) == {"de", "en", "es", "fr"} and (lost <= Q.ALPHA).all()
+    assert (caught > 0.5).all()
