@@ -30,6 +30,11 @@ def strip_accents(x: Column | str, also: str = "", to: str = "") -> Column:
     return out
 
 
+def accent_blind(x: Column | str) -> Column:
+    """Text that compares, joins and groups without regard to accents, in any script and any normal form."""
+    return F.collate(_col(x), "UNICODE_AI")
+
+
 def normalise_name(x: Column | str) -> Column:
     """Place names for joining: hyphens and apostrophes to blanks, no accents."""
     return strip_accents(x, "-'", "  ")

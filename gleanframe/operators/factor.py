@@ -276,30 +276,48 @@ class Clusters:
         return F.array_min(F.array(*[F.struct(F.round(d, 12).alias("d"), F.lit(i + 1).alias("i")) for i, d in enumerate(dist)]))["i"]
 
 
+def condense(points: DataFrame, dims: Sequence[str], weight: str, at_most: int) -> DataFrame:
+    """Weighted centres of the occupied cells of a grid: the dims and ``weight``, at most ``at_most`` rows.
+
+    The finest of a ladder of grids whose cells are so few is taken. A cell's weight and weighted sums
+    add up over any parts of the points; fewer distinct points than ``at_most`` stay as they are
+    (apart from points nearer than a millionth of the range).
+    """
+    ends = points.agg(*[f(d) for d in dims for f in (F.min, F.max)]).first()
+    low, width = list(ends[::2]), [b - a for a, b in zip(ends[::2], ends[1::2])]
+    ladder = [1, *dict.fromkeys(round(2 ** (t / 2)) for t in range(2, 41))]
+
+    def cell(parts: int) -> list[Column]:
+        return [F.least(F.floor((F.col(d) - a) / w * parts), F.lit(parts - 1)) if w > 0 else F.lit(0) for d, a, w in zip(dims, low, width)]
+
+    told = points.agg(*[F.approx_count_distinct(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cell(g))]), 0.02) for g in ladder]).first()
+    # counts are estimates: start one finer, go coarser until the cells are few enough
+    at = min(max([i for i, n in enumerate(told) if n <= at_most], default=0) + 1, len(ladder) - 1)
+    while True:
+        keys = [f"__c{i}" for i in range(len(dims))]
+        cells = materialise(
+            points.withColumns(dict(zip(keys, cell(ladder[at])))).groupBy(*keys)
+            .agg(*[(F.sum(F.col(d) * F.col(weight)) / F.sum(weight)).alias(d) for d in dims], F.sum(weight).alias(weight)).drop(*keys)
+        )
+        if at == 0 or cells.count() <= at_most:
+            return cells
+        at -= 1
+
+
 def fit_clusters(
     points: DataFrame, dims: Sequence[str], weight: str = "n", smallest: int = 3, largest: int = 10,
-    condense_to: int | None = None, rounds: int = 10, seed: int = 1,
+    condense_to: int = 1_000, rounds: int = 10,
 ) -> Clusters:
     """Ward clustering with an automatic cut, then weighted k-means rounds from its centres.
 
-    ``points`` holds distinct score points with weights. The caller names the method: None
-    gives all of them to Ward on the driver, which suits profiles of a few short category lists;
-    a number condenses them first, whatever their count, by k-means into that many weighted
-    centres. ``converged`` says whether the last rounds still moved the centres.
+    ``points`` holds score points with weights. They are condensed into at most ``condense_to`` weighted
+    centres, whatever their count, which go to Ward on the driver; the k-means rounds run over all
+    points in Spark. ``converged`` says whether the last rounds still moved the centres.
     """
     dims = list(dims)
     points = materialise(points.select(*dims, F.col(weight).cast("double").alias("w")))
-    if condense_to is None:
-        held = points.toPandas().sort_values(dims)
-        x, w = held[dims].to_numpy(), held.w.to_numpy()
-    else:
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.feature import VectorAssembler
-
-        vec = VectorAssembler(inputCols=dims, outputCol="features").transform(points)
-        model = KMeans(k=condense_to, seed=seed, weightCol="w", maxIter=20).fit(vec)
-        sizes = model.transform(vec).groupBy("prediction").agg(F.sum("w").alias("w")).toPandas()
-        x, w = np.array(model.clusterCenters())[sizes.prediction], sizes.w.to_numpy()
+    held = condense(points, dims, "w", condense_to).toPandas().sort_values(dims)
+    x, w = held[dims].to_numpy(), held.w.to_numpy()
     merges = _ward(x, w)
     centres, settled = _centres(x, w, merges, _cut(merges, len(x), smallest, largest)), False
     for _ in range(rounds):
@@ -346,6 +364,20 @@ def describe_groups(profiles: DataFrame, variables: Sequence[str], group: str) -
     return enrich(out.drop("__chi"), chi, ["var"])
 
 
+def dominant_categories(described: DataFrame, top: int = 3) -> DataFrame:
+    """Per group of ``describe_groups``: its most over-represented category as ``name``, and the first ``top`` as a text.
+
+    Ties go to the smaller variable and category. Groups with no over-represented category have a null name.
+    """
+    over = described.filter("test_value > 0")
+    label = F.concat_ws("=", "var", "cat")
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("test_value", 9)).alias("t"), "var", "cat", label.alias("label")))), 1, top)["label"]
+    named = over.groupBy("cls").agg(best.alias("best"))
+    return described.select("cls").distinct().join(named.withColumnRenamed("cls", "c"), F.col("cls").eqNullSafe(F.col("c")), "left").select(
+        "cls", F.get("best", F.lit(0)).alias("name"), F.concat_ws(", ", "best").alias("leading")
+    )
+
+
 def test_categories(profiles: DataFrame, variables: Sequence[str], group: str) -> DataFrame:
     """``describe_groups`` with exact tests.
 

@@ -92,6 +92,17 @@ def fit_quality(scored: DataFrame, parameters: int) -> DataFrame:
     ).withColumn("aic", 2 * parameters - 2 * F.col("log_likelihood"))
 
 
+def predicted_classes(scored: DataFrame, threshold: float | Column = 0.5) -> DataFrame:
+    """Confusion of a fitted model over the rows behind its scored cells: predicted, actual, n.
+
+    The class is 1 where the predicted probability is at least the threshold.
+    """
+    at = F.lit(threshold) if isinstance(threshold, float) else threshold
+    both = F.array(F.struct(F.lit(1).alias("actual"), F.col("s").alias("n")), F.struct(F.lit(0).alias("actual"), (F.col("n") - F.col("s")).alias("n")))
+    told = scored.select((F.col("prediction") >= at).cast("int").alias("predicted"), F.inline(both))
+    return told.groupBy("predicted", "actual").agg(F.sum("n").cast("bigint").alias("n"))
+
+
 def odds_ratios(coefs: DataFrame, z: float = 1.96) -> DataFrame:
     """Odds ratio and Wald interval of every coefficient."""
     est, se = F.col("estimate"), F.col("std_error")

@@ -10,6 +10,7 @@ from gleanframe.functions.nulls import closed_set, recode_pattern
 from gleanframe.functions.text import normalise_name
 from gleanframe.operators.joins import enrich, keep_matched_if_any
 from gleanframe.operators.mentions import share_within
+from gleanframe.session import materialise
 
 # Level names in the rule table and the status labels of the report.
 LEVELS = {
@@ -98,13 +99,14 @@ def answers_with_status(
 
 def status_shares(df: DataFrame, answer: str = "regulation") -> DataFrame:
     """Counts per (answer, status) with the share within the answer and of all rows."""
-    counts = df.groupBy(answer, "status_group").agg(F.count(F.lit(1)).alias("n"))
+    # a row per answer and status, written once: the grand total would run the matching a second time
+    counts = materialise(df.groupBy(answer, "status_group").agg(F.count(F.lit(1)).alias("n")))
     return share_within(share_within(counts, [answer]), [], name="pct_all")
 
 
 def answer_shares(df: DataFrame, answer: str = "regulation") -> DataFrame:
     """Counts per answer alone with the share of all rows."""
-    return share_within(df.groupBy(answer).agg(F.count(F.lit(1)).alias("n")), [])
+    return share_within(materialise(df.groupBy(answer).agg(F.count(F.lit(1)).alias("n"))), [])
 
 
 def score_answers(df: DataFrame, answer: str = "regulation") -> DataFrame:

@@ -78,13 +78,16 @@ def cluster_describe(spark, sf):
     return X.describe_groups(counts, VARS, "cluster")
 
 
-@query("group_describe", with_views("profile", """
+GROUP_TESTS = """
 , l AS (SELECT id, var, cat FROM (UNPIVOT profile ON region, balance_band, order_band INTO NAME var VALUE cat))
 , s AS (SELECT id, segment FROM profile)
 , c AS (SELECT var, cat, count(*)::DOUBLE AS k FROM l GROUP BY ALL), g AS (SELECT segment AS cls, count(*)::DOUBLE AS j FROM s GROUP BY 1)
 , x AS (SELECT var, cat, segment AS cls, count(*) AS x FROM l JOIN s USING (id) GROUP BY ALL)
 , t AS (SELECT c.var, c.cat, g.cls, coalesce(x, 0)::BIGINT AS n, k, j, (SELECT count(*)::DOUBLE FROM s) AS nn, coalesce(x, 0) - k * j / (SELECT count(*) FROM s) AS diff
-  FROM c CROSS JOIN g LEFT JOIN x USING (var, cat, cls))
+  FROM c CROSS JOIN g LEFT JOIN x USING (var, cat, cls))"""
+
+
+@query("group_describe", with_views("profile", GROUP_TESTS + """
 SELECT var, cat, cls, n, round(100 * n / j, 6) AS pct_in_group, round(100 * k / nn, 6) AS pct_overall,
        round(diff / sqrt(k * j / nn * (1 - k / nn) * (nn - j) / (nn - 1)), 6) AS test_value,
        round(sum(diff * diff / (k * j / nn)) OVER (PARTITION BY var), 6) AS chi2 FROM t"""))
@@ -94,6 +97,26 @@ def group_describe(spark, sf):
     return df.withColumns({c: rounded(c) for c in ("pct_in_group", "pct_overall", "test_value", "chi2")})
 
 
+@query("group_dominant_categories", with_views("profile", GROUP_TESTS + """
+, v AS (SELECT cls, var || '=' || cat AS label, round(diff / sqrt(k * j / nn * (1 - k / nn) * (nn - j) / (nn - 1)), 9) AS t, var, cat FROM t)
+, r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY t DESC, var, cat) AS i FROM v WHERE t > 0)
+SELECT cls, max(label) FILTER (i = 1) AS name, string_agg(label, ', ' ORDER BY i) FILTER (i <= 3) AS leading FROM r GROUP BY cls"""))
+def group_dominant_categories(spark, sf):
+    counts = materialise(X.profile_counts(profile(spark, sf), VARS))
+    return X.dominant_categories(X.describe_groups(counts, VARS[1:], "segment"))
+
+
+@query("cluster_names")
+def cluster_names(spark, sf):
+    """Clusters by their dominant categories, with their sizes and whether the fit settled."""
+    profiles, model = _mca(spark, sf)
+    fit = X.fit_clusters(X.mca_scores(profiles, model), [f"dim_{i}" for i in range(1, 6)])
+    labelled = materialise(profiles.withColumn("cluster", fit.label(model)))
+    names = X.dominant_categories(X.describe_groups(labelled, VARS, "cluster")).withColumnRenamed("cls", "cluster")
+    sizes = labelled.groupBy("cluster").agg(F.sum("n").alias("n"))
+    return joins.enrich(sizes, names, ["cluster"]).withColumn("converged", F.lit(fit.converged))
+
+
 @query("category_test_values", with_views("profile", """
 , l AS (SELECT id, var, cat FROM (UNPIVOT profile ON region, balance_band, order_band INTO NAME var VALUE cat))
 , s AS (SELECT id, segment FROM profile)
@@ -197,6 +220,23 @@ def logit_levels_and_profile(spark, sf):
     return G.wide_logit(model_rows(spark, sf), "y", "name", {"segment": "AUTOMOBILE", "region": None})
 
 
+@query("logit_predicted_class", with_views("mentions profile", ROWS + """
+, r AS (SELECT segment, avg(y) AS p FROM rows GROUP BY 1)
+SELECT CASE WHEN p >= (SELECT avg(y) FROM rows) THEN 1 ELSE 0 END AS predicted, y AS actual, count(*) AS n FROM rows JOIN r USING (segment) GROUP BY ALL"""))
+def logit_predicted_class(spark, sf):
+    """Class from a fitted model: likelier than the share of all rows."""
+    _, _, scored = G.logit_model(model_rows(spark, sf), "y", {"segment": "AUTOMOBILE"})
+    share = scored.agg(F.sum("s") / F.sum("n")).first()[0]
+    return G.predicted_classes(scored, float(share))
+
+
+@query("cluster_as_predictor")
+def cluster_as_predictor(spark, sf):
+    """The respondent's cluster as predictor of the answer."""
+    clusters = clustered_profiles(spark, sf)[0].select("id", "cluster")
+    return G.wide_logit(joins.enrich(model_rows(spark, sf), clusters, ["id"], how="inner"), "y", "cluster")
+
+
 @query("glm_logit")
 def glm_logit(spark, sf):
     rows = model_rows(spark, sf)

@@ -153,6 +153,22 @@ def normalise_names(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.normalise_name("text").alias("name"))
 
 
+@query("join_accent_blind", """
+WITH c AS (SELECT c_custkey, n_name AS plain, CASE c_custkey % 3 WHEN 0 THEN n_name WHEN 1 THEN translate(n_name, 'AEIOU', 'ÀÉÎÖÜ')
+    ELSE replace(replace(n_name, 'A', 'A' || chr(769)), 'U', 'U' || chr(776)) END AS spelled FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT n_nationkey, n_name, count(*) AS n, count(DISTINCT spelled) AS n_spellings FROM c JOIN nation ON strip_accents(spelled) = strip_accents(n_name) GROUP BY ALL""")
+def join_accent_blind(spark, sf):
+    """Customers whose nation is spelled plainly, with accents, or with combining marks, joined on the name."""
+    nation, n = table(spark, sf, "nation").select("n_nationkey", "n_name"), F.col("n_name")
+    marked = F.replace(F.replace(n, F.lit("A"), F.lit("A\u0301")), F.lit("U"), F.lit("U\u0308"))
+    way = F.col("c_custkey") % 3
+    spelled = F.when(way == 0, n).when(way == 1, F.translate(n, "AEIOU", "ÀÉÎÖÜ")).otherwise(marked)
+    people = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(spelled.alias("spelled"))
+    return people.join(nation, text.accent_blind("spelled") == text.accent_blind("n_name")).groupBy("n_nationkey", "n_name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("spelled").alias("n_spellings")
+    )
+
+
 @query("clean_text", r"""
 SELECT doc_id, length(regexp_replace(text, '\(.*\)', '', 'g')) AS n_outside,
        md5(regexp_replace(text, '[aeiou]+', '_')) AS first_only, length(regexp_replace(text, '[\s]{2,}', ' ', 'g')) AS squeezed
