@@ -126,3 +126,10 @@ def list_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         F.try_divide(100.0 * n_both, n_left.cast("double")).alias("pct_of_left"),
         F.try_divide(100.0 * n_both, n_right.cast("double")).alias("pct_of_right"),
     )
+
+
+def list_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of one list only, with ``side`` "left" or "right"; null keys are in neither list."""
+    counted = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    held = counted.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r")).filter("l != r")
+    return held.select(key, F.when(F.col("l") == 1, "left").otherwise("right").alias("side"))

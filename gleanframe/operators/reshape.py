@@ -96,6 +96,13 @@ def drop_empty_columns(df: DataFrame, candidates: Sequence[str] | None = None) -
     return df.select(*[c for c in df.columns if c not in names or c in alive])
 
 
+def rename_in_order(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """New names by position, one for every column; two equal names are refused."""
+    if len(names) != len(df.columns) or len({n.lower() for n in names}) != len(names):
+        raise ValueError(f"{len(df.columns)} different names are needed")
+    return df.toDF(*names)
+
+
 def across(df: DataFrame, columns: Sequence[str], fn) -> DataFrame:
     """Apply one expression to many columns in a single projection."""
     chosen = set(columns)

@@ -330,6 +330,18 @@ def overlap_lists(spark, sf):
     return df.withColumns({c: rounded(c) for c in ("pct_of_left", "pct_of_right")})
 
 
+@query("list_difference", """
+WITH a AS (SELECT DISTINCT concat(p_brand, ' ', p_name) AS label FROM part WHERE p_size < 25),
+     b AS (SELECT DISTINCT concat(p_brand, ' ', p_name) AS label FROM part WHERE p_retailprice < 1000)
+SELECT label, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT label, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def list_difference(spark, sf):
+    from gleanframe.sources.standins import label_list
+
+    return joins.list_difference(
+        label_list(spark, sf, F.col("p_size") < 25), label_list(spark, sf, F.col("p_retailprice") < 1000), "label"
+    )
+
+
 @query("map_layer", with_views("mentions votes cells geography", """
 SELECT g.area, g.zone, c.name, c.sustainable, c.unsustainable, c.total_citations,
        round_even(100.0::DOUBLE * unsustainable / total_citations, 2) AS prop_unsustainable,

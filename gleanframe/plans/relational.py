@@ -169,6 +169,13 @@ def join_accent_blind(spark, sf):
     )
 
 
+@query("rename_in_order", """
+SELECT n_nationkey AS code, n_name AS label, n_regionkey AS area FROM nation""")
+def rename_in_order(spark, sf):
+    df = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return reshape.rename_in_order(df, ["code", "label", "area"])
+
+
 @query("clean_text", r"""
 SELECT doc_id, length(regexp_replace(text, '\(.*\)', '', 'g')) AS n_outside,
        md5(regexp_replace(text, '[aeiou]+', '_')) AS first_only, length(regexp_replace(text, '[\s]{2,}', ' ', 'g')) AS squeezed

@@ -2,10 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from gleanframe.functions.text import accent_blind
-from gleanframe.operators import factor as X, regress as G
+from gleanframe.operators import factor as X, joins, regress as G, reshape
 
 
 def test_twenty_thousand_points(spark):
@@ -50,3 +51,15 @@ def test_predicted_classes(spark):
     scored = spark.createDataFrame([(0.2, 1.0, 10.0), (0.5, 6.0, 12.0), (0.9, 9.0, 9.0)], "prediction double, s double, n double")
     got = {(r.predicted, r.actual): r.n for r in G.predicted_classes(scored).collect()}
     assert got == {(0, 1): 1, (0, 0): 9, (1, 1): 15, (1, 0): 6}
+
+
+def test_list_difference_and_names_in_order(spark):
+    left = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "k string")
+    right = spark.createDataFrame([("b",), ("c",), ("c",)], "k string")
+    assert sorted(map(tuple, joins.list_difference(left, right, "k").collect())) == [("a", "left"), ("c", "right")]
+    assert joins.list_difference(left.limit(0), right.limit(0), "k").count() == 0
+    both = reshape.rename_in_order(spark.createDataFrame([(1, 2)], "x int, y int"), ["y", "x"])
+    assert tuple(both.first()) == (1, 2) and both.columns == ["y", "x"]
+    for names in (["a"], ["a", "A"]):
+        with pytest.raises(ValueError):
+            reshape.rename_in_order(both, names)
