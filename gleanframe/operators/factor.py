@@ -290,18 +290,22 @@ def condense(points: DataFrame, dims: Sequence[str], weight: str, at_most: int)
     def cell(parts: int) -> list[Column]:
         return [F.least(F.floor((F.col(d) - a) / w * parts), F.lit(parts - 1)) if w > 0 else F.lit(0) for d, a, w in zip(dims, low, width)]
 
-    told = points.agg(*[F.approx_count_distinct(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cell(g))]), 0.02) for g in ladder]).first()
-    # counts are estimates: start one finer, go coarser until the cells are few enough
-    at = min(max([i for i, n in enumerate(told) if n <= at_most], default=0) + 1, len(ladder) - 1)
-    while True:
-        keys = [f"__c{i}" for i in range(len(dims))]
-        cells = materialise(
-            points.withColumns(dict(zip(keys, cell(ladder[at])))).groupBy(*keys)
-            .agg(*[(F.sum(F.col(d) * F.col(weight)) / F.sum(weight)).alias(d) for d in dims], F.sum(weight).alias(weight)).drop(*keys)
+    keys = [f"__c{i}" for i in range(len(dims))]
+
+    def celled(at: int) -> DataFrame:
+        return points.withColumns(dict(zip(keys, cell(ladder[at])))).groupBy(*keys).agg(
+            *[(F.sum(F.col(d) * F.col(weight)) / F.sum(weight)).alias(d) for d in dims], F.sum(weight).alias(weight)
         )
-        if at == 0 or cells.count() <= at_most:
-            return cells
-        at -= 1
+
+    # halving over the ladder; the coarsest grid is one cell
+    fits, above = 0, len(ladder)
+    while above - fits > 1:
+        middle = (fits + above) // 2 if above < len(ladder) else above - 1
+        if celled(middle).count() <= at_most:
+            fits = middle
+        else:
+            above = middle
+    return celled(fits).drop(*keys)
 
 
 def fit_clusters(
