@@ -1,19 +1,25 @@
 """Personal data, and terms that give it away, removed by what the corpus says about them.
 
 Base spans are e-mail and IP addresses, card and phone numbers, found by fixed patterns with checks.
-Each found value is a protected entity. Around its mentions (``CONTEXT`` characters to either side)
-stand terms. How strongly a term reveals the entity is estimated over the whole corpus:
+Each found value is a protected entity c, each word of a document that holds it, however far away, a
+term t. How strongly t reveals c is estimated from document counts over the whole corpus:
 
     information of the entity      IC(c)     = -ln p(c),   p(c) share of documents that hold c
     information the term gives     PMI(c; t) = ln p(c | t) / p(c),
-                                   p(c | t)  = documents with t near c / documents that hold t
+                                   p(c | t)  = (documents with both + a p(c)) / (documents with t + a)
 
-A term discloses the share PMI / IC of the entity's information, 1 if it stands nowhere else. From
-``GENERALISE`` on, its mentions near that entity are replaced by their kind of word, from ``REMOVE``
-on they are taken out. ``SUPPORT`` documents must hold the pair: one says nothing about a habit.
+``a`` (``SMOOTHING``) stands for documents with t that hold c no more often than others do, so that one
+document is weak evidence, not none and not proof. A term discloses the share PMI / IC. From
+``GENERALISE`` on, all its mentions in documents with the entity are replaced by their kind of word, from
+``REMOVE`` on they are taken out.
 
-Document counts of terms are needed only for terms that stand near an entity. These go round as a
-bitmap of fixed size (false hits only cost work: the counts are joined exactly afterwards).
+Two things keep the pairs few without losing any. Entities that stand in the same texts are told apart
+by no term and count as one class. And as a pair is at most as frequent as its entity, a term in too many
+documents cannot reach the share: such terms go before pairs are made. Copies of a text count as
+documents, but are worked on once.
+
+Document counts of terms are needed only for terms of documents with an entity. These go round as a
+bitmap sized by their number (false hits only cost work: the counts are joined exactly afterwards).
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -29,9 +36,9 @@ from gleanframe.llm.common import append, aside, pieces, strings, with_columns
 from gleanframe.session import materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 100, 2, 0.8, 0.95
-#: Bits of the bitmap of terms (one megabyte).
-BITS = 1 << 23
+SMOOTHING, GENERALISE, REMOVE = 1.0, 0.8, 0.95
+#: Least and most bits of the bitmap of terms (1 and 32 megabytes); between them eight a term.
+BITS, MOST_BITS = 1 << 23, 1 << 28
 
 # The patterns of the base spans.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -40,7 +47,6 @@ NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{2,}")
-TERM_CHAR = re.compile(r"[^\W\d_]").match
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -106,58 +112,45 @@ def entity_of(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else digits_of(value)}"
 
 
-def terms_near(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms near each span; those inside a base span are left out."""
-    out, n = [], len(text)
-    taken = bytearray(n)
-    for a, _, b in spans:
-        taken[a:b] = b"\x01" * (b - a)
-    for a, kind, b in spans:
-        entity = entity_of(kind, text[a:b])
-        for low, high in ((max(0, a - CONTEXT), a), (b, min(n, b + CONTEXT))):
-            for m in TERM.finditer(text, low, high):
-                s, e = m.span()
-                # a word cut by the edge of the context is no term of it
-                if (s == low and s and TERM_CHAR(text[s - 1])) or (e == high and e < n and TERM_CHAR(text[e])):
-                    continue
-                if 1 not in taken[s:e]:
-                    out.append((entity, m[0].lower(), s, e))
-    return out
+def mentions(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words that touch none of the (start, end) ``spans``, which are in order."""
+    at, until = 0, 0
+    for m in TERM.finditer(text):
+        start, end = m.span()
+        while at < len(spans) and spans[at][0] < end:
+            until = max(until, spans[at][1])
+            at += 1
+        if until <= start:
+            yield m[0].lower(), start, end
+
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-NEAR = T.StructType(
-    [T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("once", T.IntegerType())]
-)
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-ARROW_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("once", pa.int32())]))
+MARK = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("remove", T.BooleanType())])
+ARROW_MARKS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("remove", pa.bool_())]))
 #: ``__digest`` is null for texts without base spans.
-FOUND = [("__digest", T.BinaryType()), ("__base", T.ArrayType(SPAN)), ("__entities", T.ArrayType(T.StringType())), ("__near", T.ArrayType(NEAR))]
+FOUND = [("__digest", T.BinaryType()), ("__base", T.ArrayType(SPAN)), ("__entities", T.ArrayType(T.StringType())), ("__words", T.ArrayType(T.StringType()))]
 
 
-def scan(docs: DataFrame, text: str, keep: list[str], near: bool = True) -> DataFrame:
-    """Base spans of every whole text, and with ``near`` its entities and the terms near them."""
+def scan(docs: DataFrame, text: str, keep: list[str], words: bool = True) -> DataFrame:
+    """Base spans of every whole text, and with ``words`` the entities and terms of texts that have some."""
     schema = with_columns(docs.select(*keep), FOUND)
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch):
-                digests, bases, entities, nears = [], [], [], []
+                digests, bases, entities, terms = [], [], [], []
                 for x in strings(piece, text):
                     spans = base_spans(x)
                     bases.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans])
                     digests.append(hashlib.blake2b(x.encode(), digest_size=16).digest() if spans else None)
-                    entities.append(sorted({entity_of(k, x[a:b]) for a, k, b in spans}) if near else None)
-                    rows, seen = [], set()
-                    for entity, term, a, b in terms_near(x, spans) if near and spans else ():
-                        rows.append({"entity": entity, "term": term, "start": a, "end": b, "once": int((entity, term) not in seen)})
-                        seen.add((entity, term))
-                    nears.append(rows)
+                    listed = words and spans
+                    entities.append(sorted({entity_of(k, x[a:b]) for a, k, b in spans}) if listed else None)
+                    terms.append(sorted({t for t, _, _ in mentions(x, [(a, b) for a, _, b in spans])}) if listed else None)
+                lists = pa.list_(pa.string())
                 yield append(
                     piece.select(keep),
-                    {
-                        "__digest": pa.array(digests, pa.binary()), "__base": pa.array(bases, ARROW_SPANS),
-                        "__entities": pa.array(entities, pa.list_(pa.string())), "__near": pa.array(nears, ARROW_NEAR),
-                    },
+                    {"__digest": pa.array(digests, pa.binary()), "__base": pa.array(bases, ARROW_SPANS), "__entities": pa.array(entities, lists), "__words": pa.array(terms, lists)},
                 )
 
     return docs.mapInArrow(run, schema)
@@ -165,18 +158,20 @@ def scan(docs: DataFrame, text: str, keep: list[str], near: bool = True) -> Data
 
 def document_counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """(term, n_docs) of the given distinct ``terms`` over every whole text."""
-    bit = F.crc32("term").bitwiseAND(F.lit(BITS - 1))
+    n_terms = terms.agg(F.approx_count_distinct("term")).first()[0]
+    n_bits = min(MOST_BITS, max(BITS, 1 << (8 * n_terms).bit_length()))
+    bit = F.crc32("term").bitwiseAND(F.lit(n_bits - 1))
     pages = (
         terms.select(F.shiftright(bit, 15).alias("page"), bit.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
         .groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     )
-    bits = bytearray(BITS // 8)
-    for r in pages:  # at most BITS / 32768 rows of 4 KB
+    bits = bytearray(n_bits // 8)
+    for r in pages:  # at most MOST_BITS / 32768 rows of 4 KB
         bits[r.page * 4096 : (r.page + 1) * 4096] = bytes(r.bits)
     shared = docs.sparkSession.sparkContext.broadcast(bytes(bits))
 
     def run(batches):
-        wanted, counts, crc, mask = shared.value, {}, zlib.crc32, BITS - 1
+        wanted, counts, crc, mask = shared.value, {}, zlib.crc32, n_bits - 1
         for batch in batches:
             for piece in pieces(batch):
                 for x in strings(piece, "text"):
@@ -196,57 +191,92 @@ def document_counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("n").alias("n_docs")).join(terms, "term", "left_semi")
 
 
-def disclosures(docs: DataFrame, text: str, found: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, share): the share of an entity's information that a term near it discloses."""
-    near = found.filter("__digest is not null").select(F.explode("__near").alias("x")).select("x.*")
-    pairs = materialise(near.groupBy("entity", "term").agg(F.sum("once").alias("joint")).filter(F.col("joint") >= support))
-    held = found.filter("__digest is not null").select(F.explode("__entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    counts = document_counts(docs, text, pairs.select("term").distinct())
-    share = 1 + F.ln(F.col("joint") / F.col("n_docs")) / F.ln(F.lit(float(found.count())) / F.col("n_entity"))
-    # an entity that every document holds has no information to disclose
-    return pairs.join(held, "entity").join(counts, "term").select("entity", "term", "joint", "n_docs", "n_entity", share.alias("share")).filter("share is not null")
-
+def entity_classes(found: DataFrame) -> DataFrame:
+    """(__digest, n, class, n_entity): each text with an entity, its copies, and the classes of its entities.
 
-def term_spans(found: DataFrame, told: DataFrame, generalise: float, remove: float) -> DataFrame:
-    """(__digest, __terms): the mentions to change in each distinct text, in order."""
-    near = (
-        found.filter("__digest is not null").select("__digest", F.explode("__near").alias("x"))
-        .select("__digest", "x.entity", "x.term", "x.start", "x.end")
-    )
-    hits = near.join(told.filter(F.col("share") >= generalise), ["entity", "term"])
-    spans = hits.groupBy("__digest", "start", "end").agg((F.max("share") >= remove).alias("remove"))
-    # a list of the context words of one text, as long as the text at most
-    return spans.groupBy("__digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove"))).alias("__terms"))
+    Entities of the same texts are one class, known by two sums of the texts' hashes and their number;
+    ``n_entity`` documents hold them.
+    """
+    held = materialise(found.filter("__digest is not null").select("__digest", F.explode("__entities").alias("entity")).groupBy("__digest", "entity").agg(F.count(F.lit(1)).alias("n")))
+    mark = lambda seed: F.bit_xor(F.xxhash64("__digest", F.lit(seed)))
+    each = held.groupBy("entity").agg(F.concat_ws(":", mark(1), mark(2), F.count(F.lit(1))).alias("class"), F.sum("n").alias("n_entity"))
+    return held.join(each, "entity").select("__digest", "n", "class", "n_entity").distinct()
 
 
-def attach(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """``found`` with ``__terms``; texts without base spans take no part in the join."""
-    none = F.lit(None).cast(terms.schema["__terms"].dataType).alias("__terms")
+def disclosing_words(docs: DataFrame, text: str, found: DataFrame, smoothing: float, generalise: float, remove: float) -> DataFrame:
+    """(__digest, __told): the terms of each distinct text to change, each with whether it goes altogether."""
+    total = found.count()
+    rate = F.col("n_entity") / F.lit(float(max(total, 1)))
+    # an entity that every document holds has no information to disclose
+    classes = entity_classes(found).filter(F.col("n_entity") < total)
+    most = (F.col("n_entity") + smoothing * rate) / F.pow(rate, F.lit(1 - generalise)) - smoothing
+    # a hair above, as the share itself is held against the level below
+    classes = materialise(classes.withColumn("most", most * (1 + 1e-9) + 1e-9))
+    words = found.filter("__digest is not null").select("__digest", F.explode("__words").alias("term"))
+    counts = materialise(document_counts(docs, text, words.select("term").distinct()))
+    rarest = classes.agg(F.max("most")).first()[0] or 0.0
+    rare = words.join(counts.filter(F.col("n_docs") <= rarest), "term").distinct()
+    pairs = materialise(classes.join(rare, "__digest").filter(F.col("n_docs") <= F.col("most")).drop("most"))
+    joint = pairs.groupBy("class", "term").agg(F.sum("n").alias("joint"), F.max("n_docs").alias("n_docs"), F.max("n_entity").alias("n_entity"))
+    given = (F.col("joint") + smoothing * rate) / (F.col("n_docs") + smoothing)
+    told = joint.withColumn("share", F.round(F.ln(given / rate) / -F.ln(rate), 9)).filter(F.col("share") >= generalise)
+    hits = pairs.select("__digest", "class", "term").join(told.select("class", "term", "share"), ["class", "term"])
+    each = hits.groupBy("__digest", "term").agg((F.max("share") >= remove).alias("remove"))
+    # a list of words of one text, as long as the text at most
+    return each.groupBy("__digest").agg(F.array_sort(F.collect_list(F.struct("term", "remove"))).alias("__told"))
+
+
+def attach(found: DataFrame, told: DataFrame) -> DataFrame:
+    """``found`` with ``__told``; texts without base spans take no part in the join."""
+    none = F.lit(None).cast(told.schema["__told"].dataType).alias("__told")
     plain = found.filter("__digest is null").select(*found.columns, none)
-    held = found.filter("__digest is not null").join(terms, "__digest", "left").select(*found.columns, "__terms")
+    held = found.filter("__digest is not null").join(told, "__digest", "left").select(*found.columns, "__told")
     return plain.unionByName(held)
 
 
+def judged(docs: DataFrame, text: str, smoothing: float, generalise: float, remove: float) -> DataFrame:
+    """``docs`` with ``__base`` spans and ``__told``, the terms to change."""
+    found = materialise(scan(docs.select(F.col(text).alias("text")), "text", []))
+    told = disclosing_words(docs, text, found, smoothing, generalise, remove)
+    return attach(scan(docs, text, docs.columns, words=False), told)
+
+
+def marks(text: str, base: list[dict], told: list[dict] | None) -> list[dict]:
+    """The mentions of the terms ``told`` in a text, in order."""
+    if not told:
+        return []
+    gone = {t["term"]: t["remove"] for t in told}
+    return [{"start": s, "end": e, "remove": gone[t]} for t, s, e in mentions(text, [(b["start"], b["end"]) for b in base]) if t in gone]
+
+
 def find(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
+    docs: DataFrame, id: str = "doc_id", text: str = "text", smoothing: float = SMOOTHING, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
-    """Per row: id, ``__base`` spans and ``__terms`` to generalise or remove (null: none).
+    """Per row: id, ``__base`` spans and ``__terms`` to generalise or remove (none: an empty list).
 
     Null counts as empty and has no spans. Repeated rows count as documents of the corpus, and each
     gets the same spans. Places are code points, ends exclusive. An empty table gives none; other
     columns play no part.
     """
-    found = materialise(scan(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", ["id"]))
-    told = disclosures(docs, text, found, support)
-    out = attach(found, term_spans(found, told, generalise, remove))
-    return out.select(F.col("id").alias(id), "__base", "__terms")
+    plain = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    ready = judged(plain, "text", smoothing, generalise, remove)
+    schema = T.StructType([plain.schema["id"], T.StructField("__base", T.ArrayType(SPAN)), T.StructField("__terms", T.ArrayType(MARK))])
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch):
+                rows = zip(strings(piece, "text"), piece.column("__base").to_pylist(), piece.column("__told").to_pylist())
+                terms = pa.array([marks(*row) for row in rows], ARROW_MARKS)
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("__base"), terms], names=schema.names)
+
+    return ready.mapInArrow(run, schema).withColumnRenamed("id", id)
 
 
 def report(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per row: numbers of base spans, their digest, and all spans as ``kind:start:end``."""
     found = find(docs, id, text, **options)
     kind_at = F.array(*[F.lit(k) for k in KINDS])
-    terms = F.transform(F.coalesce("__terms", F.array()), lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    terms = F.transform("__terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
     ordered = F.transform(
         F.array_sort(F.transform(F.concat("__base", terms), lambda s: F.struct(s["start"].alias("a"), F.array_position(kind_at, s["kind"]).alias("k"), s["end"].alias("e"), s["kind"].alias("kind")))),
         lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["e"].cast("string")),
@@ -258,7 +288,7 @@ def report(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -
         *[count(k).alias(f"n_{k}") for k in KINDS[:4]],
         F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"),
         F.concat_ws(",", ordered).alias("spans"),
-        F.coalesce(F.size("__terms"), F.lit(0)).cast("long").alias("n_terms"),
+        F.size("__terms").cast("long").alias("n_terms"),
     )
 
 
@@ -277,7 +307,7 @@ def rewritten(text: str, base: list[dict], terms: list[dict] | None) -> str:
 
 
 def sanitise(
-    docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
+    docs: DataFrame, text: str = "text", smoothing: float = SMOOTHING, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced in ``text``; other columns as before, whatever their names.
 
@@ -285,19 +315,16 @@ def sanitise(
     rows count as documents each and are changed alike. An empty table gives an empty table.
     """
     plain, back = aside(docs, text)
-    columns = plain.columns
-    found = materialise(scan(docs.select(F.col(text).alias("text")), "text", []))
-    terms = term_spans(found, disclosures(docs, text, found, support), generalise, remove)
-    marked = attach(scan(plain, text, columns, near=False), terms)
+    marked = judged(plain, text, smoothing, generalise, remove)
     place = marked.columns.index(text)
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch):
                 values = piece.column(text).to_pylist()
-                for i, (base, more) in enumerate(zip(piece.column("__base").to_pylist(), piece.column("__terms").to_pylist())):
+                for i, (base, told) in enumerate(zip(piece.column("__base").to_pylist(), piece.column("__told").to_pylist())):
                     if base:
-                        values[i] = rewritten(values[i], base, more)
+                        values[i] = rewritten(values[i], base, marks(values[i], base, told))
                 column = pa.array(values, pa.string())
                 yield pa.RecordBatch.from_arrays([column if k == place else c for k, c in enumerate(piece.columns)], names=piece.schema.names)
 
