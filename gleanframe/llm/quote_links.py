@@ -3,7 +3,7 @@
 A line's quote level is the number of ``>`` before it. Each quoted line is a passage; its normalised
 text is hashed and joined to the first message of the conversation that wrote it (level 0), if that
 is an earlier one. A message answers the message most of whose lines it quotes at its lowest linked
-level (the later one of two). Threads, and the depth in them, come from doubling parent links.
+level (the later one of two). Short lines ("Yes.") decide only where no longer one links. Threads, and the depth in them, come from doubling parent links.
 
 Everything is DataFrame functions. Passages meet by (conversation, hash) with one original each, so a
 phrase that everybody quotes makes no pairs; a conversation that holds most messages spreads over
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gleanframe.operators.ordering import prefix_sums
 from gleanframe.session import materialise
 
-#: Passages of fewer words are common phrases and link nothing.
+#: Passages of fewer words are common phrases: they link, but vote only where no longer one does.
 LEAST_WORDS = 3
 QUOTE = "^(?:[ ]{0,3}>)+ ?"
 #: ASCII white space.
@@ -46,22 +46,23 @@ def parsed(messages: DataFrame, text: str = "text") -> DataFrame:
 
 
 def passages(lines: DataFrame) -> DataFrame:
-    """(conv, turn, level, hash) of all lines of ``LEAST_WORDS`` words or more."""
+    """(conv, turn, level, long, hash) of all lines with a word; ``long`` from ``LEAST_WORDS`` words on."""
     plain = lines.select("conv", "turn", F.explode("__lines").alias("x")).select("conv", "turn", "x.level", normalised(F.col("x.body")).alias("plain"))
-    return plain.filter(F.size(F.split("plain", " ")) >= LEAST_WORDS).select("conv", "turn", "level", F.md5("plain").alias("hash"))
+    long = (F.size(F.split("plain", " ")) >= LEAST_WORDS).alias("long")
+    return plain.filter("plain <> ''").select("conv", "turn", "level", long, F.md5("plain").alias("hash"))
 
 
 def linked(found: DataFrame) -> DataFrame:
-    """(conv, turn, level, origin): quoted passages with the earlier turn that first wrote them."""
+    """(conv, turn, level, long, origin): quoted passages with the earlier turn that first wrote them."""
     origin = found.filter("level = 0 and turn is not null").groupBy(F.col("conv").alias("c"), F.col("hash").alias("h")).agg(F.min("turn").alias("origin"))
     same = F.col("conv").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h"))
-    return found.filter("level > 0").join(origin, same).filter("origin < turn").select("conv", "turn", "level", "origin")
+    return found.filter("level > 0").join(origin, same).filter("origin < turn").select("conv", "turn", "level", "long", "origin")
 
 
 def parents(links: DataFrame) -> DataFrame:
     """(conv, turn, parent, n_linked): the message each linked message answers."""
-    votes = links.groupBy("conv", "turn", "level", "origin").agg(F.count(F.lit(1)).alias("n"))
-    best = F.max(F.struct((-F.col("level")).alias("near"), "n", "origin"))
+    votes = links.groupBy("conv", "turn", "level", "long", "origin").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max(F.struct("long", (-F.col("level")).alias("near"), "n", "origin"))
     return votes.groupBy("conv", "turn").agg(best.alias("best"), F.sum("n").alias("n_linked")).select("conv", "turn", F.col("best.origin").alias("parent"), "n_linked")
 
 
@@ -142,13 +143,13 @@ line AS (
   UNION ALL SELECT c.conv_id, c.turn, unnest(string_split(f.said, chr(10))), 1 FROM conversations c JOIN first f ON f.conv_id = c.conv_id AND f.turn = c.turn - 1
   UNION ALL SELECT c.conv_id, c.turn, unnest(string_split(f.said, chr(10))), 2 FROM conversations c JOIN first f ON f.conv_id = c.conv_id AND f.turn = c.turn - 2),
 passage AS (
-  SELECT * FROM (SELECT conv_id, turn, level, trim(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS g FROM line)
-  WHERE len(string_split(g, ' ')) >= 3),
+  SELECT *, len(string_split(g, ' ')) >= 3 AS long FROM (SELECT conv_id, turn, level, trim(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS g FROM line)
+  WHERE g <> ''),
 origin AS (SELECT conv_id, g, min(turn) AS origin FROM passage WHERE level = 0 GROUP BY ALL),
-votes AS (SELECT p.conv_id, turn, level, origin, count(*) AS n FROM passage p JOIN origin o ON o.conv_id = p.conv_id AND o.g = p.g AND origin < turn WHERE level > 0 GROUP BY ALL),
+votes AS (SELECT p.conv_id, turn, level, p.long, origin, count(*) AS n FROM passage p JOIN origin o ON o.conv_id = p.conv_id AND o.g = p.g AND origin < turn WHERE level > 0 GROUP BY ALL),
 answer AS (
   SELECT conv_id, turn, origin AS parent, n_linked FROM (
-    SELECT *, sum(n) OVER (PARTITION BY conv_id, turn) AS n_linked, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, origin DESC) AS k FROM votes) WHERE k = 1),
+    SELECT *, sum(n) OVER (PARTITION BY conv_id, turn) AS n_linked, row_number() OVER (PARTITION BY conv_id, turn ORDER BY long DESC, level, n DESC, origin DESC) AS k FROM votes) WHERE k = 1),
 climb AS (
   SELECT conv_id, turn, parent AS top, 1 AS depth FROM answer
   UNION ALL SELECT c.conv_id, c.turn, a.parent, c.depth + 1 FROM climb c JOIN answer a ON a.conv_id = c.conv_id AND a.turn = c.top),

@@ -17,10 +17,11 @@ def test_threads(spread):
         ("c", 4, "d", ">> Yes that works for me.\n > Good, see you then.\n"),
         ("c", 5, "d", "> who knows where this is from\nNo idea at all."),
         ("c", 6, "e", "> Another thing: who pays for lunch?\n> Bring the red papers.\n> Shall we meet on Monday?\nBoth things."),
-        ("c", 7, "e", "> Good one\nshort quotes link nothing"),
+        ("c", 7, "e", "> Good one\nquotes of what nobody wrote link nothing"),
         ("d", 0, "x", "> Shall we meet on Monday?\nOther conversation."),
         (None, 1, "x", "First of the null ones."), (None, 2, "x", "> First of the null ones.\nok"),
         ("e", None, "x", "No turn but some text here."), ("e", 1, "x", "> No turn but some text here."), ("e", 2, None, None), ("e", 3, "x", ""),
+        ("g", 0, "a", "Yes."), ("g", 1, "b", "Shall we go now or later?"), ("g", 2, "c", "> yes.\nok"), ("g", 3, "c", "> Yes.\n> Yes.\n> > Shall we go now or later?\n>  \nfine"),
         ("f", 1, "x", "Said two times by me."), ("f", 1, "x", "Said two times by me."), ("f", 2, "y", "> Said two times by me."), ("f", 2, "y", "> Said two times by me."),
     ]
     mail = spread.createDataFrame([(*r, 0) for r in rows], "conv_id string, turn long, role string, text string, position int")
@@ -37,6 +38,8 @@ def test_threads(spread):
     assert got[None, 2] == (1, 1, 1, 1, 1, "ok")
     assert got["e", 1][0] is None and got["e", 2][5] is None and got["e", 3][5] == ""
     assert got["f", 2][:5] == (1, 1, 1, 1, 1)
+    # a single word links, but a longer line at a higher level decides against two of them
+    assert got["g", 2][:5] == (0, 0, 1, 1, 1) and got["g", 3][:5] == (1, 1, 1, 4, 3)
     assert [r.turn for r in sorted((r for r in out if r.conv_id == "c"), key=lambda r: r.position)] == [0, 2, 3, 4, 6, 1, 5, 7]
     assert sorted(r.position for r in out if r.conv_id == "f") == [1, 2, 3, 4]
     assert K.build(mail.limit(0)).count() == 0
