@@ -1,10 +1,11 @@
 """Secret scans: candidates by pattern, false positives taken out by a random forest.
 
-A candidate is a run of 16 or more letters, digits and ``_ - + / = . ~`` with a digit in it. Its
-features are its length, how often its characters change class and how varied they are, how much of it
-the corpus's own vocabulary covers, whether it looks like a path, host or plain number, and the words
-beside it. A forest trained on labelled findings (at most ``LABELLED`` of them, by lowest hash: the
-documented bound) gives the chance that a candidate is a secret.
+A candidate is a value after a credential word, be it assigned (``password: x``) or quoted
+(``password "x y"``), of any length and alphabet; or else a run of 16 or more letters, digits and
+``_ - + / = . ~`` with a digit in it. Its features are its length, how often its characters change
+class and how varied they are, how much of it the corpus's own vocabulary covers, whether it looks like
+a path, host or plain number, and the words beside it. A forest trained on labelled findings (at most
+``LABELLED`` of them, by lowest hash: the documented bound) gives the chance that a candidate is a secret.
 
 All is DataFrame functions and Spark's own forest: the dictionary counts every document, and texts and
 features are never shuffled together; what is shuffled are words with their counts and the candidates.
@@ -31,7 +32,14 @@ LABELLED, TREES, DEPTH, SEED = 20_000, 40, 6, 29
 DICTIONARY_DOCS, DICTIONARY_LETTERS = 5, 3
 
 #: Words that name a credential, and words that name other codes.
-CREDENTIAL = r"(?i)(secret|token|passw|pwd|api.?key|access.?key|private.?key|credential|auth|bearer)"
+CREDENTIAL_WORD = r"secret|token|passw|pwd|api.?key|access.?key|private.?key|credential|auth|bearer"
+CREDENTIAL = rf"(?i)({CREDENTIAL_WORD})"
+# What stands between a credential word and its value, and the value: to the closing quote on the line, or
+# without quotes to white space, less punctuation at the end. The first look-behind is short and fails fast.
+CLOSE = r"(?<=[:=][ \t]{0,3}|[\"'`])"
+NAMED = rf"(?<=(?i:{CREDENTIAL_WORD})[\w\-]{{0,16}}[\"'`]?(?:[ \t]{{0,3}}[:=][ \t]{{0,3}}|[ \t]{{1,3}}(?:is[ \t]{{1,3}})?(?=[\"'`]))[\"'`]?)"
+VALUE = "|".join(rf"(?<={q})(?=[ \t]*+[^\s{q}])[^{q}\n]++(?={q})" for q in "\"'`") + r"|(?<=[:= \t])[^\s\"'`](?:\S*[^\s.,;:!?)\]}>\"'`])?"
+NAMED_VALUE = f"{CLOSE}{NAMED}(?:{VALUE})"
 OTHER_CODE = r"(?i)(commit|sha|md5|checksum|digest|uuid|guid|etag|version|build|isbn|order|invoice|phone|card|http|www)"
 ASSIGNED = r"[:=]\s*[\"'`]?$"
 
@@ -41,17 +49,30 @@ FEATURES = (
 )
 
 
+def cut_by(text: Column, pattern: str) -> tuple[Column, Column]:
+    """What matches ``pattern``, and the gaps around it: one more."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+
+
+def beside(found: Column, gaps: Column) -> Column:
+    """Between two candidates stands the gap after the one and before the other."""
+    return F.transform(
+        found, lambda v, i: F.struct(v.alias("value"), F.right(F.element_at(gaps, i + 1), F.lit(BESIDE)).alias("before"), F.left(F.element_at(gaps, i + 2), F.lit(BESIDE)).alias("after"))
+    )
+
+
 def candidates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, place, value, before, after): every candidate of every whole text, numbered within it.
 
-    Null and empty texts have none. Repeated rows are searched each.
+    Values after a credential word come first, then the runs between them. Null and empty texts have
+    none. Repeated rows are searched each. Other columns play no part.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    cut = docs.select(F.col(id).alias("id"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)).alias("found"), t.alias("t")).filter(F.size("found") > 0)
-    cut = cut.select("id", "found", F.split("t", CANDIDATE).alias("gaps"))
-    # between two candidates stands the gap after the one and before the other
-    pairs = F.transform("found", lambda v, i: F.struct(v.alias("value"), F.right(F.element_at("gaps", i + 1), F.lit(BESIDE)).alias("before"), F.left(F.element_at("gaps", i + 2), F.lit(BESIDE)).alias("after")))
-    return cut.select("id", F.posexplode(pairs).alias("place", "x")).select("id", "place", "x.*")
+    named, gaps = cut_by(F.col("t"), NAMED_VALUE)
+    cut = docs.select(F.col(id).alias("id"), t.alias("t")).select("id", named.alias("named"), gaps.alias("gaps"))
+    runs = F.flatten(F.transform("gaps", lambda g: beside(*cut_by(g, CANDIDATE))))
+    both = cut.select("id", F.concat(beside(F.col("named"), F.col("gaps")), runs).alias("found"))
+    return both.select("id", F.posexplode("found").alias("place", "x")).select("id", "place", "x.*")
 
 
 def dictionary(docs: DataFrame, text: str = "text", least_docs: int = DICTIONARY_DOCS) -> DataFrame:
@@ -114,9 +135,9 @@ def train(labelled: DataFrame, limit: int = LABELLED) -> RandomForestClassificat
 
 
 def classify(found: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """Add ``chance`` of a secret and ``secret`` (a half or more); without a model every candidate is one."""
+    """Add ``chance`` of a secret and ``secret`` (a half or more); without a model both are null: undecided."""
     if model is None:
-        return found.withColumn("chance", F.lit(1.0)).withColumn("secret", F.lit(True))
+        return found.withColumn("chance", F.lit(None).cast("double")).withColumn("secret", F.lit(None).cast("boolean"))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="__features").transform(found)
     out = model.setFeaturesCol("__features").setProbabilityCol("__p").setRawPredictionCol("__r").setPredictionCol("__c").transform(vectors)
     return out.withColumn("chance", vector_to_array("__p")[1]).withColumn("secret", F.col("chance") >= 0.5).drop("__features", "__p", "__r", "__c")
@@ -127,7 +148,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, rule: Column | None
 
     The forest learns from ``labelled`` (id, place, label: findings somebody has judged, of these
     documents), or, where nobody has, from ``rule``: a column over the features that gives 1, 0 or
-    null. An empty table, or one without candidates, gives none.
+    null. Where they do not hold both labels nothing can be learnt, and the verdict is null. An empty
+    table, or one without candidates, gives none; equal findings with equal neighbours get equal verdicts.
     """
     found = materialise(candidates(docs, id, text))
     covered = coverage(found.select("value").distinct(), dictionary(docs, text))
@@ -141,10 +163,11 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, rule: Column | None
 
 
 def weak_label() -> Column:
-    """Findings whose neighbours leave no doubt: 1 if named and quoted as a credential, 0 if plainly a number, host or path."""
+    """Findings that leave no doubt: 1 if named, assigned and quoted as a credential, 0 if plainly a number, host, path or words of prose."""
     plain = (F.col("number") == 1) | (F.col("url") == 1) | (F.col("slashes") >= 2)
     named = (F.col("credential_before") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1)
-    return F.when(named & ~plain, 1).when(plain & ~named, 0)
+    prose = (F.col("coverage") >= 0.99) & (F.col("quoted") == 0)
+    return F.when(named & ~plain, 1).when((plain | prose) & ~named, 0)
 
 
 def report(scanned: DataFrame, id: str = "doc_id") -> DataFrame:

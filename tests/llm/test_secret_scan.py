@@ -5,20 +5,76 @@ import re
 import string
 from collections import Counter
 
+import regex
 from pyspark.sql import functions as F
 
 from gleanframe.llm import secret_scan as S
 from gleanframe.llm.queries import QUERIES
 
 
+WORD = r"(?:secret|token|passw|pwd|api.?key|access.?key|private.?key|credential|auth|bearer)"
+LINK = rf"(?i:{WORD})[\w\-]{{0,16}}[\"'`]?(?:[ \t]{{0,3}}[:=][ \t]{{0,3}}|[ \t]{{1,3}}(?:is[ \t]{{1,3}})?(?=[\"'`]))"
+
+
+def plain_named(text):
+    """Spans of values after a credential word: every place where the words before it end, leftmost first."""
+    starts = sorted({m.end() for link in (LINK, LINK + "[\"'`]") for m in regex.finditer(link, text, overlapped=True)})
+    out, done = [], 0
+    for at in starts:
+        if at < done or at >= len(text):
+            continue
+        if text[at - 1] in "\"'`":
+            m = re.compile(rf"(?=[ \t]*[^\s{text[at - 1]}])[^{text[at - 1]}\n]+(?={text[at - 1]})").match(text, at)
+        else:
+            m = None
+        if m is None and text[at - 1] in ":= \t":
+            m = re.compile(r"[^\s\"'`](?:\S*[^\s.,;:!?)\]}>\"'`])?").match(text, at)
+        if m:
+            out.append(m.span())
+            done = m.end()
+    return out
+
+
 def plain_candidates(text):
-    out = []
-    for m in re.finditer(r"[A-Za-z0-9_\-+/=.~]+", text or ""):
-        if len(m[0]) >= 16 and re.search("[0-9]", m[0]):
-            out.append((m[0], text[: m.start()], text[m.end() :]))
+    text, at, gaps, named = text or "", 0, [], []
+    for a, b in plain_named(text):
+        named.append(text[a:b])
+        gaps.append(text[at:a])
+        at = b
+    out = [(v, None, None) for v in named]
+    for gap in [*gaps, text[at:]]:
+        for m in re.finditer(r"[A-Za-z0-9_\-+/=.~]+", gap):
+            if len(m[0]) >= 16 and re.search("[0-9]", m[0]):
+                out.append((m[0], gap[: m.start()], gap[m.end() :]))
     return out
 
 
+def test_values_after_credential_words(spark):
+    rows = [
+        ('password: "Summer2024"', ["Summer2024"]), ("pwd='hunter2', and more", ["hunter2"]), ("password=p@$$w0rd!#^&*x next", ["p@$$w0rd!#^&*x"]),
+        ("API_KEY = `letters only here`", ["letters only here"]), ("the secret is 'a\"b'", ['a"b']), ("my_secret_key=abcdefghij1234567890", ["abcdefghij1234567890"]),
+        ("password:", []), ("password: \n next", []), ('password ""', []), ('token: " "', []), ("the token of the house", []), ("auth_token: (x).", ["(x"]),
+        ('{"client_secret": "q"}', ["q"]), ("passwort", []), ("", []), (None, []), ("password: 'never closed", []), ("Password: ü", ["ü"]),
+        ("token: " + "a" * 50_000 + "!" * 50_000, ["a" * 50_000]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {}
+    for r in S.candidates(docs).collect():
+        got.setdefault(r.id, []).append(r.value)
+    for i, (t, want) in enumerate(rows):
+        assert got.get(i, []) == want == [v for v, _, _ in plain_candidates(t)], (t, want, got.get(i))
+
+
+def test_short_and_letter_only_secrets_are_found(spark):
+    """The forest judges short values by what it learnt, whatever their alphabet; prose after the word is left alone."""
+    rng, rows = random.Random(8), []
+    for i in range(300):
+        value = "".join(rng.choices(string.ascii_letters + "!@#$%^&*", k=rng.randint(7, 12)))
+        rows.append((i, [f'here password: "{value}" end', "the token: house and garden", "see /usr/share/doc/file1.txt house garden"][i % 3]))
+    out = {(r.doc_id, r.value): r.secret for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string"), rule=S.weak_label()).collect()}
+    assert all(v == (i % 3 == 0) for (i, _), v in out.items()) and len(out) == 300
+
+
 def test_documents(spread):
     sf = "/root/testdata/sf0.01"
     docs = spread.read.parquet(f"{sf}/documents.parquet")
@@ -68,5 +124,5 @@ def test_forest_on_held_out_findings(spark):
 
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "abcdefgh12345678"), (1, "abcdefgh12345678"), (2, None)], "doc_id long, text string")
-    assert [r.secret for r in S.scan(docs).collect()] == [True, True]
+    assert [(r.secret, r.chance) for r in S.scan(docs).collect()] == [(None, None), (None, None)]
     assert S.scan(docs.limit(0), rule=S.weak_label()).count() == 0
