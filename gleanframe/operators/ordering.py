@@ -104,11 +104,12 @@ def values_at_positions(cum: DataFrame, by: Sequence[str], value: str, wanted: D
         .repartitionByRange(*by, "__at", "__kind")
         .withColumn("__pid", F.spark_partition_id())
     )
-    following = W.partitionBy(*by, "__pid").orderBy("__at", "__kind").rowsBetween(0, W.unboundedFollowing)
+    # counted from the end: a frame that reaches the end is summed anew for every row, one that grows is not
+    following = W.partitionBy(*by, "__pid").orderBy(F.desc("__at"), F.desc("__kind")).rowsBetween(W.unboundedPreceding, 0)
     firsts = placed.groupBy(*by, "__pid").agg(F.min("__v").alias("__first"))
-    later = W.partitionBy(*(by or [F.lit(0)])).orderBy("__pid").rowsBetween(1, W.unboundedFollowing)
-    carry = firsts.withColumn("__next", F.first("__first", ignorenulls=True).over(later))
-    local = placed.withColumn("__here", F.first("__v", ignorenulls=True).over(following))
+    later = W.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("__pid")).rowsBetween(W.unboundedPreceding, -1)
+    carry = firsts.withColumn("__next", F.last("__first", ignorenulls=True).over(later))
+    local = placed.withColumn("__here", F.last("__v", ignorenulls=True).over(following))
     return enrich(
         local.filter("__kind = 0"), carry.select(*by, "__pid", "__next"), by + ["__pid"], null_keys="match"
     ).select(*by, *payload, F.coalesce("__here", "__next").alias(value))
