@@ -9,8 +9,8 @@ from gleanframe.operators import factor as X, joins, mentions as M, ordering, ra
 from gleanframe.plans.mention_queries import CURVE, curve
 from gleanframe.plans.registry import query
 from gleanframe.plans.sqlviews import with_views
-from gleanframe.session import materialise
-from gleanframe.sources.standins import PROFILE_VARIABLES, SEGMENTS, mentions, profile, table
+from gleanframe.session import dealt, materialise
+from gleanframe.sources.standins import PROFILE_VARIABLES, SEGMENTS, mentions, n_mentions, profile, table
 
 VARS = list(PROFILE_VARIABLES)
 
@@ -176,8 +176,10 @@ def cluster_composition(spark, sf):
 
 def model_rows(spark, sf):
     """Distinct mention tuples with a 0/1 outcome and the respondent's profile."""
-    m = mentions(spark, sf, "id", "name", "answer", "presence", "life_form", "status", "range_pct").distinct()
-    rows = joins.enrich(m, profile(spark, sf), ["id"], how="inner")
+    m = mentions(spark, sf, "id", "name", "answer", "presence", "life_form", "status", "range_pct")
+    # dealt by respondent: the distinct rows and the join on respondents share one shuffle
+    n = n_mentions(spark, sf)
+    rows = joins.enrich(dealt(m, n, "id").distinct(), dealt(profile(spark, sf), n, "id"), ["id"], how="inner")
     return rows.withColumn("y", (F.col("answer") == "Unsustainable").cast("int"))
 
 
@@ -233,7 +235,7 @@ def logit_predicted_class(spark, sf):
 @query("cluster_as_predictor")
 def cluster_as_predictor(spark, sf):
     """The respondent's cluster as predictor of the answer."""
-    clusters = clustered_profiles(spark, sf)[0].select("id", "cluster")
+    clusters = dealt(clustered_profiles(spark, sf)[0].select("id", "cluster"), n_mentions(spark, sf), "id")
     return G.wide_logit(joins.enrich(model_rows(spark, sf), clusters, ["id"], how="inner"), "y", "cluster")
 
 

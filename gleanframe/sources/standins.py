@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gleanframe.session import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,12 +31,19 @@ _FROM = {
 }
 
 
+def n_mentions(spark: SparkSession, sf_dir: str) -> int:
+    """Number of mention rows, which a Parquet file states without being read."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
 def mentions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Mention rows: line items seen as citations of a brand by a customer."""
     need = {_FROM[c][0] for c in columns}
     df = table(spark, sf_dir, "lineitem")
     if "orders" in need:
-        df = df.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        rows = n_mentions(spark, sf_dir)
+        orders = dealt(table(spark, sf_dir, "orders"), rows, "o_orderkey")
+        df = dealt(df, rows, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if "part" in need:
         df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     if need & {"nation", "region"}:
