@@ -18,6 +18,7 @@ from gleanframe.functions import text
 from gleanframe.functions.nulls import if_else, in_set, recode, recode_pattern
 from gleanframe.operators import reshape
 from gleanframe.operators.joins import enrich, prefix_columns, spread_group_value, unique_dimension
+from gleanframe.session import dealt, materialise
 
 # Question numbers per field, in the first two species groups and in the
 # further ones.
@@ -205,7 +206,7 @@ def mention_pipeline(df: DataFrame, groups: Sequence[int], id: str = "id", known
 
     The work is narrow: the row is repeated per group, rows without a species go, and every
     field picks its group's column. Only a mention called unsustainable in one export row is
-    carried to the respondent's other rows, by a join on the ids that have one. A question
+    carried to the respondent's other rows, by a join on the ids that have both; without such ids there is none. A question
     asked by one column is a plain cell; only questions spread over several columns become
     lists, which run in parallel (a single answer repeats). Option columns of the free-text
     questions follow as plain columns.
@@ -269,8 +270,14 @@ def mention_pipeline(df: DataFrame, groups: Sequence[int], id: str = "id", known
     tidy = rows.select(*[c.alias(n) for n, c in out.items()])
     species = F.explode(F.array_distinct(F.split("name", r"\s*,\s*"))).alias("name")
     tidy = tidy.select(*[species if c == "name" else F.col(c) for c in out]).filter(F.col("name") != "")
-    said_bad = df.filter(bad).select(F.col(id).alias("__id")).distinct().withColumn("__bad", F.lit(True))
-    carried = enrich(unnest_parallel(tidy, lists), said_bad, {"id": "__id"})
+    out_rows = unnest_parallel(tidy, lists)
+    # an only row of its respondent says it itself, so nothing but respondents with more rows meets the wide ones
+    per_id = df.select(F.col(id).alias("__id"), bad.alias("__bad")).filter("__id IS NOT NULL").groupBy("__id")
+    more = materialise(per_id.agg(F.count(F.lit(1)).alias("__n"), F.bool_or("__bad").alias("__bad")).filter("__n > 1 AND __bad").drop("__n"))
+    if more.isEmpty():
+        return out_rows
+    rows_in = df.count() * len(groups)
+    carried = enrich(dealt(out_rows, rows_in, "id"), dealt(more, rows_in, "__id"), {"id": "__id"})
     return carried.withColumn("known_unsustainable", F.when(F.col("__bad"), "Yes").otherwise(F.col("known_unsustainable"))).drop("__bad")
 
 
