@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.session import dealt
+from gleanframe.session import dealt, hashed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,7 @@ def mentions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         orders = dealt(table(spark, sf_dir, "orders"), rows, "o_orderkey")
         df = dealt(df, rows, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if "part" in need:
-        df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        df = df.join(hashed(table(spark, sf_dir, "part")), F.col("l_partkey") == F.col("p_partkey"))
     if need & {"nation", "region"}:
         places = table(spark, sf_dir, "supplier").join(
             table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
