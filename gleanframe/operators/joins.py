@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gleanframe.session import written
+
 
 def unique_dimension(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Drop exact duplicates; fail when a key still maps to two different rows."""
@@ -96,10 +98,18 @@ def spread_group_value(df: DataFrame, keys: Sequence[str], **aggregates) -> Data
     return enrich(df, per_group.filter("__n > 0").drop("__n"), list(keys), null_keys="match")
 
 
-def keep_matched_if_any(df: DataFrame, keys: Sequence[str], matched) -> DataFrame:
-    """Keep a group's matched rows if it has any, else the whole group."""
+def keep_matched_if_any(df: DataFrame, keys: Sequence[str], matched, groups: DataFrame | None = None) -> DataFrame:
+    """Keep a group's matched rows if it has any, else the whole group.
+
+    ``groups`` may be a shorter table that has a match in the same groups as ``df``. Its flags are written
+    once, so that few groups are broadcast and ``df`` is not shuffled to meet them.
+    """
     hit = F.coalesce(matched, F.lit(False))
-    flagged = spread_group_value(df, keys, __any=F.bool_or(hit))
+    if groups is None:
+        flagged = spread_group_value(df, keys, __any=F.bool_or(hit))
+    else:
+        flags = written(groups.groupBy(*keys).agg(F.bool_or(hit).alias("__any")), "matched-groups")
+        flagged = enrich(df, flags, list(keys), null_keys="match")
     return flagged.filter(~F.col("__any") | hit).select(*df.columns)
 
 

@@ -10,7 +10,7 @@ from gleanframe.functions.nulls import closed_set, recode_pattern
 from gleanframe.functions.text import normalise_name
 from gleanframe.operators.joins import enrich, keep_matched_if_any
 from gleanframe.operators.mentions import share_within
-from gleanframe.session import materialise
+from gleanframe.session import materialise, written
 
 # Level names in the rule table and the status labels of the report.
 LEVELS = {
@@ -87,8 +87,12 @@ def answers_with_status(
 ) -> DataFrame:
     """Answers against the law: match, keep matched rows where a name has any, tidy the answers."""
     rules = relevant_rules(rules)
+    # written once: read for the places that a name is cited at, and for the matching of every answer
+    answers = written(answers, "answers")
+    cited = answers.select(*dict.fromkeys(["name", *(p for p in places.values() if p is not None)])).distinct()
     matched = match_rules(answers, rules, places, identity)
-    kept = status_group(keep_matched_if_any(matched, ["name"], F.col("grouping").isNotNull()))
+    matched_places = match_rules(cited, rules, places)
+    kept = status_group(keep_matched_if_any(matched, ["name"], F.col("grouping").isNotNull(), matched_places))
     tidy = recode_pattern(answer, (("yes", "Yes"), ("no", "No")), ignore_case=True)
     known = rules.select("name").distinct().withColumn(
         "national_status", F.lit("At least 1 regulation or protection")

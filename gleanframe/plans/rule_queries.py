@@ -8,7 +8,7 @@ from gleanframe.functions.nulls import rounded
 from gleanframe.operators import joins, rules as R
 from gleanframe.plans.registry import query
 from gleanframe.plans.sqlviews import with_views
-from gleanframe.session import materialise
+from gleanframe.session import written
 from gleanframe.sources.standins import mentions, rules
 
 # the order status plays the part of the answer: F says yes, O says no, P does not know
@@ -50,7 +50,7 @@ def answers(spark, sf):
 
 def final(spark, sf):
     # the rule table is an input file in real use: written once, read by every step
-    return R.answers_with_status(answers(spark, sf), materialise(rules(spark, sf)), PLACES)
+    return R.answers_with_status(answers(spark, sf), written(rules(spark, sf), "rules"), PLACES)
 
 
 @query("multilevel_rules", with_views(VIEWS, ANSWERS + "SELECT * FROM final"))
