@@ -226,16 +226,16 @@ def disclosing_words(docs: DataFrame, text: str, found: DataFrame, smoothing: fl
     return each.groupBy("__digest").agg(F.array_sort(F.collect_list(F.struct("term", "remove"))).alias("__told"))
 
 
-def attach(found: DataFrame, told: DataFrame) -> DataFrame:
-    """``found`` with ``__told``; texts without base spans take no part in the join."""
+def attach(found: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``found`` with ``__told``: texts without base spans, which take no part in the join, and the others."""
     none = F.lit(None).cast(told.schema["__told"].dataType).alias("__told")
     plain = found.filter("__digest is null").select(*found.columns, none)
     held = found.filter("__digest is not null").join(told, "__digest", "left").select(*found.columns, "__told")
-    return plain.unionByName(held)
+    return plain, held
 
 
-def judged(docs: DataFrame, text: str, smoothing: float, generalise: float, remove: float) -> DataFrame:
-    """``docs`` with ``__base`` spans and ``__told``, the terms to change."""
+def judged(docs: DataFrame, text: str, smoothing: float, generalise: float, remove: float) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``__base`` spans and ``__told``, the terms to change: rows without base spans, and the others."""
     found = materialise(scan(docs.select(F.col(text).alias("text")), "text", []))
     told = disclosing_words(docs, text, found, smoothing, generalise, remove)
     return attach(scan(docs, text, docs.columns, words=False), told)
@@ -259,7 +259,8 @@ def find(
     columns play no part.
     """
     plain = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    ready = judged(plain, "text", smoothing, generalise, remove)
+    without, held = judged(plain, "text", smoothing, generalise, remove)
+    ready = without.unionByName(held)
     schema = T.StructType([plain.schema["id"], T.StructField("__base", T.ArrayType(SPAN)), T.StructField("__terms", T.ArrayType(MARK))])
 
     def run(batches):
@@ -315,7 +316,7 @@ def sanitise(
     rows count as documents each and are changed alike. An empty table gives an empty table.
     """
     plain, back = aside(docs, text)
-    marked = judged(plain, text, smoothing, generalise, remove)
+    without, marked = judged(plain, text, smoothing, generalise, remove)
     place = marked.columns.index(text)
 
     def run(batches):
@@ -328,4 +329,5 @@ def sanitise(
                 column = pa.array(values, pa.string())
                 yield pa.RecordBatch.from_arrays([column if k == place else c for k, c in enumerate(piece.columns)], names=piece.schema.names)
 
-    return back(marked.mapInArrow(run, marked.schema))
+    # rows without base spans go by this step: a task with two Python steps has two workers, which stay and fill their memos in turn
+    return back(without.unionByName(marked.mapInArrow(run, marked.schema)))

@@ -39,7 +39,7 @@ LENGTH = 200
 #: Counts a bucket has beforehand: raw, and target (spread like the raw model).
 RAW_PRIOR, TARGET_PRIOR = 1.0, 3.0
 #: Words whose hashes a worker remembers.
-MEMO = 500_000
+MEMO = 200_000
 SEED = 17
 #: Held-out non-toxic documents that may count as toxic, standard errors, and words of the toxic model (the strongest).
 TOXIC_FALSE_REJECTS, SIGMAS, TOXIC_TERMS = 0.005, 2.0, 100_000
