@@ -58,9 +58,14 @@ class Ragged(Exception):
     """A unit that touches white space: its text must be cut with more care."""
 
 
+#: What packs so many ids, ready made for nearly all pre-tokens.
+PACKS = [struct.Struct(f"<{n}I").pack for n in range(33)]
+
+
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    n = len(ids)
+    return PACKS[n](*ids) if n < 33 else struct.pack(f"<{n}I", *ids)
 
 
 class Memo(dict):
@@ -77,7 +82,7 @@ class Memo(dict):
         if out is None:
             out = self.make(text)
         # two words about a line break seldom come again
-        if len(text) <= LONGEST and "\n" not in text[1:-1]:
+        if len(text) <= LONGEST and ("\n" not in text or "\n" not in text[1:-1]):
             if len(self) >= self.size:
                 self.older = dict(self)
                 self.clear()
@@ -94,12 +99,16 @@ class UnitEncoder:
     def __init__(self, word, added: dict[str, int], units: int = UNITS, words: int = WORDS):
         self.added = {k: packed([i]) for k, i in added.items()}
         self.has_added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
+        # a token cut out of letters is letters itself
+        self.has_lettered = any(k.isalpha() for k in added)
         self.words = Memo(word, words)
         self.cut = regex.compile(PATTERN).findall
         self.later = Memo(self.later_unit, units)
 
     def later_unit(self, unit: str) -> bytes:
         """Ids of a unit that a space comes before; the usual ones are cut without the full pattern."""
+        if unit.isalpha() and not (self.has_lettered and self.has_added.search(unit)):
+            return self.words[" " + unit]
         shape = USUAL(unit)
         if shape:
             word, signs, next_word, next_signs = shape.groups()

@@ -180,11 +180,12 @@ def new_library_encoder(path: str) -> UnitEncoder:
     library.no_padding()
     added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
     letters = {b: c for c, b in byte_letters().items()}
-    tokens_of = library.model.tokenize
+    tokens_of, space = library.model.tokenize, letters[32]
 
     def word_ids(word: str) -> bytes:
-        if word.isascii() and word[1:].isalpha() and word[0] == " ":
-            written = letters[32] + word[1:]
+        rest = word[1:]
+        if rest.isalpha() and word[0] == " " and word.isascii():
+            written = space + rest
         else:
             written = word.encode().decode("latin-1").translate(letters)
         return packed([t.id for t in tokens_of(written)])
