@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleanframe.functions.tails import chi2_upper, hypergeometric_test
-from gleanframe.session import materialise
+from gleanframe.session import materialise, written
 
 #: What ``fit_mca`` puts on the driver; ``leading_axes`` has no such bound.
 MAX_CATEGORIES = 2_000
@@ -593,8 +593,9 @@ class Discriminant:
     ratio: float
 
     def scored(self, df: DataFrame, name: str = "score") -> DataFrame:
-        """Rows of ``df`` with their score, by joins with the weights."""
-        return weigh(df, self.variables, self.weights.select("var", "cat", F.col("weight").alias(name)), [name])
+        """Rows of ``df`` with their score, by joins with the weights, which are written once so that few are broadcast."""
+        weights = written(self.weights.select("var", "cat", F.col("weight").alias(name)), "discriminant-weights")
+        return weigh(df, self.variables, weights, [name])
 
     def score(self) -> Column:
         """The score as a column expression, for variables of few categories: it holds every weight."""

@@ -9,7 +9,7 @@ from gleanframe.operators import factor as X, joins, mentions as M, ordering, ra
 from gleanframe.plans.mention_queries import CURVE, curve
 from gleanframe.plans.registry import query
 from gleanframe.plans.sqlviews import with_views
-from gleanframe.session import dealt, materialise
+from gleanframe.session import dealt, materialise, written
 from gleanframe.sources.standins import PROFILE_VARIABLES, SEGMENTS, mentions, n_mentions, profile, table
 
 VARS = list(PROFILE_VARIABLES)
@@ -274,29 +274,35 @@ def mor_per_species(spark, sf):
 DFA_VARS = ["presence", "life_form", "status", "segment", "region"]
 
 
+def _dfa_model(rows):
+    profiles = materialise(X.profile_counts(rows, DFA_VARS, "answer"))
+    return X.fit_discriminant(profiles, DFA_VARS, "answer", "Unsustainable")
+
+
 def _dfa(spark, sf):
     rows = model_rows(spark, sf)
-    profiles = materialise(X.profile_counts(rows, DFA_VARS, "answer"))
-    return rows, profiles, X.fit_discriminant(profiles, DFA_VARS, "answer", "Unsustainable")
+    return rows, _dfa_model(rows)
 
 
 @query("dfa_scores")
 def dfa_scores(spark, sf):
-    _, profiles, model = _dfa(spark, sf)
-    # one row per distinct profile with its weight: rows of one profile share the score
-    return model.scored(profiles)
+    """Every mention that takes part in the fit, with its score."""
+    rows = model_rows(spark, sf).select("id", "name", "answer", *DFA_VARS, "range_pct").dropna(subset=[*DFA_VARS, "answer"])
+    # read twice, to fit and to score
+    rows = written(rows, "discriminant-rows")
+    return _dfa_model(rows).scored(rows)
 
 
 @query("dfa_cohens_d")
 def dfa_cohens_d(spark, sf):
-    rows, _, model = _dfa(spark, sf)
+    rows, model = _dfa(spark, sf)
     return ranks.cohens_d(model.scored(rows).select("answer", "score"), "answer", "score", "Sustainable", "Unsustainable")
 
 
 @query("dfa_loadings")
 def dfa_loadings(spark, sf):
     side = F.when(F.col("correlation") > 0, "Unsustainable").otherwise("Sustainable")
-    loadings = X.discriminant_loadings(spark, _dfa(spark, sf)[2]).withColumn("side", side)
+    loadings = X.discriminant_loadings(spark, _dfa(spark, sf)[1]).withColumn("side", side)
     return ordering.top_with_ties(loadings, F.abs("correlation"), 20).orderBy(F.desc("correlation"), "variable", "category")
 
 

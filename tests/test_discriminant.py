@@ -71,3 +71,55 @@ def test_hard_rows(spark):
         X.fit_discriminant(profiles, ["b"], "cls", "1")
     with pytest.raises(ValueError):
         X.fit_discriminant(profiles.filter("false"), ["a"], "cls", "1")
+
+
+def test_scores_of_every_mention(spark, tmp_path):
+    """A row for each distinct complete mention, though many share a profile, with the score of a least-squares fit."""
+    from gleanframe.plans import QUERIES, load_all
+
+    load_all()
+    rng = np.random.default_rng(5)
+    orders = [(o, o % 12, "OFP"[o % 3], ["1-URGENT", "2-HIGH", "5-LOW"][rng.integers(3)]) for o in range(80)]
+    # no priority, no status, a customer that is not listed, no customer
+    orders += [(80, 1, "O", None), (81, 2, None, "5-LOW"), (82, 99, "O", "5-LOW"), (83, None, "O", "5-LOW")]
+    parts = [(p, f"Brand#{p}", ["TIN", "BRASS", None][p % 3]) for p in range(9)]
+    lines = [(int(rng.integers(84)), int(rng.integers(9)), float(rng.integers(1, 4)), "R" if rng.random() < 0.4 else "N") for _ in range(600)]
+    lines += lines[:50] + [(0, 0, None, "R"), (1, 0, 1.0, None), (2, 2, 1.0, "R"), (80, 0, 1.0, "R"), (82, 0, 1.0, "R"), (None, 0, 1.0, "R")]
+    customers = [(c, c % 3, ["AUTOMOBILE", "BUILDING", None][c % 5 // 2], 0.0) for c in range(12)]
+    tables = {
+        "orders": (orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"),
+        "part": (parts, "p_partkey long, p_brand string, p_type string"),
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string"),
+        "customer": (customers, "c_custkey long, c_nationkey long, c_mktsegment string, c_acctbal double"),
+        "nation": ([(n, f"nation {n}", n % 2) for n in range(3)], "n_nationkey long, n_name string, n_regionkey long"),
+        "region": ([(r, f"region {r}") for r in range(2)], "r_regionkey long, r_name string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    ordered, typed, listed = ({r[0]: r[1:] for r in t} for t in (orders, parts, customers))
+    want = set()
+    for o, p, pct, flag in lines:
+        id, status, presence = ordered.get(o, (None, None, None))
+        if id not in listed:
+            continue
+        nation, segment, _ = listed[id]
+        variables = (presence, typed[p][1], status, segment, f"region {nation % 2}")
+        if None not in variables:
+            want.add((id, typed[p][0], "Unsustainable" if flag == "R" else "Sustainable", *variables, pct))
+
+    variables = ["presence", "life_form", "status", "segment", "region"]
+    got = QUERIES["dfa_scores"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) > len({r[2:8] for r in want})
+    assert {(r.id, r.name, r.answer, *[r[v] for v in variables], r.range_pct) for r in got} == want
+
+    z = pd.get_dummies(pd.DataFrame([[r[v] for v in variables] for r in got], columns=variables)).to_numpy(float)
+    y = np.array([r.answer == "Unsustainable" for r in got], float)
+    fitted = z @ np.linalg.lstsq(z, y, rcond=None)[0]
+    assert [r.score for r in got] == pytest.approx((fitted - fitted.mean()) / fitted.std(), abs=1e-8)
+
+
+def test_few_weights_are_sent_to_the_rows(spark):
+    rows = spark.createDataFrame([("p", "u", "1"), ("p", "v", "2"), ("q", "u", "2"), ("q", "v", "2")], "a string, b string, cls string")
+    model = X.fit_discriminant(X.profile_counts(rows, ["a", "b"], "cls"), ["a", "b"], "cls", "2")
+    assert "SortMergeJoin" not in model.scored(rows)._jdf.queryExecution().executedPlan().toString()
